@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchloom import fixed_values as fv
 
@@ -27,20 +30,37 @@ WELDED_LEVEL = r"(?U)\b(sde|swe|mts|sse)[-\s]?([1-4]|i{1,3}|iv)\b"
 
 # Letters that compatibility normalisation leaves alone; anything else goes to Arrow.
 _NEEDS_UNICODE = r"[^\x00-\x7F\x{C0}-\x{FF}]"
-_PY_PICTOGRAPHS = re.compile(
-    "[​-‏⁠﻿︀-️\U0001f3fb-\U0001f3ff\U0001f1e6-\U0001f1ff]"
-)
 
 
-def _fold(text: str) -> str:
-    text = _PY_PICTOGRAPHS.sub("", unicodedata.normalize("NFKC", text))
-    text = "".join(ch for ch in text if unicodedata.category(ch) != "So")
-    return " ".join(text.split()).casefold()
+@lru_cache(maxsize=1)
+def _fold_unicode():
+    """Arrow UDF for text with compatibility characters; carries all it needs."""
+    marks = re.compile(
+        "[\u200b-\u200f\u2060\ufeff\ufe00-\ufe0f\U0001f3fb-\U0001f3ff\U0001f1e6-\U0001f1ff]")
+
+    def fold(text: str) -> str:
+        text = marks.sub("", unicodedata.normalize("NFKC", text))
+        text = "".join(ch for ch in text if unicodedata.category(ch) != "So")
+        return " ".join(text.split()).casefold()
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(fold, na_action="ignore")
+
+    return F.pandas_udf(run, T.StringType())
+
+
+@lru_cache(maxsize=1)
+def _compat_json():
+    """Arrow UDF that compatibility-normalises the strings inside a JSON document."""
+    def fold(doc: str) -> str:
+        # These three would turn into JSON syntax, so they are escaped first.
+        doc = doc.replace("\uff02", '\\"').replace("\uff3c", "\\\\").replace("\ufe68", "\\\\")
+        return unicodedata.normalize("NFKC", doc)
 
+    def run(docs: pd.Series) -> pd.Series:
+        return docs.map(fold, na_action="ignore")
 
-@F.pandas_udf("string")
-def _fold_unicode(texts: pd.Series) -> pd.Series:
-    return texts.map(_fold, na_action="ignore")
+    return F.pandas_udf(run, T.StringType())
 
 
 def strip_emoji(c: Column) -> Column:
@@ -68,22 +88,14 @@ def norm_text(c: Column) -> Column:
     all others the UDF argument is null and the JVM expression decides.
     """
     unusual = F.when(c.rlike(_NEEDS_UNICODE), c)
-    return F.coalesce(_fold_unicode(unusual), _plain(c), F.lit(""))
-
-
-@F.pandas_udf("string")
-def _compat_json(docs: pd.Series) -> pd.Series:
-    def fold(doc: str) -> str:
-        doc = doc.replace("\uff02", '\\"').replace("\uff3c", "\\\\").replace("\ufe68", "\\\\")
-        return unicodedata.normalize("NFKC", doc)
-    return docs.map(fold, na_action="ignore")
+    return F.coalesce(_fold_unicode()(unusual), _plain(c), F.lit(""))
 
 
 def norm_nested(value: Column, ddl: str) -> Column:
     """``value`` with every string in it compatibility-normalised (for nested lists)."""
     doc = F.to_json(value)
     unusual = F.when(doc.rlike(_NEEDS_UNICODE), doc)
-    return F.coalesce(F.from_json(_compat_json(unusual), ddl), value)
+    return F.coalesce(F.from_json(_compat_json()(unusual), ddl), value)
 
 
 def norm_company(normed: Column) -> Column:
@@ -96,7 +108,14 @@ def norm_company(normed: Column) -> Column:
 
 
 def literal_map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(part) for pair in pairs.items() for part in pair])
+    """A constant map, folded once by the optimizer."""
+    kind = "double" if all(isinstance(v, (int, float)) for v in pairs.values()) else "string"
+    return F.from_json(F.lit(json.dumps(pairs)), f"map<string, {kind}>")
+
+
+def literal_list(items: list[str]) -> Column:
+    """A constant list of texts."""
+    return F.from_json(F.lit(json.dumps(items)), "array<string>")
 
 
 def norm_skill(normed: Column, aliases: Column | None = None) -> Column:

@@ -98,7 +98,7 @@ def context_ranking(hits: Column, families: list[str]) -> Column:
         mine = F.filter(hits, lambda h: h["family"] == f)
         score = F.aggregate(mine, F.lit(0.0), lambda acc, h: acc + h["weight"])
         return F.struct(score.alias("score"), f.alias("family"))
-    return F.reverse(F.array_sort(F.transform(F.array(*[F.lit(f) for f in families]), total)))
+    return F.reverse(F.array_sort(F.transform(tx.literal_list(families), total)))
 
 
 def context_vote(hits: Column, ranking: Column, lexicon: Lexicon) -> Column:
@@ -127,21 +127,20 @@ def classify(
     """
     lexicon = lexicon or Lexicon()
     c = F.col(core)
-    ctx = F.col(context) if context else F.lit("")
-    step = df.withColumn("_x", F.coalesce(exact_match(c, lexicon), phrase_match(c, lexicon)))
+    step = df.withColumns({
+        "_x": F.coalesce(exact_match(c, lexicon), phrase_match(c, lexicon)),
+        "_vague": is_ambiguous(c, lexicon) | mentions_ambiguous(c, lexicon)})
     undecided = F.col("_x").isNull() & (c != "")
-    vague = is_ambiguous(c, lexicon) | mentions_ambiguous(c, lexicon)
-    step = step.withColumn("_vague", undecided & vague)
+    voted = F.lit(None).cast(RESULT)
     if context:
-        step = step.withColumn("_hits", F.when(F.col("_vague"), context_hits(ctx, lexicon)))
+        hits = context_hits(F.col(context), lexicon)
+        step = step.withColumn("_hits", F.when(undecided & F.col("_vague"), hits))
         step = step.withColumn("_rank", context_ranking(F.col("_hits"), lexicon.families()))
-        voted = F.when(F.col("_vague"),
-                       context_vote(F.col("_hits"), F.col("_rank"), lexicon))
-    else:
-        voted = F.lit(None).cast(RESULT)
+        voted = context_vote(F.col("_hits"), F.col("_rank"), lexicon)
     tokens = F.when(undecided & ~F.col("_vague"), token_match(c, lexicon))
-    chain = F.coalesce(F.col("_x"), voted, tokens, *(fallbacks or []))
-    return step.withColumn(out, chain).select(*df.columns, out)
+    chain = F.coalesce(F.col("_x"), F.when(undecided & F.col("_vague"), voted), tokens,
+                       *(fallbacks or []))
+    return step.select(*df.columns, chain.alias(out))
 
 
 def with_title(df: DataFrame, title: str, core: str = "core") -> DataFrame:
@@ -164,9 +163,9 @@ def nearest_centroid(df: DataFrame, vector: str, cents: DataFrame, max_classes:
                      threshold: float = fv.CENTROID_MIN_COSINE) -> DataFrame:
     """Class of highest cosine, lowest label on ties; null below the threshold."""
     all_cents = bounded_rows(cents.select("label", "centroid"), max_classes, "class centroids")
-    rows = df.withColumn("_u", vec.unit(F.col(vector)))
+    rows = df.withColumn("_u", vec.unit(F.col(vector))).withColumn("_all", all_cents)
     scored = rows.withColumn("_best", F.array_min(F.transform(
-        all_cents, lambda c: F.struct((-vec.dot(F.col("_u"), c["centroid"])).alias("neg"),
+        "_all", lambda c: F.struct((-vec.dot(F.col("_u"), c["centroid"])).alias("neg"),
                                       c["label"].alias("label")))))
     cosine = -F.col("_best.neg")
     answered = (cosine >= threshold) & (vec.norm(F.col("_u")) > 0)
@@ -240,3 +239,15 @@ def corpus_gate(corpus: DataFrame, title: str, label: str, classes: DataFrame,
     ok = (F.col("missing_classes") == 0) & (F.col("rows_kept") >= previous_rows * fv.CORPUS_MIN_SHARE)
     return size.withColumn("missing_classes", missing.scalar()).select(
         "rows_kept", "missing_classes", ok.alias("accepted"))
+
+
+def holdout_rows(entries: DataFrame, labels: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(entries with title, company, context and label, entries that no label names).
+
+    A label row with a null class is a deliberate gap; a missing label row is an error.
+    """
+    context = F.trim(F.concat_ws(" ", F.nullif("description", F.lit("")),
+                                 F.nullif(F.array_join("skills_used", " "), F.lit(""))))
+    rows = entries.select(*key, F.col("role").alias("title"), F.col("company_name").alias("company"),
+                          context.alias("context"))
+    return rows.join(labels, key, "inner"), rows.join(labels.select(*key), key, "left_anti")

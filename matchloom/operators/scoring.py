@@ -43,11 +43,11 @@ def shipped_evidence(entries: DataFrame, terms: Column, by: str = "id", ix: str
     ``terms`` is a constant array of the jobs' own words, so the collected set
     is bounded by it.
     """
-    rows = entries.select(by, ix, "description",
-                          tx.norm_text(F.col("description")).alias("_d"))
+    rows = entries.select(by, ix, "description", tx.norm_text(F.col("description")).alias("_d"),
+                          terms.alias("_terms"))
     # The reference text is cut only for display; the tests read all of it.
     snippet = F.substring(F.trim("description"), 1, 80)
-    rows = rows.withColumn("_hit", F.filter(terms, lambda t: F.contains(F.col("_d"), t)))
+    rows = rows.withColumn("_hit", F.filter("_terms", lambda t: F.contains(F.col("_d"), t)))
     first = rows.groupBy(by).agg(F.min_by(
         F.when(shows_ownership(F.col("_d")), snippet),
         F.when(shows_ownership(F.col("_d")), F.col(ix))).alias("snippet"))
@@ -61,7 +61,7 @@ def job_terms(jobs: DataFrame, limit: int = 20_000) -> Column:
     """Distinct words of all evidence requirements as one array."""
     words = jobs.select(F.explode(F.flatten(F.transform(
         F.concat("must_have", "good_to_have"), lambda r: r["terms"]))).alias("t")).distinct()
-    return F.transform(bounded_rows(words, limit, "job terms"), lambda r: r["t"])
+    return bounded_rows(words, limit, "job terms")
 
 
 # ---------------------------------------------------------------- components
@@ -299,8 +299,8 @@ def cosine_rank(vectors: DataFrame, queries: Column, by: str, vector: str, digit
     """
     from matchloom.functions import vectors as vec
 
-    unit = vectors.select(by, vec.unit(F.col(vector)).alias("_u"))
-    rows = unit.select(by, F.explode(F.transform(queries, lambda q: F.struct(
+    unit = vectors.select(by, vec.unit(F.col(vector)).alias("_u"), queries.alias("_q"))
+    rows = unit.select(by, F.explode(F.transform("_q", lambda q: F.struct(
         q["query"].alias("query"),
         round_exact(vec.dot(F.col("_u"), q["vector"]), digits).alias("similarity"))))
         .alias("_s")).select(by, "_s.*")

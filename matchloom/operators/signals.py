@@ -16,7 +16,7 @@ from matchloom.functions.numeric import clamp, round_exact
 from matchloom.operators import skills as sk
 from matchloom.operators import spans as sp
 from matchloom.operators.adjacency import Adjacency, years_towards
-from matchloom.operators.classify import Lexicon, classify, with_title
+from matchloom.operators.classify import Lexicon, classify
 
 
 @dataclass
@@ -112,19 +112,16 @@ def classified_entries(entries: DataFrame, as_of: Column, rules: Rules,
     spans = sp.resolve_spans(entries, as_of)
     work = F.concat_ws(" ", tx.blank_if_null(F.col("description")),
                        F.array_join(F.coalesce("skills_used", F.array().cast("array<string>")), " "))
-    ready = (
-        with_title(spans, "role")
-        .withColumn("role_text", tx.norm_text(F.col("role")))
-        .withColumn("context", tx.norm_text(work))
-    )
+    ready = spans.withColumns({"role_text": tx.norm_text(F.col("role")),
+                               "context": tx.norm_text(work)})
+    ready = ready.withColumn("core", tx.norm_title(F.col("role_text"))["core"])
     out = classify(ready, "core", "context", "cls", rules.lexicon, fallbacks)
     usable = F.col("start_on").isNotNull()
-    return (
-        out.withColumn("cls", F.when(usable, F.col("cls")))
-        .withColumn("level", title_level(F.col("role_text")))
-        .withColumn("age", F.when(usable, dt.entry_age(F.col("end_on"), F.col("is_open"), as_of)))
-        .drop("context")
-    )
+    return out.withColumns({
+        "cls": F.when(usable, F.col("cls")),
+        "level": title_level(F.col("role_text")),
+        "age": F.when(usable, dt.entry_age(F.col("end_on"), F.col("is_open"), as_of)),
+    }).drop("context")
 
 
 def weighted_entries(entries: DataFrame, as_of: Column, rules: Rules,
@@ -183,9 +180,9 @@ def entity_features(weighted: DataFrame, as_of: Column, rules: Rules) -> DataFra
         F.array(*[F.struct(F.lit(f).alias("family"), F.col(f"_m_{f}").alias("months"))
                   for f in rules.families]),
         lambda m: m["months"].isNotNull())
-    out = rolled.withColumn("ranking", F.array_sort(scored)).withColumn("history", history)
-    out = out.withColumn("priors", F.transform("history", lambda h: h["family"]))
-    return _resolved(out)
+    return _resolved(rolled.withColumns({
+        "ranking": F.array_sort(scored), "history": history,
+        "priors": F.transform(history, lambda h: h["family"])}))
 
 
 def _resolved(df: DataFrame) -> DataFrame:
@@ -194,14 +191,14 @@ def _resolved(df: DataFrame) -> DataFrame:
     strong = top.isNotNull() & (top["neg"] < 0)
     rest = F.slice("ranking", 2, 2**30)
     near = F.filter(rest, lambda s: s["neg"] <= top["neg"] * fv.ALT_RATIO)
-    return (
-        df.withColumn("role_family", F.when(strong, top["family"]).otherwise(fv.DEFAULT_FAMILY))
-        .withColumn("role_family_alt", F.when(strong, F.slice(
+    return df.withColumns({
+        "role_family": F.when(strong, top["family"]).otherwise(fv.DEFAULT_FAMILY),
+        "role_family_alt": F.when(strong, F.slice(
             F.transform(near, lambda s: s["family"]), 1, fv.MAX_ALTERNATES))
-            .otherwise(F.array().cast("array<string>")))
-        .withColumn("role_family_scores", F.map_from_entries(F.transform(
-            "ranking", lambda s: F.struct(s["family"], round_exact(-s["neg"], 2)))))
-    )
+        .otherwise(F.array().cast("array<string>")),
+        "role_family_scores": F.map_from_entries(F.transform(
+            "ranking", lambda s: F.struct(s["family"], round_exact(-s["neg"], 2)))),
+    })
 
 
 # ------------------------------------------------------------------- record
@@ -233,58 +230,61 @@ def extract(
 def signal_columns(base: DataFrame, rules: Rules) -> DataFrame:
     """The record's derived columns from joined features; a narrow projection."""
     none = F.array().cast("array<string>")
-    no = F.lit(False)
-    df = (
-        base.withColumn("role_family", F.coalesce("role_family", F.lit(fv.DEFAULT_FAMILY)))
-        .withColumn("role_family_alt", F.coalesce("role_family_alt", none))
-        .withColumn("priors", F.coalesce("priors", none))
-        .withColumn("history", F.coalesce("history", F.array().cast(
-            "array<struct<family string, months bigint>>")))
-        .withColumn("n_entries", F.coalesce("n_entries", F.lit(0)))
-        .withColumn("n_months", F.coalesce("n_months", F.lit(0)))
-        .withColumn("current_months", F.coalesce("current_months", F.lit(0)))
-        .withColumn("jobs_last_36m", F.coalesce("jobs_last_36m", F.lit(0)))
-        .withColumn("_avg", F.coalesce("_avg_closed", "_avg_all", F.lit(0.0)))
-        .withColumn("headline_text", tx.norm_text(F.col("headline")))
-        .withColumn("about_text", tx.norm_text(F.col("about")))
-        .withColumn("location_text", tx.norm_text(F.col("location")))
-        .withColumn("_role_text", tx.norm_text(F.concat_ws(
+    no, zero = F.lit(False), F.lit(0)
+    df = base.withColumns({
+        "role_family": F.coalesce("role_family", F.lit(fv.DEFAULT_FAMILY)),
+        "role_family_alt": F.coalesce("role_family_alt", none),
+        "priors": F.coalesce("priors", none),
+        "history": F.coalesce("history", F.array().cast(
+            "array<struct<family string, months bigint>>")),
+        "n_entries": F.coalesce("n_entries", zero), "n_months": F.coalesce("n_months", zero),
+        "current_months": F.coalesce("current_months", zero),
+        "jobs_last_36m": F.coalesce("jobs_last_36m", zero),
+        "_avg": F.coalesce("_avg_closed", "_avg_all", F.lit(0.0)),
+        "headline_text": tx.norm_text(F.col("headline")),
+        "about_text": tx.norm_text(F.col("about")),
+        "location_text": tx.norm_text(F.col("location")),
+        "_role_text": tx.norm_text(F.concat_ws(
             " ", *[tx.blank_if_null(F.col(f"_current.{c}"))
-                   for c in ("role", "company_name", "job_type")])))
-    )
-    df = df.withColumn("core", tx.norm_title(F.col("headline_text"))["core"])
+                   for c in ("role", "company_name", "job_type")])),
+    })
+    df = df.withColumns({
+        "core": tx.norm_title(F.col("headline_text"))["core"],
+        "years_total": round_exact(F.coalesce("months_covered", zero) / F.lit(12.0), 2),
+        "years_relevant": years_towards(F.col("history"), F.col("role_family"), F.col("priors"),
+                                        rules.adjacency),
+        "avg_tenure_months": round_exact(F.col("_avg"), 1),
+        "tenure_flag": F.when(F.col("n_entries") == 0, "moderate").otherwise(
+            sp.tenure_band(F.col("_avg"), F.col("jobs_last_36m"))),
+        "implied": sk.implied_classes(F.col("claimed")),
+        "off_domain": sk.off_domain_count(F.col("declared")),
+    })
     df = classify(df, "core", None, "headline_cls", rules.lexicon)
-    years = years_towards(F.col("history"), F.col("role_family"), F.col("priors"), rules.adjacency)
-    df = (
-        df.withColumn("years_total", round_exact(
-            F.coalesce("months_covered", F.lit(0)) / F.lit(12.0), 2))
-        .withColumn("years_relevant", years)
-        .withColumn("avg_tenure_months", round_exact(F.col("_avg"), 1))
-        .withColumn("tenure_flag", F.when(F.col("n_entries") == 0, "moderate").otherwise(
-            sp.tenure_band(F.col("_avg"), F.col("jobs_last_36m"))))
-        .withColumn("headline_family", F.col("headline_cls.family"))
-    )
     stated = F.when(F.coalesce("_any_open", no), F.col("_open_level")).otherwise(
         F.col("_latest.level"))
-    df = df.withColumn("seniority", F.coalesce(stated, level_from_years(
-        F.col("years_relevant"), F.coalesce("intern_only", no))))
-    inflated = F.coalesce(level_order(claimed_level(F.col("headline_text")))
-                          > level_order(F.col("seniority")), no)
     text = F.concat_ws(" ", "headline_text", "about_text")
     terms = intent_terms(F.col("is_open"), text, F.col("_role_text"), F.col("current_months"),
                          F.col("avg_tenure_months"), F.col("tenure_flag"))
-    df = (
-        df.withColumn("_inflated", inflated)
-        .withColumn("_p", intent_probability(terms))
-        .withColumn("_break", terms["career_break"])
-        .withColumn("switch_intent", round_exact(F.col("_p"), 3))
-        .withColumn("intent_band", intent_band(F.col("_p")))
-        .withColumn("switch_terms", F.map_filter(
+    df = df.withColumns({
+        "headline_family": F.col("headline_cls.family"),
+        "seniority": F.coalesce(stated, level_from_years(
+            F.col("years_relevant"), F.coalesce("intern_only", no))),
+        "_claimed": claimed_level(F.col("headline_text")),
+        "_terms": F.struct(*[t.alias(n) for n, t in terms.items()]),
+        "unreachable": F.exists("implied", lambda f: ~F.exists(
+            F.when(F.size("priors") > 0, F.col("priors")).otherwise(F.array("role_family")),
+            lambda p: rules.adjacency.score(p, f, F.col("priors")) > 0)),
+    })
+    terms = {n: F.col(f"_terms.{n}") for n in terms}
+    df = df.withColumns({
+        "_inflated": F.coalesce(level_order(F.col("_claimed")) > level_order(F.col("seniority")),
+                                no),
+        "_p": intent_probability(terms),
+        "switch_terms": F.map_filter(
             F.create_map(*[x for n, t in terms.items()
                            for x in (F.lit(n), F.when(t, fv.INTENT_WEIGHTS[n]))]),
-            lambda _, v: v.isNotNull()))
-        .withColumn("implied", sk.implied_classes(F.col("claimed")))
-    )
+            lambda _, v: v.isNotNull()),
+    })
     mismatch = F.coalesce(F.col("headline_family") != F.col("role_family"), no)
     flags = {
         "headline_family_mismatch": mismatch,
@@ -297,14 +297,12 @@ def signal_columns(base: DataFrame, rules: Rules) -> DataFrame:
         "thin_history": (F.col("n_entries") < 2) & (F.col("n_months") < 12),
         "unclassified_entries": F.coalesce("unclassified_entries", no),
     }
-    df = (
-        df.withColumn("confidence", confidence(flags, F.col("noise_ratio")))
-        .withColumn("extraction_flags", flag_list(flags))
-        .withColumn("off_domain", sk.off_domain_count(F.col("declared")))
-        .withColumn("unreachable", F.exists("implied", lambda f: ~F.exists(
-            F.when(F.size("priors") > 0, F.col("priors")).otherwise(F.array("role_family")),
-            lambda p: rules.adjacency.score(p, f, F.col("priors")) > 0)))
-    )
+    df = df.withColumns({
+        "switch_intent": round_exact(F.col("_p"), 3),
+        "intent_band": intent_band(F.col("_p")),
+        "confidence": confidence(flags, F.col("noise_ratio")),
+        "extraction_flags": flag_list(flags),
+    })
     codes = [
         F.when(F.col("headline_text").rlike("|".join(fv.TRANSITION_PHRASES)),
                "headline_declares_transition"),
@@ -319,7 +317,7 @@ def signal_columns(base: DataFrame, rules: Rules) -> DataFrame:
                F.concat(F.lit("open_to_work:"), F.col("is_open").cast("string"))),
         F.concat(F.lit("switch_intent:"), "intent_band"),
         F.concat(F.lit("tenure_flag:"), "tenure_flag"),
-        F.when(F.col("_break"), "career_break"),
+        F.when(terms["career_break"], "career_break"),
         F.when(flags["fallback_classifier_used"],
                F.concat(F.lit("fallback_classifier_used:"), "_fallback")),
         F.when(flags["no_experience_descriptions"], "no_experience_descriptions"),
@@ -327,13 +325,13 @@ def signal_columns(base: DataFrame, rules: Rules) -> DataFrame:
         F.when(flags["duration_mismatch"], "duration_mismatch"),
         F.when(F.col("confidence") < fv.LOW_CONFIDENCE, "low_confidence_extraction"),
     ]
-    df = df.withColumn("reason_codes", F.array_distinct(F.array_compact(F.array(*codes))))
     return df.select(
         "id", "role_family", "role_family_alt", "role_family_scores", "seniority", "years_total",
         "years_relevant", "core_skills", F.col("claimed").alias("claimed_skills_unverified"),
         F.col("noise_ratio").alias("skill_noise_ratio"), "avg_tenure_months", "jobs_last_36m",
         "tenure_flag", "switch_intent", "intent_band", "switch_terms", "confidence",
-        "reason_codes", "extraction_flags", F.lit(rules.version).alias("signals_version"),
+        F.array_distinct(F.array_compact(F.array(*codes))).alias("reason_codes"),
+        "extraction_flags", F.lit(rules.version).alias("signals_version"),
         "priors", "history", "location_text", "headline_family", "implied", "unreachable",
         "off_domain", "current_months", "n_entries",
     )

@@ -23,15 +23,17 @@ def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, Da
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> Column:
-    """All rows of a small table as one array, usable beside any row.
+    """All rows of a small table as one array, for use as a column beside any row.
 
     The table is read as a scalar subquery, so it reaches the driver.  It is cut
-    at ``limit + 1`` rows first and refused when that many arrive.
+    at ``limit + 1`` rows first and refused when that many arrive.  A table of
+    one column gives an array of its values, else an array of structs.
     """
-    whole = F.collect_list(F.struct(*[F.col(c) for c in df.columns]))
+    item = F.col(df.columns[0]) if len(df.columns) == 1 else F.struct(
+        *[F.col(c) for c in df.columns])
     small = df.limit(limit + 1).agg(
         F.when(F.count(F.lit(1)) > limit, F.raise_error(F.lit(f"{what}: over {limit} rows")))
-        .otherwise(whole).alias("rows"))
+        .otherwise(F.collect_list(item)).alias("rows"))
     return small.scalar()
 
 

@@ -51,8 +51,8 @@ def evidence(
             canonical_list(F.col("skills_used"), aliases, raw_first=True).alias("_used"),
             tx.tokens(tx.norm_text(F.col("description"))).alias("_toks"))
         .join(declared, by)
-        .withColumn("_desc", F.array_join("_toks", " "))
-        .withColumn("_by_used", F.array_intersect("declared", "_used"))
+        .withColumns({"_desc": F.array_join("_toks", " "),
+                      "_by_used": F.array_intersect("declared", "_used")})
     )
 
     def in_text(s: Column) -> Column:
@@ -115,7 +115,7 @@ def noise_ratio(claimed: Column, declared: Column) -> Column:
 
 def off_domain_count(declared: Column, off_domain: list[str] | None = None) -> Column:
     listed = vocab.OFF_DOMAIN_SKILLS if off_domain is None else off_domain
-    return F.size(F.array_intersect(declared, F.array(*[F.lit(s) for s in listed])))
+    return F.size(F.array_intersect(declared, tx.literal_list(listed)))
 
 
 def implied_classes(claimed: Column, skill_families: dict[str, str] | None = None,
@@ -124,5 +124,5 @@ def implied_classes(claimed: Column, skill_families: dict[str, str] | None = Non
     table = vocab.skill_family_map() if skill_families is None else skill_families
     families = [f for f in dict.fromkeys(table.values()) if f != fv.DEFAULT_FAMILY]
     pointed = F.transform(claimed, lambda s: F.try_element_at(tx.literal_map(table), s))
-    return F.filter(F.array(*[F.lit(f) for f in families]),
+    return F.filter(tx.literal_list(families),
                     lambda f: F.size(F.filter(pointed, lambda p: p == f)) >= minimum)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchloom import fixed_values as fv
 from matchloom.functions import dates as dt
 from matchloom.functions.numeric import round_exact
-from matchloom.operators.skew import dominance_sum, selected_values, split_hot
+from matchloom.operators.skew import dominance_sum, split_hot
 
 # Entities with more spells than this leave the in-row comparison.
 PAIRWISE_LIMIT = 256
@@ -30,24 +30,21 @@ def resolve_spans(
     start_on = dt.parse_date(F.col(start))
     end_on = dt.parse_date(stated_end)
     is_current = F.coalesce(F.col(current), F.lit(False))
-    out = entries.withColumn("_s", start_on).withColumn("_e", end_on)
     usable, ended = F.col("_s").isNotNull(), F.col("_e").isNotNull()
     until = F.coalesce(F.col("_e"), as_of)
     backwards = until < F.col("_s")
     unread_end = ~ended & (F.coalesce(stated_end, F.lit("")) != "")
-    out = (
-        out.withColumn("start_on", F.col("_s"))
-        .withColumn("end_on", F.when(usable, F.greatest(until, F.col("_s"))))
-        .withColumn("is_open", usable & (is_current | ~ended))
-        .withColumn("bad_date", ~usable | unread_end | backwards)
-        .withColumn("open_ended", usable & ~ended & ~is_current)
-        .drop("_s", "_e")
-        .withColumn("months", dt.whole_months(F.col("start_on"), F.col("end_on")))
-    )
-    return out.withColumn(
-        "off_length",
-        F.coalesce(F.abs(F.col(duration) - F.col("months")) > 2, F.lit(False)),
-    )
+    out = entries.withColumns({"_s": start_on, "_e": end_on}).select(
+        *entries.columns,
+        F.col("_s").alias("start_on"),
+        F.when(usable, F.greatest(until, F.col("_s"))).alias("end_on"),
+        (usable & (is_current | ~ended)).alias("is_open"),
+        (~usable | unread_end | backwards).alias("bad_date"),
+        (usable & ~ended & ~is_current).alias("open_ended"))
+    months = dt.whole_months(F.col("start_on"), F.col("end_on"))
+    return out.withColumns({
+        "months": months,
+        "off_length": F.coalesce(F.abs(F.col(duration) - months) > 2, F.lit(False))})
 
 
 def interval_union(spans: DataFrame, by: str = "id") -> DataFrame:
@@ -193,12 +190,15 @@ def snapshot_date(entries: DataFrame, fallback: Column, start: str, months: str,
                   is_current: str) -> DataFrame:
     """Upper median of start plus stated months over current entries."""
     implied = entries.where(F.col(is_current)).select(
-        F.unix_date(F.add_months(dt.parse_date(F.col(start)), F.col(months).cast("int")))
-        .alias("day"))
+        F.add_months(dt.parse_date(F.col(start)), F.col(months).cast("int")).alias("day"))
+    # One row per calendar day from here on.
+    days = implied.where("day is not null").groupBy("day").agg(F.count(F.lit(1)).alias("_k"))
+    everything = Window.partitionBy(F.lit(0))
+    ranked = days.withColumn("_upto", F.sum("_k").over(everything.orderBy("day"))).withColumn(
+        "_n", F.sum("_k").over(everything))
     # floor(n / 2) as a 0-based rank is the upper median.
-    median = selected_values(implied, "day", {"median": F.floor(F.col("n") / 2)})
-    return median.agg(F.coalesce(F.date_from_unix_date(F.max("day").cast("int")), fallback)
-                      .alias("snapshot_date"))
+    return ranked.where(F.col("_upto") > F.floor(F.col("_n") / 2)).agg(
+        F.coalesce(F.min("day"), fallback).alias("snapshot_date"))
 
 
 def feed_as_of(feed: DataFrame, observed: str, fallback: Column) -> DataFrame:

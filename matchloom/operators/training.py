@@ -44,7 +44,7 @@ def corpus_rows(df: DataFrame, core: str, label: str) -> DataFrame:
     return rows.join(sizes, "label").withColumn("weight", whole / F.col("_n")).drop("_n")
 
 
-def pipeline(rows: int, features: int = 2**12) -> Pipeline:
+def model_stages(rows: int, features: int = 2**12) -> Pipeline:
     """Hashed grams keep the model a fixed size whatever the vocabulary."""
     stages = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc")]
     parts = []
@@ -69,7 +69,7 @@ def train(corpus: DataFrame, features: int = 2**12) -> PipelineModel:
     """Fit on (core, label, weight) rows."""
     ready = with_grams(corpus, "core").cache()
     try:
-        return pipeline(ready.count(), features).fit(ready)
+        return model_stages(ready.count(), features).fit(ready)
     finally:
         ready.unpersist()
 

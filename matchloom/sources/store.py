@@ -68,8 +68,8 @@ class Store:
     def upsert(self, fresh: DataFrame, table: str, key: list[str], order: list[str],
                run_id: str, committed_at: str) -> int:
         stored = self.read(table)
-        merged = fresh.limit(0).unionByName(fresh) if stored is None else stored
-        return self.write(upsert(merged, fresh, key, order), table, run_id, committed_at)
+        base = fresh.limit(0) if stored is None else stored
+        return self.write(upsert(base, fresh, key, order), table, run_id, committed_at)
 
     def append(self, fresh: DataFrame, table: str, key: str, order: list[str], run_id: str,
                committed_at: str) -> int:
