@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom import fixed_values as fv
+from matchloom.functions.numeric import let
 
 # ---------------------------------------------------------------- fixed values
 BLANKS = (
@@ -122,11 +123,16 @@ def norm_skill(normed: Column, aliases: Column | None = None) -> Column:
     """Canonical skill from already normalised text; ``aliases`` is a map column."""
     text = F.regexp_replace(normed, r"(?U)^[^\w]+|[^\w]+$", "")
     text = squeeze(F.replace(text, F.lit("_"), F.lit(" ")))
-    bare = F.trim(F.regexp_replace(text, JS_SUFFIX, ""))
-    bare = F.when(bare != "", bare).otherwise(text)
-    if aliases is None:
-        return bare
-    return F.coalesce(F.try_element_at(aliases, text), F.try_element_at(aliases, bare), bare)
+
+    def resolved(t: Column) -> Column:
+        cut = F.trim(F.regexp_replace(t, JS_SUFFIX, ""))
+        bare = F.coalesce(F.nullif(cut, F.lit("")), t)
+        if aliases is None:
+            return bare
+        return let(bare, lambda b: F.coalesce(
+            F.try_element_at(aliases, t), F.try_element_at(aliases, b), b))
+
+    return let(text, resolved)
 
 
 def norm_title(normed: Column) -> Column:
@@ -139,16 +145,20 @@ def norm_title(normed: Column) -> Column:
     text = squeeze(F.regexp_replace(text, r"(?U)[^\w+#/. -]", " "))
     text = F.regexp_replace(text, r"^[ .-]+|[ .-]+$", "")
     text = F.regexp_replace(text, WELDED_LEVEL, "$1 $2")
-    front = F.regexp_extract(text, rf"^((?:(?:{words})(?: |$))*)", 1)
-    rest = F.substring(text, F.length(front) + 1, F.length(text))
-    back = F.regexp_extract(rest, rf"((?:(?:^| )(?:{marks}))*)$", 1)
-    core = F.trim(F.substring(rest, F.lit(1), F.length(rest) - F.length(back)))
-    core = F.when(core != "", core).otherwise(F.trim(text))
-    prefixes = F.concat(
-        F.filter(F.split(F.trim(front), " "), lambda w: w != ""),
-        F.reverse(F.filter(F.split(F.trim(back), " "), lambda w: w != "")),
-    )
-    return F.struct(core.alias("core"), prefixes.alias("prefixes"))
+
+    def items(part: Column) -> Column:
+        return F.filter(F.split(F.trim(part), " "), lambda w: w != "")
+
+    def parts(t: Column, front: Column, rest: Column, back: Column) -> Column:
+        core = F.trim(F.substring(rest, F.lit(1), F.length(rest) - F.length(back)))
+        return F.struct(
+            F.coalesce(F.nullif(core, F.lit("")), F.trim(t)).alias("core"),
+            F.concat(items(front), F.reverse(items(back))).alias("prefixes"))
+
+    return let(text, lambda t: let(
+        F.regexp_extract(t, rf"^((?:(?:{words})(?: |$))*)", 1), lambda front: let(
+            F.substring(t, F.length(front) + 1, F.length(t)), lambda rest: parts(
+                t, front, rest, F.regexp_extract(rest, rf"((?:(?:^| )(?:{marks}))*)$", 1)))))
 
 
 def tokens(normed: Column) -> Column:

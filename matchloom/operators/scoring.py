@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom import fixed_values as fv
 from matchloom.functions import text as tx
-from matchloom.functions.numeric import clamp, round_exact
+from matchloom.functions.numeric import clamp, let, round_exact
 from matchloom.operators.adjacency import Adjacency, years_towards
 from matchloom.operators.signals import Rules
 from matchloom.operators.skew import bounded_rows, ranked
@@ -93,20 +93,23 @@ def coverage(requirements: str, affinity_col: str, on: Column) -> Column:
 
 
 def mean_points(covers: Column, points: float) -> Column:
-    total = F.aggregate(covers, F.lit(0.0), lambda acc, c: acc + c)
-    return F.when(F.size(covers) > 0, total / F.size(covers) * points).otherwise(0.0)
+    def mean(cs: Column) -> Column:
+        total = F.aggregate(cs, F.lit(0.0), lambda acc, c: acc + c)
+        return F.when(F.size(cs) > 0, total / F.size(cs) * points).otherwise(0.0)
+
+    return let(covers, mean)
 
 
 def band_points(years: Column, low: Column, high: Column) -> Column:
     """Full points in the band, near points within a year, then linear decay to 0."""
-    distance = F.when(years < low, low - years).otherwise(years - high)
-    beyond = F.greatest(F.lit(0.0), F.lit(float(fv.BAND_NEAR)) * (
-        1.0 - (distance - fv.BAND_NEAR_YEARS) / fv.BAND_DECAY_YEARS))
-    return (
-        F.when((years >= low) & (years <= high), float(fv.BAND_IN))
-        .when(distance <= fv.BAND_NEAR_YEARS, float(fv.BAND_NEAR))
-        .otherwise(beyond)
-    )
+    def outside(distance: Column) -> Column:
+        return F.when(distance <= fv.BAND_NEAR_YEARS, float(fv.BAND_NEAR)).otherwise(
+            F.greatest(F.lit(0.0), F.lit(float(fv.BAND_NEAR)) * (
+                1.0 - (distance - fv.BAND_NEAR_YEARS) / fv.BAND_DECAY_YEARS)))
+
+    return let(years, lambda y: F.when(
+        (y >= low) & (y <= high), float(fv.BAND_IN)).otherwise(
+        let(F.when(y < low, low - y).otherwise(y - high), outside)))
 
 
 def same_metro(a: Column, b: Column, metros: dict[str, list[str]] | None = None) -> Column:
@@ -157,26 +160,24 @@ def score(df: DataFrame, rules: Rules, on: Column | None = None) -> DataFrame:
     df = affinity(df, adj)
     near = F.when(flag["role_prefilter"], F.greatest(
         F.col("direct"), F.col("alt_best") * fv.ALTERNATE_AFFINITY)).otherwise(1.0)
-    df = df.withColumn("affinity", near)
-    df = df.withColumn("years_for_job", years_towards(
-        F.col("history"), F.col("job_family"), F.col("priors"), adj))
-    df = df.withColumn("_must", coverage("must_have", "affinity", F.col("_on")))
-    df = df.withColumn("_good", coverage("good_to_have", "affinity", F.col("_on")))
+    df = df.withColumns({
+        "affinity": near,
+        "years_for_job": years_towards(F.col("history"), F.col("job_family"), F.col("priors"), adj),
+        "_where": location_kind(F.col("city"), F.col("is_remote"), F.col("location_text"))})
+    df = df.withColumns({"_must": coverage("must_have", "affinity", F.col("_on")),
+                         "_good": coverage("good_to_have", "affinity", F.col("_on"))})
     tiered = flag["evidence_tiering"]
-    df = df.withColumn("_must_cov", F.transform("_must", lambda m: F.when(
-        m["claimed_only"] & tiered, fv.CLAIMED_ONLY_CREDIT).otherwise(m["cover"])))
+    must_cover = F.transform("_must", lambda m: F.when(
+        m["claimed_only"] & tiered, fv.CLAIMED_ONLY_CREDIT).otherwise(m["cover"]))
     overlap = F.when(flag["must_have_scoring"], (
-        mean_points(F.col("_must_cov"), fv.MUST_POINTS)
+        mean_points(must_cover, fv.MUST_POINTS)
         + mean_points(F.transform("_good", lambda g: g["cover"]), fv.GOOD_POINTS))).otherwise(0.0)
-    kind = location_kind(F.col("city"), F.col("is_remote"), F.col("location_text"))
-    df = df.withColumn("_where", kind)
     place_points = F.try_element_at(
         tx.literal_map({k: float(v) for k, v in fv.LOCATION_POINTS.items()}), F.col("_where"))
     steady = F.try_element_at(tx.literal_map(fv.TENURE_FACTORS), F.col("tenure_flag"))
-    role = F.col("affinity") * fv.WEIGHTS["role_match"]
     has_snippet = F.coalesce(F.col("snippet") != "", F.lit(False))
     parts = {
-        "role_match": role,
+        "role_match": F.col("affinity") * fv.WEIGHTS["role_match"],
         "skill_overlap": overlap,
         "seniority_fit": F.when(flag["seniority_band"], band_points(
             F.col("years_for_job"), F.col("min_years"), F.col("max_years"))).otherwise(0.0),
@@ -189,23 +190,28 @@ def score(df: DataFrame, rules: Rules, on: Column | None = None) -> DataFrame:
         "tenure_stability": F.when(flag["tenure_stability"], steady
                                    * fv.WEIGHTS["tenure_stability"]).otherwise(0.0),
     }
-    df = df.withColumn("score_breakdown", F.struct(
-        *[round_exact(p, 2).alias(n) for n, p in parts.items()]))
-    df = df.withColumn("missing_must_haves", F.when(flag["must_have_scoring"], F.transform(
-        F.filter("_must", lambda m: m["cover"] < 1), lambda m: m["raw"])).otherwise(
-        F.array().cast("array<string>")))
-    raw = F.lit(0.0)
-    for n in parts:
-        raw = raw + F.col(f"score_breakdown.{n}")
-    df = df.withColumn("_raw", raw - F.size("missing_must_haves") * fv.MISSING_PENALTY)
-    capped = flag["soft_cap"] & (F.col("affinity") == 0) & (F.col("_raw") > fv.MISMATCH_CAP)
-    df = df.withColumn("_capped", capped)
-    total = clamp(F.when(F.col("_capped"), float(fv.MISMATCH_CAP)).otherwise(F.col("_raw")),
-                  0.0, 100.0)
-    df = df.withColumn("total", round_exact(total, 6))
-    df = df.withColumn("fit_score", F.rint("total").cast("bigint"))
-    df = df.withColumn("match_codes", _codes(flag, has_snippet))
-    return df.drop("_must", "_good", "_must_cov", "_raw", "_where", "_capped")
+    df = df.withColumns({
+        "score_breakdown": F.struct(*[round_exact(p, 2).alias(n) for n, p in parts.items()]),
+        "missing_must_haves": F.when(flag["must_have_scoring"], F.transform(
+            F.filter("_must", lambda m: m["cover"] < 1), lambda m: m["raw"])).otherwise(
+            F.array().cast("array<string>"))})
+
+    def summed(breakdown: Column) -> Column:
+        total = F.lit(0.0)
+        for n in parts:
+            total = total + breakdown[n]
+        return total
+
+    df = df.withColumn("_raw", let(F.col("score_breakdown"), summed)
+                       - F.size("missing_must_haves") * fv.MISSING_PENALTY)
+    may_cap = flag["soft_cap"] & (F.col("affinity") == 0)
+    total = let(F.col("_raw"), lambda r: clamp(
+        F.when(may_cap & (r > fv.MISMATCH_CAP), float(fv.MISMATCH_CAP)).otherwise(r), 0.0, 100.0))
+    df = df.withColumns({"total": round_exact(total, 6),
+                         "_capped": may_cap & (F.col("_raw") > fv.MISMATCH_CAP)})
+    df = df.withColumns({"fit_score": F.rint("total").cast("bigint"),
+                         "match_codes": _codes(flag, has_snippet)})
+    return df.drop("_must", "_good", "_raw", "_where", "_capped")
 
 
 def _codes(flag: dict[str, Column], has_snippet: Column) -> Column:

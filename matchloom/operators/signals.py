@@ -12,7 +12,7 @@ from matchloom import fixed_values as fv
 from matchloom import vocabulary as vocab
 from matchloom.functions import dates as dt
 from matchloom.functions import text as tx
-from matchloom.functions.numeric import clamp, round_exact
+from matchloom.functions.numeric import clamp, let, round_exact
 from matchloom.operators import skills as sk
 from matchloom.operators import spans as sp
 from matchloom.operators.adjacency import Adjacency, years_towards
@@ -47,10 +47,9 @@ def claimed_level(normed_headline: Column) -> Column:
 
 
 def level_from_years(years: Column, intern_only: Column) -> Column:
-    return (
-        F.when(intern_only | (years < 1), "intern")
-        .when(years < 3, "junior").when(years < 6, "mid").otherwise("senior")
-    )
+    return let(years, lambda y: (
+        F.when(intern_only | (y < 1), "intern")
+        .when(y < 3, "junior").when(y < 6, "mid").otherwise("senior")))
 
 
 def level_order(level: Column) -> Column:
@@ -342,5 +341,6 @@ def vocabulary_violations(df: DataFrame, codes: str) -> DataFrame:
     known = F.lit(False)
     for _, pattern in fv.REASON_TEMPLATES:
         known = known | F.col("code").rlike(pattern)
-    return df.select(F.explode(codes).alias("code")).groupBy("code").agg(
-        F.count(F.lit(1)).alias("uses")).where(~known)
+    # The outer form keeps Spark from repeating the whole code expression in a filter.
+    return df.select(F.explode_outer(codes).alias("code")).groupBy("code").agg(
+        F.count(F.lit(1)).alias("uses")).where(F.col("code").isNotNull() & ~known)

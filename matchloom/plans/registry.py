@@ -38,7 +38,7 @@ def with_ctes(sql: str, uses: tuple[str, ...]) -> str:
         visit(name)
     if not ordered:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered) + "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered) + "\n" + sql.lstrip()
 
 
 def shared(fn):
