@@ -1,0 +1,117 @@
+"""Queries over monitoring aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from matchloom import fixed_values as fv
+from matchloom.functions.numeric import round_exact
+from matchloom.operators import monitor as mon
+from matchloom.operators.skew import selected_values, union_all
+from matchloom.plans.q_evaluate import metrics_a, metrics_b
+from matchloom.plans.q_feed import events as feed_events
+from matchloom.plans.q_signals import signals
+from matchloom.plans.registry import cte, query, table
+from matchloom.plans.sqltext import rx
+
+
+@query("store_health", """
+  SELECT count(*) AS rows_total, count(*) FILTER (c_custkey % 9 <> 0) AS rows_current,
+    CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) FILTER (c_custkey % 9 <> 0) < count(*) THEN 'stale_versions' ELSE 'ok' END AS status FROM customer""")
+def store_health(spark, sf):
+    rows = table(spark, sf, "customer").select(
+        F.when(F.col("c_custkey") % 9 == 0, "0.9.0").otherwise("1.0.0").alias("signals_version"))
+    return mon.store_health(rows, "1.0.0")
+
+
+_DIMS = {"role_family": "role_family", "seniority": "seniority", "tenure_flag": "tenure_flag"}
+
+
+@query("signal_distribution", " UNION ALL ".join(
+    f"SELECT '{d}' AS dimension, {c} AS level, count(*) AS n, count(*) FILTER (confidence < 0.5) AS low_confidence, "
+    f"min(confidence) AS min_confidence, max(confidence) AS max_confidence FROM signals GROUP BY ALL"
+    for d, c in {**_DIMS, "all": "'all'"}.items()), ("signals",))
+def signal_distribution(spark, sf):
+    return mon.distribution(signals(spark, sf), list(_DIMS), "confidence")
+
+
+@query("arm_verdicts", """
+  SELECT doc_id, max(CASE WHEN arm = 'length' THEN v END) AS length, max(CASE WHEN arm = 'quality' THEN v END) AS quality,
+    max(CASE WHEN arm = 'toxic' THEN v END) AS toxic FROM (
+    SELECT doc_id, 'quality' AS arm, quality AS v FROM labels UNION ALL SELECT doc_id, 'toxic', 1 - toxic FROM labels
+    UNION ALL SELECT doc_id, 'length', CASE WHEN n_chars > 200 THEN 1 ELSE 0 END FROM documents) GROUP BY doc_id""")
+def arm_verdicts(spark, sf):
+    labels, docs = table(spark, sf, "labels"), table(spark, sf, "documents")
+    rows = union_all([
+        labels.select("doc_id", F.lit("quality").alias("arm"), F.col("quality").cast("int").alias("v")),
+        labels.select("doc_id", F.lit("toxic").alias("arm"), (1 - F.col("toxic")).cast("int").alias("v")),
+        docs.select("doc_id", F.lit("length").alias("arm"), F.when(F.col("n_chars") > 200, 1).otherwise(0).alias("v"))])
+    return rows.groupBy("doc_id").pivot("arm", ["length", "quality", "toxic"]).agg(F.max("v"))
+
+
+_M = ["ndcg_10", "precision_5", "mrr"]
+
+
+@query("system_delta", " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, a, b, {rx('(b - a)', 4)} AS delta FROM (SELECT {rx(f'(SELECT avg({m}) FROM metrics_list_a)', 4)} AS a, "
+    f"{rx(f'(SELECT avg({m}) FROM metrics_list_b)', 4)} AS b)" for m in _M), ("metrics_list_a", "metrics_list_b"))
+def system_delta(spark, sf):
+    rows = metrics_a(spark, sf).withColumn("system", F.lit("a")).unionByName(
+        metrics_b(spark, sf).withColumn("system", F.lit("b")))
+    long = rows.select("system", F.explode(F.array(*[F.struct(
+        F.lit(m).alias("metric"), F.col(m).alias("x")) for m in _M])).alias("p")).select("system", "p.*")
+    wide = long.groupBy("metric").pivot("system", ["a", "b"]).agg(round_exact(F.avg("x"), 4))
+    return wide.select("metric", "a", "b", round_exact(F.col("b") - F.col("a"), 4).alias("delta"))
+
+
+@query("feed_reach", f"""
+  SELECT materiality, events, entities, recomputed, {rx('(events::DOUBLE / total)', 4)} AS share FROM (
+    SELECT materiality, count(*) AS events, count(DISTINCT entity) AS entities, count(DISTINCT entity) FILTER (affected <> '') AS recomputed,
+      (SELECT count(*) FROM events_all) AS total FROM events_all GROUP BY materiality)""", ("events_all",))
+def feed_reach(spark, sf):
+    return mon.feed_reach(feed_events(spark, sf))
+
+
+@query("drift_alarms", f"""
+  SELECT day, rule, rate, alarm FROM (
+    SELECT day, 'share:' || event_type AS rule, {rx('s', 6)} AS rate, coalesce(k >= 3 AND abs(s - m) > d * 3, FALSE) AS alarm FROM (
+      SELECT *, count(*) OVER w AS k, avg(s) OVER w AS m, stddev(s) OVER w AS d FROM (SELECT day, event_type, n / sum(n) OVER (PARTITION BY day)::DOUBLE AS s
+        FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2))
+      WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+  UNION ALL SELECT day, 'abstention', {rx('r', 6)}, r > 0.25 FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS r FROM events GROUP BY 1)
+  UNION ALL SELECT day, 'noise', {rx('r', 6)}, r < 0.4 FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type IN ('view', 'click')) / count(*)::DOUBLE AS r FROM events GROUP BY 1)
+  UNION ALL SELECT day, 'deletion', {rx('r', 6)}, r > 0.05 FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_id % 17 = 0) / count(*)::DOUBLE AS r FROM events GROUP BY 1)
+  UNION ALL SELECT day, 'mean', {rx('m', 6)}, coalesce(lag(m) OVER (ORDER BY day) - m > 0.05, FALSE) FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, sum(v) / 100.0::DOUBLE / count(*) AS m FROM (SELECT ts, CAST(round(value * 100) AS BIGINT) AS v FROM events) GROUP BY 1)""")
+def drift_alarms(spark, sf):
+    rows = table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    shares = mon.class_share_alarms(rows, "day", "event_type").select(
+        "day", F.concat(F.lit("share:"), "event_type").alias("rule"), F.col("share").alias("rate"), "alarm")
+    rates = mon.rate_alarms(rows, "day", {
+        "abstention": (F.col("event_type") == "error", "above", fv.ALARM_ABSTENTION),
+        "noise": (F.col("event_type").isin("view", "click"), "below", fv.ALARM_NOISE_SHARE),
+        "deletion": (F.col("event_id") % 17 == 0, "above", fv.ALARM_DELETION_RATE)})
+    # Cents are summed as integers so that the mean does not depend on the order.
+    cents = rows.groupBy("day").agg((F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100.0
+                                     / F.count(F.lit(1))).alias("m"))
+    means = mon.mean_drop_alarms(cents, "day", F.col("m")).select(
+        "day", F.lit("mean").alias("rule"), F.col("mean").alias("rate"), "alarm")
+    return union_all([shares, rates, means])
+
+
+@query("cost_projection", f"""
+  SELECT event_type AS stage, rows, {rx('(p * 1000)', 4)} AS ms_per_row, {rx('(p * 1000000 / 3600.0::DOUBLE)', 4)} AS cpu_hours_per_million,
+    {rx(f'(p * 1000000 / 3600.0::DOUBLE * {fv.PRICE_VCPU_HOUR + 2.0 * fv.PRICE_GB_HOUR}::DOUBLE)', 4)} AS dollars_per_million
+  FROM (SELECT event_type, count(*) AS rows, sum(CAST(round(value * 100) AS BIGINT)) / count(*)::DOUBLE AS p FROM events GROUP BY event_type)""")
+def cost_projection(spark, sf):
+    rows = table(spark, sf, "events").withColumnRenamed("event_type", "stage")
+    return mon.cost_projection(rows, "stage", F.round(F.col("value") * 100).cast("bigint"), F.lit(1))
+
+
+@query("exact_percentiles", """
+  SELECT event_type, v[CAST(len(v) // 2 AS BIGINT) + 1] AS p50, v[least(len(v), CAST(floor(len(v) * 0.95::DOUBLE) AS BIGINT) + 1)] AS p95
+  FROM (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type)""")
+def exact_percentiles(spark, sf):
+    n = F.col("n")
+    found = selected_values(table(spark, sf, "events"), "value", {
+        "p50": F.floor(n / 2), "p95": F.least(n - 1, F.floor(n * 0.95))}, ["event_type"])
+    return found.groupBy("event_type").pivot("pick", ["p50", "p95"]).agg(F.max("value"))

@@ -148,8 +148,8 @@ cte("pair_base", f"""
   FROM signals s JOIN people p USING (id) LEFT JOIN shipped h USING (id) CROSS JOIN parsed_jobs j""",
     ("signals", "people", "shipped", "parsed_jobs", "dim_adj"))
 cte("pair_alt", f"""
-  SELECT id, job_id, max({sql_adj('a', 'job_family', 'priors')}) / 1000000.0::DOUBLE AS alt_best FROM (
-    SELECT s.id, s.priors, j.job_id, j.job_family, unnest(s.role_family_alt) AS a FROM signals s CROSS JOIN parsed_jobs j)
+  SELECT id, job_id, max({sql_adj('alt_f', 'job_family', 'priors')}) / 1000000.0::DOUBLE AS alt_best FROM (
+    SELECT s.id, s.priors, j.job_id, j.job_family, unnest(s.role_family_alt) AS alt_f FROM signals s CROSS JOIN parsed_jobs j)
   GROUP BY id, job_id""", ("signals", "parsed_jobs", "dim_adj"))
 cte("pair_years", f"""
   SELECT id, job_id, {rx('y', 2)} AS years FROM (SELECT s.id, j.job_id, sum(s.months *
