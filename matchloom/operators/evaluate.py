@@ -93,10 +93,14 @@ def query_metrics(lists: DataFrame, labels: DataFrame, query: str = "query",
 
 def macro(per_query: DataFrame, metrics: list[str], by: list[str] | None = None,
           digits: int = 4) -> DataFrame:
-    """Unweighted mean over queries."""
+    """Unweighted mean over queries; summed as integers so that order cannot matter."""
+    def mean(m: str) -> Column:
+        return F.sum(F.rint(F.col(m) * 1e9).cast("bigint")) / F.count(F.lit(1)) / 1e9
+
     rolled = per_query.groupBy(*(by or [])).agg(
-        F.count(F.lit(1)).alias("n_queries"), *[F.avg(m).alias(m) for m in metrics])
-    return rolled.select(*(by or []), "n_queries", *[round_exact(F.col(m), digits).alias(m) for m in metrics])
+        F.count(F.lit(1)).alias("n_queries"), *[mean(m).alias(m) for m in metrics])
+    return rolled.select(*(by or []), "n_queries",
+                         *[round_exact(F.col(m), digits).alias(m) for m in metrics])
 
 
 def paired_positions(a: DataFrame, b: DataFrame, query: str = "query", item: str = "item") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as fv
 from matchloom import vocabulary as vocab
 from matchloom.functions import text as tx
-from matchloom.operators.classify import classify
+from matchloom.functions.numeric import let
+from matchloom.operators.classify import classify, constant_rows
 from matchloom.operators.signals import Rules
 
 # ---------------------------------------------------------------- fixed values
@@ -25,14 +28,16 @@ def alternatives(text: Column, aliases: dict[str, str] | None = None) -> Column:
     whole = F.concat(F.regexp_replace(text, PARENTHESES, " "), F.lit(" , "), inner)
     fillers = r"(?U)\b(" + "|".join(fv.REQUIREMENT_FILLERS) + r")\b"
 
+    concepts = constant_rows(
+        [{"concept": c, "synonyms": s} for c, s in fv.CONCEPT_SYNONYMS.items()],
+        "concept string, synonyms array<string>")
+
     def cleaned(part: Column) -> Column:
         return tx.squeeze(F.regexp_replace(tx.norm_plain(part), fillers, " "))
 
     def with_synonyms(part: Column) -> Column:
-        named = [F.when(F.contains(part, F.lit(concept)), F.array(*[F.lit(s) for s in synonyms]))
-                 .otherwise(F.array().cast("array<string>"))
-                 for concept, synonyms in fv.CONCEPT_SYNONYMS.items()]
-        return F.concat(F.array(part), *named)
+        held = F.filter(concepts, lambda c: F.contains(part, c["concept"]))
+        return F.concat(F.array(part), F.flatten(F.transform(held, lambda c: c["synonyms"])))
 
     parts = F.filter(F.transform(F.split(whole, ALTERNATIVE_SPLIT), cleaned), lambda p: p != "")
     names = F.transform(F.flatten(F.transform(parts, with_synonyms)),
@@ -42,18 +47,22 @@ def alternatives(text: Column, aliases: dict[str, str] | None = None) -> Column:
 
 def requirement(text: Column, aliases: dict[str, str] | None = None) -> Column:
     """struct(raw, kind, alternatives, terms, label) of one requirement string."""
-    normed = tx.norm_plain(text)
-    marked = F.lit(False)
-    for marker in fv.EVIDENCE_MARKERS:
-        marked = marked | normed.contains(marker)
-    words = F.filter(F.regexp_extract_all(normed, F.lit(r"([a-z0-9-]+)"), 1),
-                     lambda w: ~w.isin(fv.EVIDENCE_STOP_WORDS) & (F.length(w) > 2))
-    return F.struct(
-        text.alias("raw"),
-        F.when(marked, "evidence").otherwise("skill").alias("kind"),
-        alternatives(text, aliases).alias("alternatives"),
-        F.when(marked, words).otherwise(F.array().cast("array<string>")).alias("terms"),
-        tx.label_slug(normed).alias("label"))
+    marked = "|".join(re.escape(marker) for marker in fv.EVIDENCE_MARKERS)
+
+    def words(normed: Column) -> Column:
+        return F.filter(F.regexp_extract_all(normed, F.lit(r"([a-z0-9-]+)"), 1),
+                        lambda w: ~w.isin(fv.EVIDENCE_STOP_WORDS) & (F.length(w) > 2))
+
+    def read(normed: Column) -> Column:
+        return F.struct(
+            text.alias("raw"),
+            F.when(normed.rlike(marked), "evidence").otherwise("skill").alias("kind"),
+            alternatives(text, aliases).alias("alternatives"),
+            F.when(normed.rlike(marked), words(normed)).otherwise(
+                F.array().cast("array<string>")).alias("terms"),
+            tx.label_slug(normed).alias("label"))
+
+    return let(tx.norm_plain(text), read)
 
 
 def job_city(normed: Column) -> Column:
@@ -64,17 +73,18 @@ def job_city(normed: Column) -> Column:
 
 def with_job_class(jobs: DataFrame, rules: Rules) -> DataFrame:
     """Adds the class from the title, then from the query; null where neither decides."""
-    df = jobs.withColumn("_q", tx.norm_text(F.col("raw_query")))
-    df = df.withColumn("_tc", tx.norm_title(tx.norm_text(F.col("title")))["core"])
-    df = df.withColumn("_qc", tx.norm_title(F.col("_q"))["core"])
-    df = classify(df, "_tc", "_q", "_by_title", rules.lexicon)
-    df = classify(df, "_qc", "_q", "_by_query", rules.lexicon)
-    picked = F.coalesce("_by_title", "_by_query")
-    evidence = F.when(F.col("_by_title").isNull(),
-                      F.concat(F.lit("raw_query:"), "_by_query.evidence")).otherwise(
-        F.col("_by_title.evidence"))
-    return df.select(*jobs.columns, picked["family"].alias("job_family"),
-                     evidence.alias("family_evidence"))
+    query = F.coalesce("raw_query", F.lit(""))
+    texts = jobs.select("job_id", query.alias("_q"),
+                        F.posexplode(F.array("title", query)).alias("_at", "_text"))
+    texts = texts.withColumns({"_q": tx.norm_text(F.col("_q")), "_text": tx.norm_text(F.col("_text"))})
+    texts = texts.withColumn("_core", tx.norm_title(F.col("_text"))["core"])
+    decided = classify(texts, "_core", "_q", "_cls", rules.lexicon)
+    first = decided.groupBy("job_id").agg(F.min_by(
+        F.struct("_at", "_cls"), F.when(F.col("_cls").isNotNull(), F.col("_at"))).alias("_f"))
+    evidence = F.concat(F.when(F.col("_f._at") == 1, "raw_query:").otherwise(""), "_f._cls.evidence")
+    return jobs.join(first, "job_id").select(
+        *jobs.columns, F.col("_f._cls.family").alias("job_family"),
+        evidence.alias("family_evidence"))
 
 
 def parse_jobs(jobs: DataFrame, rules: Rules | None = None, strict: bool = True) -> DataFrame:

@@ -286,8 +286,9 @@ def candidates(signals: DataFrame, shipped: DataFrame) -> DataFrame:
 def rank_matches(scored: DataFrame, group: list[str], id_width: int = 1_000_000) -> DataFrame:
     """Rank per job by total, confidence and id; no job's candidates meet in one task."""
     order = [F.desc("total"), F.desc("confidence"), F.col("id")]
-    coarse = [F.floor(-F.col("total")), F.floor(-F.col("confidence") * 100),
-              F.floor(F.col("id") / id_width)]
+    # Totals have two decimals and confidences three, so both buckets are exact.
+    coarse = [F.rint(F.col("total") * -100).cast("int"),
+              F.rint(F.col("confidence") * -1000).cast("int"), F.floor(F.col("id") / id_width)]
     return ranked(scored, group, order, coarse)
 
 
@@ -311,4 +312,5 @@ def cosine_rank(vectors: DataFrame, queries: Column, by: str, vector: str, digit
         round_exact(vec.dot(F.col("_u"), q["vector"]), digits).alias("similarity"))))
         .alias("_s")).select(by, "_s.*")
     return ranked(rows, ["query"], [F.desc("similarity"), F.col(by)],
-                  [F.floor(-F.col("similarity") * 1000), F.floor(F.col(by) / id_width)])
+                  [F.floor(-F.col("similarity") * 1000), F.rint(F.col("similarity") * -10**digits),
+                   F.floor(F.col(by) / id_width)])

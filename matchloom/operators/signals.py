@@ -202,17 +202,22 @@ def _resolved(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- record
 def extract(
-    people: DataFrame, entries: DataFrame, as_of: Column, rules: Rules | None = None,
+    people: DataFrame, entries: DataFrame | None, as_of: Column, rules: Rules | None = None,
     education: DataFrame | None = None, fallbacks: list[Column] | None = None,
+    weighted: DataFrame | None = None,
 ) -> DataFrame:
     """One signal row per person.
 
+    ``weighted`` may hold :func:`weighted_entries` of the entries, made before;
+    three branches read it, so at scale it is worth writing once.
+
     people(id, headline, about, is_open, location, skills); entries(id, ix, role,
     company_name, job_type, description, skills_used, start_date, end_date,
     is_current, duration_months).  All branches shuffle by id only.
     """
     rules = rules or Rules()
-    weighted = weighted_entries(entries, as_of, rules, fallbacks)
+    if weighted is None:
+        weighted = weighted_entries(entries, as_of, rules, fallbacks)
     feats = entity_features(weighted, as_of, rules)
     union = sp.interval_union(weighted).select("id", "months_covered")
     declared = sk.declared_skills(people, aliases=rules.aliases)

@@ -43,9 +43,10 @@ def ranked(
 ) -> DataFrame:
     """Row number within ``group`` by ``order``, without gathering a group.
 
-    ``coarse`` holds columns of ascending buckets, most significant first, each
-    monotone in ``order``: rows of a lower bucket come before rows of a higher
-    one.  Bucket sizes are counted with map-side combine, running totals are
+    ``coarse`` holds bucket columns, most significant first, that agree with
+    ``order`` when compared together: a row whose buckets are lower comes first.
+    So a bucket on a later key is only valid below buckets that fix the earlier
+    keys exactly.  Bucket sizes are counted with map-side combine, running totals are
     taken over buckets only, and rows are numbered inside their finest bucket.
     """
     marks = [f"_b{i}" for i in range(len(coarse))]

@@ -61,7 +61,7 @@ def model_stages(rows: int, features: int = 2**12) -> Pipeline:
     stages.append(LogisticRegression(
         family="multinomial", featuresCol="features", labelCol="y", weightCol="weight",
         regParam=1.0 / (INVERSE_REGULARISATION * max(rows, 1)), standardization=False,
-        maxIter=60))
+        maxIter=40))
     return Pipeline(stages=stages)
 
 

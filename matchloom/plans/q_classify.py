@@ -16,13 +16,13 @@ from matchloom.operators.skew import selected_values
 from matchloom.plans import demo
 from matchloom.plans.q_text import sql_title
 from matchloom.plans.registry import cte, query, shared, table
-from matchloom.plans.sqltext import any_phrase, joined, norm, phrase, rx, values
+from matchloom.plans.sqltext import any_phrase, boundary, joined, norm, phrase, rx, values
 
 cte("dim_pattern", "SELECT * FROM (VALUES " + values(
-    [(p, f, i, 1 if " " in p else 0) for i, (p, f) in enumerate(vocab.pattern_rows())])
-    + ") t(pattern, family, ord, multi)")
-cte("dim_ambiguous", f"SELECT * FROM (VALUES {values([(a,) for a in vocab.AMBIGUOUS_TITLES])}) t(title)")
-cte("dim_context", f"SELECT * FROM (VALUES {values(vocab.context_rows())}) t(family, term, weight)")
+    [(p, f, i, 1 if " " in p else 0, boundary(p)) for i, (p, f) in enumerate(vocab.pattern_rows())])
+    + ") t(pattern, family, ord, multi, rx)")
+cte("dim_ambiguous", f"SELECT * FROM (VALUES {values([(a, boundary(a)) for a in vocab.AMBIGUOUS_TITLES])}) t(title, rx)")
+cte("dim_context", f"SELECT * FROM (VALUES {values([(*r, boundary(r[1])) for r in vocab.context_rows()])}) t(family, term, weight, rx)")
 
 cte("entry_text", f"""
   SELECT e.id, e.ix, c.core, {norm('e.role')} AS role_text,
@@ -157,7 +157,7 @@ def part_titles(spark, sf):
 @query("train_classifier")
 def train_classifier(spark, sf):
     corpus = tr.corpus_rows(part_titles(spark, sf), "core", "label")
-    model = tr.train(corpus, features=2**10)
+    model = tr.train(corpus, features=2**8)
     return tr.predict(corpus, "core", model).groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.col("forced") == F.col("label"), 1)).alias("correct"))
@@ -166,13 +166,13 @@ def train_classifier(spark, sf):
 @query("cv_accuracy")
 def cv_accuracy(spark, sf):
     corpus = tr.corpus_rows(part_titles(spark, sf), "core", "label")
-    return tr.cross_validate(corpus, features=2**10)
+    return tr.cross_validate(corpus, features=2**8)
 
 
 @query("predict_abstain")
 def predict_abstain(spark, sf):
     rows = part_titles(spark, sf)
-    model = tr.train(tr.corpus_rows(rows, "core", "label"), features=2**10)
+    model = tr.train(tr.corpus_rows(rows, "core", "label"), features=2**8)
     typed = rows.withColumn("core", F.when(F.col("p_partkey") % 4 == 0, F.lower("p_type"))
                             .otherwise(F.col("core")))
     return tr.predict(typed.select("p_partkey", "core", "label"), "core", model).select(

@@ -26,15 +26,15 @@ cte("list_zero", """SELECT r.query, r.item, coalesce(g.rel, 0) AS rel, row_numbe
   FROM ranking r LEFT JOIN grades g USING (query, item)""", ("ranking", "grades"))
 
 
-def _metrics_sql(name: str) -> str:
+def _metrics_sql(name: str, digits: int = 4) -> str:
     def dcg(k):
         return f"coalesce(list_sum(list((pow(2, rel) - 1) / log2(position + 1) ORDER BY position) FILTER (position <= {k})), 0)"
 
     def idcg(k):
         return f"coalesce(list_sum(list((pow(2, rel) - 1) / log2(best + 1) ORDER BY best) FILTER (best <= {k})), 0)"
     return f"""
-  SELECT query, n_ranked, {rx('n10', 4)} AS ndcg_10, {rx('n5', 4)} AS ndcg_5, {rx('p5', 4)} AS precision_5, {rx('m', 4)} AS mrr,
-    {rx('r10', 4)} AS recall_10, n_labelled, n_relevant, {rx('c5', 4)} AS precision_5_ceiling
+  SELECT query, n_ranked, {rx('n10', digits)} AS ndcg_10, {rx('n5', digits)} AS ndcg_5, {rx('p5', digits)} AS precision_5, {rx('m', digits)} AS mrr,
+    {rx('r10', digits)} AS recall_10, n_labelled, n_relevant, {rx('c5', digits)} AS precision_5_ceiling
   FROM (SELECT query, count(*) AS n_ranked, CASE WHEN {idcg(10)} = 0 THEN 0 ELSE {dcg(10)} / {idcg(10)} END AS n10,
       CASE WHEN {idcg(5)} = 0 THEN 0 ELSE {dcg(5)} / {idcg(5)} END AS n5,
       count(*) FILTER (position <= 5 AND rel >= 2) / 5::DOUBLE AS p5,
@@ -47,6 +47,11 @@ def _metrics_sql(name: str) -> str:
 
 for _s in ("list_a", "list_b", "list_zero"):
     cte(f"metrics_{_s}", _metrics_sql(_s), (_s, "grades"))
+    cte(f"raw_{_s}", _metrics_sql(_s, 9), (_s, "grades"))
+
+
+def sql_mean(metric: str) -> str:
+    return f"(sum(CAST(round_even({metric} * 1e9, 0) AS BIGINT))::DOUBLE / count(*) / 1e9::DOUBLE)"
 
 
 def grades(spark, sf):
@@ -67,7 +72,7 @@ def order(system: str):
     score = F.col(f"score_{system}")
     width = 50 if system == "a" else 10
     return [F.desc(f"score_{system}"), F.col("item")], [
-        F.floor(-score / width), F.floor(F.col("item") / 1_000_000)]
+        F.floor(-score / width), -score, F.floor(F.col("item") / 1_000_000)]
 
 
 def lists(spark, sf, system: str, condensed: bool = True):
@@ -129,15 +134,22 @@ def recall_at_k(spark, sf):
 _M = ["ndcg_10", "ndcg_5", "precision_5", "mrr", "recall_10"]
 
 
+def raw_metrics(spark, sf):
+    """Metrics per query and system, not yet rounded for display."""
+    found = {"a": lists_a(spark, sf), "b": lists_b(spark, sf),
+             "zero": lists(spark, sf, "a", condensed=False)}
+    return {s: ev.query_metrics(rows, grades(spark, sf), digits=9).withColumn("system", F.lit(s))
+            for s, rows in found.items()}
+
+
 @query("eval_macro", " UNION ALL ".join(
-    f"SELECT '{s}' AS system, count(*) AS n_queries, " + ", ".join(f"{rx(f'avg({m})', 4)} AS {m}" for m in _M)
-    + f" FROM metrics_list_{s}" for s in ("a", "b", "zero")),
-    ("metrics_list_a", "metrics_list_b", "metrics_list_zero"))
+    f"SELECT '{s}' AS system, count(*) AS n_queries, " + ", ".join(f"{rx(m, 4)} AS {m}" for m in _M)
+    .replace("count(*)", "n") + " FROM (SELECT count(*) AS n, " + ", ".join(f"{sql_mean(m)} AS {m}" for m in _M)
+    + f" FROM raw_list_{s})" for s in ("a", "b", "zero")),
+    ("raw_list_a", "raw_list_b", "raw_list_zero"))
 def eval_macro(spark, sf):
-    zero = ev.query_metrics(lists(spark, sf, "a", condensed=False), grades(spark, sf))
-    parts = [m.withColumn("system", F.lit(s)) for s, m in (
-        ("a", metrics_a(spark, sf)), ("b", metrics_b(spark, sf)), ("zero", zero))]
-    return ev.macro(parts[0].unionByName(parts[1]).unionByName(parts[2]), _M, ["system"])
+    parts = raw_metrics(spark, sf)
+    return ev.macro(parts["a"].unionByName(parts["b"]).unionByName(parts["zero"]), _M, ["system"])
 
 
 _DRAW = "('0x' || substr(md5('{s}|' || draw || '|' || query || '|' || slot), 1, 7))::BIGINT % n".format(s=SEED)

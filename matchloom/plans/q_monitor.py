@@ -8,7 +8,8 @@ from matchloom import fixed_values as fv
 from matchloom.functions.numeric import round_exact
 from matchloom.operators import monitor as mon
 from matchloom.operators.skew import selected_values, union_all
-from matchloom.plans.q_evaluate import metrics_a, metrics_b
+from matchloom.operators import evaluate as ev
+from matchloom.plans.q_evaluate import raw_metrics, sql_mean
 from matchloom.plans.q_feed import events as feed_events
 from matchloom.plans.q_signals import signals
 from matchloom.plans.registry import cte, query, table
@@ -53,14 +54,15 @@ _M = ["ndcg_10", "precision_5", "mrr"]
 
 
 @query("system_delta", " UNION ALL ".join(
-    f"SELECT '{m}' AS metric, a, b, {rx('(b - a)', 4)} AS delta FROM (SELECT {rx(f'(SELECT avg({m}) FROM metrics_list_a)', 4)} AS a, "
-    f"{rx(f'(SELECT avg({m}) FROM metrics_list_b)', 4)} AS b)" for m in _M), ("metrics_list_a", "metrics_list_b"))
+    f"SELECT '{m}' AS metric, a, b, {rx('(b - a)', 4)} AS delta FROM (SELECT {rx('a', 4)} AS a, "
+    f"{rx('b', 4)} AS b FROM (SELECT (SELECT {sql_mean(m)} FROM raw_list_a) AS a, (SELECT {sql_mean(m)} FROM raw_list_b) AS b))" for m in _M),
+    ("raw_list_a", "raw_list_b"))
 def system_delta(spark, sf):
-    rows = metrics_a(spark, sf).withColumn("system", F.lit("a")).unionByName(
-        metrics_b(spark, sf).withColumn("system", F.lit("b")))
-    long = rows.select("system", F.explode(F.array(*[F.struct(
+    parts = raw_metrics(spark, sf)
+    means = ev.macro(parts["a"].unionByName(parts["b"]), _M, ["system"])
+    long = means.select("system", F.explode(F.array(*[F.struct(
         F.lit(m).alias("metric"), F.col(m).alias("x")) for m in _M])).alias("p")).select("system", "p.*")
-    wide = long.groupBy("metric").pivot("system", ["a", "b"]).agg(round_exact(F.avg("x"), 4))
+    wide = long.groupBy("metric").pivot("system", ["a", "b"]).agg(F.max("x"))
     return wide.select("metric", "a", "b", round_exact(F.col("b") - F.col("a"), 4).alias("delta"))
 
 

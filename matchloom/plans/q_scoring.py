@@ -13,6 +13,7 @@ from matchloom.operators import requirements as rq
 from matchloom.operators import scoring as sc
 from matchloom.operators.skew import bounded_rows, top_k
 from matchloom.plans import demo
+from matchloom.session import materialised
 from matchloom.plans.q_signals import RULES, signals, sql_adj
 from matchloom.plans.q_text import sql_norm_skill, sql_title
 from matchloom.plans.registry import cte, query, shared, table
@@ -93,7 +94,7 @@ cte("job_req", f"""
 
 @shared
 def jobs(spark, sf):
-    return rq.parse_jobs(demo.jobs(spark, sf), RULES)
+    return materialised(rq.parse_jobs(demo.jobs(spark, sf), RULES), "jobs")
 
 
 @query("job_class", "SELECT job_id, job_family, is_remote, city FROM parsed_jobs", ("parsed_jobs",))
@@ -164,7 +165,7 @@ cte("pairs", """
 
 @shared
 def pairs(spark, sf):
-    cands = sc.candidates(signals(spark, sf), shipped(spark, sf))
+    cands = materialised(sc.candidates(signals(spark, sf), shipped(spark, sf)), "candidates")
     return sc.pairs(cands, jobs(spark, sf), RULES.adjacency)
 
 
@@ -284,7 +285,7 @@ cte("scored", f"""
 
 @shared
 def scored(spark, sf):
-    return sc.score(pairs(spark, sf), RULES)
+    return materialised(sc.score(pairs(spark, sf), RULES), "scored")
 
 
 @query("fit_score", "SELECT id, job_id, " + ", ".join(f"c_{n} AS {n}" for n in _PARTS)

@@ -12,6 +12,7 @@ from matchloom.operators import signals as sg
 from matchloom.operators import skills as sk
 from matchloom.operators.adjacency import Adjacency, years_towards
 from matchloom.plans import demo
+from matchloom.session import materialised
 from matchloom.plans.q_dates import AS_OF
 from matchloom.plans.q_text import sql_norm_skill, sql_title
 from matchloom.plans.registry import cte, query, shared, table
@@ -68,10 +69,15 @@ cte("years_own", f"""
     ("resolved", "class_scores", "dim_adj"))
 
 
+@shared
+def weighted(spark, sf):
+    made = sg.weighted_entries(demo.entries(spark, sf), demo.as_of(), RULES)
+    return materialised(made, "weighted")
+
+
 @shared
 def features(spark, sf):
-    weighted = sg.weighted_entries(demo.entries(spark, sf), demo.as_of(), RULES)
-    return sg.entity_features(weighted, demo.as_of(), RULES)
+    return sg.entity_features(weighted(spark, sf), demo.as_of(), RULES)
 
 
 @query("class_scores", f"SELECT id, family, {rx('score', 6)} AS score, months FROM class_scores",
@@ -214,8 +220,7 @@ cte("skill_profile", f"""
 
 @shared
 def evidence(spark, sf):
-    weighted = sg.weighted_entries(demo.entries(spark, sf), demo.as_of(), RULES)
-    return sk.evidence(weighted, sk.declared_skills(demo.declared(spark, sf)))
+    return sk.evidence(weighted(spark, sf), sk.declared_skills(demo.declared(spark, sf)))
 
 
 @query("evidence_tier", """
@@ -358,7 +363,8 @@ cte("signals", f"""
 
 @shared
 def signals(spark, sf):
-    return sg.extract(demo.people(spark, sf), demo.entries(spark, sf), demo.as_of(), RULES)
+    made = sg.extract(demo.people(spark, sf), None, demo.as_of(), RULES, weighted=weighted(spark, sf))
+    return materialised(made, "signals")
 
 
 @query("intent_logit", "SELECT id, switch_intent, band FROM signals", ("signals",))

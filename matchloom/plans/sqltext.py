@@ -47,11 +47,16 @@ def rx(c: str, digits: int) -> str:
             f"ELSE round({y}) END / {s})")
 
 
+def boundary(needle: str) -> str:
+    """Regular expression for ``needle`` at ASCII word boundaries."""
+    body = "".join("\\" + ch if ch in ".+*?()[]{}|^$" else ch for ch in needle)
+    return f"(^|[^\\w]){body}($|[^\\w])"
+
+
 def phrase(text: str, needle: str) -> str:
-    """``needle`` (a column) inside ``text`` at ASCII word boundaries."""
-    quoted = f"regexp_replace({needle}, '([.+*?()\\[\\]{{}}|^$\\\\/&-])', '\\\\\\1', 'g')"
-    return (f"(contains({text}, {needle}) AND regexp_matches({text}, "
-            f"'(^|[^\\w])' || {quoted} || '($|[^\\w])'))")
+    """``needle`` (a column with a sibling ``rx``) inside ``text`` at word boundaries."""
+    rx = needle.rsplit(".", 1)[0] + ".rx" if "." in needle else "rx"
+    return f"(CASE WHEN contains({text}, {needle}) THEN regexp_matches({text}, {rx}) ELSE FALSE END)"
 
 
 def any_phrase(text: str, phrases) -> str:
