@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as fv
+from matchloom.functions.numeric import let
 
 # ---------------------------------------------------------------- fixed values
 # Accepted shapes and the Spark pattern that reads each.
@@ -21,10 +22,12 @@ DATE_SHAPES = [
 
 def parse_date(text: Column) -> Column:
     """DATE from five text shapes; anything else is null."""
-    head = F.regexp_extract(F.trim(text), r"^([^T]*)", 1)
-    return F.coalesce(*[
-        F.try_to_date(F.when(head.rlike(shape), head), pattern) for shape, pattern in DATE_SHAPES
-    ])
+    def read(head: Column) -> Column:
+        return F.coalesce(*[
+            F.try_to_date(F.when(head.rlike(shape), head), pattern)
+            for shape, pattern in DATE_SHAPES])
+
+    return let(F.regexp_extract(F.trim(text), r"^([^T]*)", 1), read)
 
 
 def whole_months(start: Column, end: Column) -> Column:

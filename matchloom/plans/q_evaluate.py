@@ -143,9 +143,9 @@ def raw_metrics(spark, sf):
 
 
 @query("eval_macro", " UNION ALL ".join(
-    f"SELECT '{s}' AS system, count(*) AS n_queries, " + ", ".join(f"{rx(m, 4)} AS {m}" for m in _M)
-    .replace("count(*)", "n") + " FROM (SELECT count(*) AS n, " + ", ".join(f"{sql_mean(m)} AS {m}" for m in _M)
-    + f" FROM raw_list_{s})" for s in ("a", "b", "zero")),
+    f"SELECT '{s}' AS system, n AS n_queries, " + ", ".join(f"{rx(m, 4)} AS {m}" for m in _M)
+    + " FROM (SELECT count(*) AS n, " + ", ".join(f"{sql_mean('r.' + m)} AS {m}" for m in _M)
+    + f" FROM raw_list_{s} r)" for s in ("a", "b", "zero")),
     ("raw_list_a", "raw_list_b", "raw_list_zero"))
 def eval_macro(spark, sf):
     parts = raw_metrics(spark, sf)

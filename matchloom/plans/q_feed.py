@@ -11,6 +11,7 @@ from matchloom.operators import feed as fd
 from matchloom.operators import merge as mg
 from matchloom.operators import signals as sg
 from matchloom.plans import demo
+from matchloom.session import materialised
 from matchloom.plans.q_signals import RULES, signals
 from matchloom.plans.registry import cte, query, shared, table
 from matchloom.plans.sqltext import joined, norm, q, rx
@@ -219,9 +220,11 @@ def feed_replay(spark, sf):
     SELECT CAST(entity AS BIGINT) FROM events_all WHERE change = 'applied' AND affected <> '')""", ("signals", "events_all"))
 def recompute_dirty(spark, sf):
     ids = fd.dirty_entities(events(spark, sf)).select(F.col("entity").cast("bigint").alias("id"))
+    ids = materialised(ids, "dirty")
     people = demo.people(spark, sf).join(ids, "id", "left_semi")
     entries = demo.entries(spark, sf).join(ids, "id", "left_semi")
-    return sg.extract(people, entries, demo.as_of(), RULES).select(
+    weighted = materialised(sg.weighted_entries(entries, demo.as_of(), RULES), "dirty_entries")
+    return sg.extract(people, None, demo.as_of(), RULES, weighted=weighted).select(
         "id", "role_family", "confidence", F.array_join("reason_codes", "|").alias("codes"))
 
 
