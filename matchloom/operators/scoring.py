@@ -45,7 +45,7 @@ def shipped_evidence(entries: DataFrame, terms: Column, by: str = "id", ix: str
     """
     rows = entries.select(by, ix, "description", tx.norm_text(F.col("description")).alias("_d"),
                           terms.alias("_terms"))
-    # The reference text is cut only for display; the tests read all of it.
+    # Only the shown snippet is cut; the tests read the whole text.
     snippet = F.substring(F.trim("description"), 1, 80)
     rows = rows.withColumn("_hit", F.filter("_terms", lambda t: F.contains(F.col("_d"), t)))
     first = rows.groupBy(by).agg(F.min_by(
