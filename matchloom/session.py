@@ -24,23 +24,23 @@ def session(app: str = "matchloom", master: str | None = None, **conf: str) -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is named."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    A single-machine session (tests, notebooks) without one gets a folder under
+    /tmp.  On a cluster a missing setting is an error: executors would write to
+    their own disks and later reads would miss those files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through reliable storage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back as a table.
 
