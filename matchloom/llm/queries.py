@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchloom.llm import decontaminate, langid, mixing, simhash, toxicity
+from matchloom.llm import (
+    ann, decontaminate, langid, mixing, quality_mil, simhash, suffix_tree, toxicity, url_filter, warc)
 from matchloom.llm.common import read, remainder
 
 
@@ -19,6 +20,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as bundles and reads every record back."""
+    index = warc.write(read(spark, sf_dir, "pages"))
+    return warc.read_all(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.train(docs, read(spark, sf_dir, "labels")).score(docs)
@@ -32,6 +39,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", _held(5, 0), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents")).select(
         "doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -41,12 +56,30 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_mil.score(docs, quality_mil.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", _held(5, 0), F.col("quality_score").alias("score"),
+                         (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URLs that a rule decides are the labelled ones that the trees learn from."""
+    judged = url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
+    "op5_neighbours": op5_neighbours,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
+    "op10_url_filter": op10_url_filter,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op8_mixing": mixing.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE}
