@@ -254,7 +254,6 @@ REASON_TEMPLATES = [
     ("evidence_of_scale", r"^evidence_of_scale:.+$"),
     ("no_production_ownership", r"^no_production_ownership$"),
     ("location_exact", r"^location_exact:[a-z .]+$"),
-    ("location_metro", r"^location_metro:[a-z .]+$"),
     ("location_remote_ok", r"^location_remote_ok$"),
     ("location_mismatch", r"^location_mismatch:[a-z .]+vs[a-z .]+$"),
     ("score_capped_role_mismatch", r"^score_capped_role_mismatch:\d+$"),
@@ -285,6 +284,7 @@ DOWNSTREAM = {"high": ["re_score", "notify_recruiter"], "medium": ["re_score"],
 # Relevance threshold and cut-offs of the ranking metrics.
 RELEVANT_GRADE = 2
 BOOTSTRAP_SEED = 20260817
+BOOTSTRAP_RESAMPLES = 1000
 BOOTSTRAP_LOW = 0.025
 BOOTSTRAP_HIGH = 0.975
 

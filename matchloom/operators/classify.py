@@ -17,7 +17,7 @@ from matchloom import vocabulary as vocab
 from matchloom.functions import text as tx
 from matchloom.functions import vectors as vec
 from matchloom.functions.numeric import round_exact
-from matchloom.operators.skew import bounded_rows
+from matchloom.operators.skew import beside_blocks, in_blocks
 
 RESULT = "struct<family string, confidence double, source string, evidence string>"
 
@@ -159,14 +159,21 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     return packed.select("label", vec.unit(F.transform("v", lambda p: p["m"])).alias("centroid"))
 
 
-def nearest_centroid(df: DataFrame, vector: str, cents: DataFrame, max_classes: int = 4096,
+def nearest_centroid(df: DataFrame, vector: str, cents: DataFrame, by: str,
                      threshold: float = fv.CENTROID_MIN_COSINE) -> DataFrame:
-    """Class of highest cosine, lowest label on ties; null below the threshold."""
-    all_cents = bounded_rows(cents.select("label", "centroid"), max_classes, "class centroids")
-    rows = df.withColumn("_u", vec.unit(F.col(vector))).withColumn("_all", all_cents)
-    scored = rows.withColumn("_best", F.array_min(F.transform(
-        "_all", lambda c: F.struct((-vec.dot(F.col("_u"), c["centroid"])).alias("neg"),
-                                      c["label"].alias("label")))))
+    """Class of highest cosine, lowest label on ties; null below the threshold.
+
+    ``by`` identifies a row.  Classes come in blocks; the best of each block is
+    found inside the row, and only those are compared by a shuffle.
+    """
+    small, blocks = in_blocks(cents, F.struct("label", "centroid"))
+    rows = df.withColumn("_u", vec.unit(F.col(vector)))
+    best = F.array_min(F.transform("_items", lambda c: F.struct(
+        (-vec.dot(F.col("_u"), c["centroid"])).alias("neg"), c["label"].alias("label"))))
+    scored = beside_blocks(rows.select(by, *[c for c in rows.columns if c != by]), small, blocks).withColumn("_best", best)
+    if blocks > 1:
+        least = scored.select(by, "_best").groupBy(by).agg(F.min("_best").alias("_best"))
+        scored = rows.join(least, by)
     cosine = -F.col("_best.neg")
     answered = (cosine >= threshold) & (vec.norm(F.col("_u")) > 0)
     return scored.select(

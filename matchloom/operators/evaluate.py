@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as fv
 from matchloom.functions.numeric import round_exact
 from matchloom.operators.skew import ranked, top_k
+from matchloom.session import materialised
 
 
 def graded_lists(ranking: DataFrame, labels: DataFrame, order: list[Column],
@@ -120,30 +123,27 @@ def bootstrap_deltas(paired: DataFrame, resamples: int, order: list[Column],
                      query: str = "query") -> DataFrame:
     """(draw, delta): mean over queries of NDCG@10(b) - NDCG@10(a) on resampled items.
 
-    Draws stay within a query.  Items are numbered once, each draw is an
-    equi-join on that number, and only the best ten of a draw are ordered.
+    Draws stay within a query.  Items are numbered and written once; each draw is
+    an equi-join on that number, and one shuffle by (query, draw) serves all three orders.
     """
     items = ranked(paired, [query], order, coarse, "_no").withColumn("_no", F.col("_no") - 1)
+    items = materialised(items.select(query, "_no", "rel", "pos_a", "pos_b"), "bootstrap-items")
     sizes = items.groupBy(query).agg(F.count(F.lit(1)).alias("_n"))
     slots = items.select(query, F.col("_no").alias("slot")).join(sizes, query)
-    draws = slots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    # The few items are dealt out before they are multiplied by the draws.
+    spread = slots.repartition(query, "slot")
+    draws = spread.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     draws = draws.withColumn("_no", portable_draw(
         seed, [F.col("draw"), F.col(query), F.col("slot")], F.col("_n")))
-    sample = draws.select(query, "draw", "_no").join(
-        items.select(query, "_no", "rel", "pos_a", "pos_b"), [query, "_no"])
+    sample = draws.select(query, "draw", "_no").join(items, [query, "_no"])
     key = [query, "draw"]
-
-    def at_ten(position: str, name: str) -> DataFrame:
-        best = top_k(sample.select(*key, "rel", F.col(position).alias("_p")), key,
-                     [F.col("_p")], 10, "position")
-        return best.groupBy(*key).agg(dcg(F.col("rel"), F.col("position"), 10).alias(name))
-
-    both = (
-        at_ten("pos_a", "dcg_a").join(at_ten("pos_b", "dcg_b"), key)
-        .join(ideal_dcg(sample.select(*key, "rel"), [10], key), key)
-    )
-    delta = F.when(F.col("ideal_10") == 0, 0.0).otherwise(
-        F.col("dcg_b") / F.col("ideal_10") - F.col("dcg_a") / F.col("ideal_10"))
+    by = Window.partitionBy(*key)
+    places = {"_a": by.orderBy("pos_a"), "_b": by.orderBy("pos_b"), "_i": by.orderBy(F.desc("rel"))}
+    placed = sample.withColumns({n: F.row_number().over(w) for n, w in places.items()})
+    both = placed.where(F.least(*places) <= 10).groupBy(*key).agg(
+        *[dcg(F.col("rel"), F.col(n), 10).alias(f"dcg{n}") for n in places])
+    delta = F.when(F.col("dcg_i") == 0, 0.0).otherwise(
+        F.col("dcg_b") / F.col("dcg_i") - F.col("dcg_a") / F.col("dcg_i"))
     # Rounded per query so that the mean does not depend on the order of addition.
     rows = both.select(*key, F.rint(delta * 1e9).cast("bigint").alias("_d"))
     return rows.groupBy("draw").agg(
@@ -159,29 +159,33 @@ def bootstrap_interval(deltas: DataFrame, resamples: int, digits: int = 4) -> Da
         round_exact(F.col("d")[high], digits).alias("high"))
 
 
-def sign_flip(deltas: DataFrame, delta: str, scale: int = 10_000, limit: int = 20) -> DataFrame:
-    """Exact one-sided sign-flip test over at most ``limit`` per-query deltas.
+def sign_flip(deltas: DataFrame, delta: str, scale: int = 10_000) -> DataFrame:
+    """Exact one-sided sign-flip test over the per-query deltas, however many there are.
 
-    Deltas are taken as integers of 1/scale so that equality is exact.
+    Deltas are taken as integers of 1/scale so that equality is exact.  Instead of
+    listing sign patterns, the distribution of the flipped sum is carried: a query
+    of size d turns mass at s into halves at s and s + 2d, counted from the lowest
+    sum.  Its length is bounded by the sum of the sizes, not by the patterns.
     """
-    units = deltas.select(F.rint(F.col(delta) * scale).cast("bigint").alias("d"))
-    packed = units.limit(limit + 1).agg(
-        F.when(F.count(F.lit(1)) > limit, F.raise_error(F.lit(f"over {limit} queries")))
-        .otherwise(F.array_sort(F.collect_list("d"))).alias("d"))
-    one = F.lit(1).cast("bigint")
-    masks = packed.select("d", F.size("d").alias("n"), F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.call_function("shiftleft", one, F.size("d")) - 1)).alias("mask"))
-    flipped = F.aggregate(
-        F.transform("d", lambda d, i: F.when(
-            F.call_function("shiftright", F.col("mask"), i).bitwiseAND(one) == 0, d).otherwise(-d)),
-        F.lit(0).cast("bigint"), lambda acc, d: acc + d)
-    observed = F.aggregate("d", F.lit(0).cast("bigint"), lambda acc, d: acc + d)
-    rolled = masks.agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("masks"),
-                       F.count(F.when(flipped >= observed, 1)).alias("extreme"))
-    return rolled.select(
-        F.col("n").cast("bigint").alias("n_queries"),
-        round_exact(F.col("extreme") / F.col("masks"), 4).alias("p_one_sided"),
-        round_exact(F.lit(1.0) / F.col("masks"), 4).alias("minimum_p"))
+    def test(batches):
+        parts = [b.column("d").to_numpy() for b in batches]
+        d = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        mass = np.ones(1)
+        for size in np.sort(np.abs(d)):
+            wider = np.zeros(len(mass) + int(size))
+            wider[:len(mass)] += mass / 2
+            wider[int(size):] += mass / 2
+            mass = wider
+        # Place i stands for the sum 2 i - total; the observed sum has such a place.
+        at = int((d.sum() + np.abs(d).sum()) // 2)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([len(d)]), pa.array([float(mass[at:].sum())]), pa.array([0.5 ** len(d)])], ["n", "p", "least"])
+
+    units = deltas.select(F.rint(F.col(delta) * scale).cast("bigint").alias("d")).where("d is not null")
+    # One integer per query.
+    out = units.repartition(1).mapInArrow(test, "n long, p double, least double")
+    return out.select(F.col("n").alias("n_queries"), round_exact(F.col("p"), 4).alias("p_one_sided"),
+                      round_exact(F.col("least"), 4).alias("minimum_p"))
 
 
 def verdict(per_query: DataFrame, delta: str, interval: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from matchloom.functions import text as tx
 from matchloom.functions.numeric import clamp, let, round_exact
 from matchloom.operators.adjacency import Adjacency, years_towards
 from matchloom.operators.signals import Rules
-from matchloom.operators.skew import bounded_rows, ranked
+from matchloom.operators.skew import beside_blocks, id_buckets, in_blocks, ranked
 
 # ---------------------------------------------------------------- fixed values
 SWITCHES = ["role_prefilter", "must_have_scoring", "evidence_tiering", "seniority_band",
@@ -37,31 +37,34 @@ def shows_ownership(normed: Column) -> Column:
     return tx.has_any_phrase(normed, fv.OWNERSHIP_VERBS) | normed.rlike(r"(?U)\d")
 
 
-def shipped_evidence(entries: DataFrame, terms: Column, by: str = "id", ix: str = "ix") -> DataFrame:
-    """First evidencing snippet per entity, and which of ``terms`` its history mentions.
+def shipped_evidence(entries: DataFrame, terms: DataFrame, by: str = "id", ix: str = "ix") -> DataFrame:
+    """First evidencing snippet per entity, and which ``term``s its history mentions.
 
-    ``terms`` is a constant array of the jobs' own words, so the collected set
-    is bounded by it.
+    A term is one word and is mentioned where a description's word holds it, so
+    distinct words meet the terms through their own substrings: an equi-join,
+    however many terms and descriptions there are.
     """
-    rows = entries.select(by, ix, "description", tx.norm_text(F.col("description")).alias("_d"),
-                          terms.alias("_terms"))
+    rows = entries.select(by, ix, "description", tx.norm_text(F.col("description")).alias("_d"))
     # Only the shown snippet is cut; the tests read the whole text.
     snippet = F.substring(F.trim("description"), 1, 80)
-    rows = rows.withColumn("_hit", F.filter("_terms", lambda t: F.contains(F.col("_d"), t)))
     first = rows.groupBy(by).agg(F.min_by(
         F.when(shows_ownership(F.col("_d")), snippet),
         F.when(shows_ownership(F.col("_d")), F.col(ix))).alias("snippet"))
-    hits = rows.select(by, F.explode("_hit").alias("t")).groupBy(by).agg(
-        F.collect_set("t").alias("term_hits"))
+    words = rows.select(by, F.explode(F.array_distinct(F.split("_d", " "))).alias("_word")).where("_word <> ''").distinct()
+    length = F.length("_word")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), length), lambda i: F.transform(
+        F.sequence(F.lit(1), length - i + 1), lambda n: F.substring(F.col("_word"), i, n))))
+    known = words.select("_word").distinct().select("_word", F.explode(F.array_distinct(parts)).alias("term"))
+    held = known.join(terms.select("term").distinct(), "term")
+    hits = words.join(held, "_word").groupBy(by).agg(F.collect_set("term").alias("term_hits"))
     return first.join(hits, by, "left").withColumn(
         "term_hits", F.coalesce("term_hits", F.array().cast("array<string>")))
 
 
-def job_terms(jobs: DataFrame, limit: int = 20_000) -> Column:
-    """Distinct words of all evidence requirements as one array."""
-    words = jobs.select(F.explode(F.flatten(F.transform(
-        F.concat("must_have", "good_to_have"), lambda r: r["terms"]))).alias("t")).distinct()
-    return bounded_rows(words, limit, "job terms")
+def job_terms(jobs: DataFrame) -> DataFrame:
+    """Distinct words of all evidence requirements as ``term``."""
+    return jobs.select(F.explode(F.flatten(F.transform(
+        F.concat("must_have", "good_to_have"), lambda r: r["terms"]))).alias("term")).distinct()
 
 
 # ---------------------------------------------------------------- components
@@ -135,21 +138,12 @@ def _shown_number(x: Column) -> Column:
 
 
 # -------------------------------------------------------------------- pairs
-def pairs(signals: DataFrame, jobs: DataFrame, adj: Adjacency) -> DataFrame:
-    """Every entity beside every job, reached through the dense class table.
-
-    Nothing is filtered: the 144 class pairs cover all combinations, so both
-    joins are equi-joins on a class and the small sides are never multiplied
-    before they are needed.
-    """
-    spark = signals.sparkSession
-    # Constant, classes squared rows.
-    dense = F.broadcast(adj.dense(spark).select("own", "target"))
-    return (
-        signals.join(dense, signals.role_family == dense.own)
-        .join(jobs, F.col("target") == jobs.job_family)
-        .drop("own", "target")
-    )
+def pairs(signals: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Every entity beside every job, whatever their classes: the jobs stand beside each row in blocks."""
+    names = jobs.columns
+    small, blocks = in_blocks(jobs, F.struct(*names), 64)
+    rows = beside_blocks(signals, small, blocks)
+    return rows.select(*signals.columns, F.inline("_items"))
 
 
 def score(df: DataFrame, rules: Rules, on: Column | None = None) -> DataFrame:
@@ -245,8 +239,7 @@ def _codes(flag: dict[str, Column], has_snippet: Column) -> Column:
     short = F.trim(F.regexp_extract("location_text", r"^([^,]*)", 1))
     where = (
         F.when(F.col("_where") == "remote", "location_remote_ok")
-        .when(F.col("_where") == "exact", F.concat(F.lit("location_exact:"), "city"))
-        .when(F.col("_where") == "metro", F.concat(F.lit("location_metro:"), "city"))
+        .when(F.col("_where").isin("exact", "metro"), F.concat(F.lit("location_exact:"), "city"))
         .otherwise(F.concat(
             F.lit("location_mismatch:"), F.when(short != "", short).otherwise("unknown"),
             F.lit("vs"), F.when(F.col("city") != "", F.col("city")).otherwise("unknown")))
@@ -283,12 +276,12 @@ def candidates(signals: DataFrame, shipped: DataFrame) -> DataFrame:
         "term_hits", F.coalesce("term_hits", F.array().cast("array<string>")))
 
 
-def rank_matches(scored: DataFrame, group: list[str], id_width: int = 1_000_000) -> DataFrame:
-    """Rank per job by total, confidence and id; no job's candidates meet in one task."""
+def rank_matches(scored: DataFrame, group: list[str]) -> DataFrame:
+    """Rank per job by total, confidence and id (of any type); no job's candidates meet in one task."""
     order = [F.desc("total"), F.desc("confidence"), F.col("id")]
     # Totals have two decimals and confidences three, so both buckets are exact.
     coarse = [F.rint(F.col("total") * -100).cast("int"),
-              F.rint(F.col("confidence") * -1000).cast("int"), F.floor(F.col("id") / id_width)]
+              F.rint(F.col("confidence") * -1000).cast("int"), id_buckets(scored, "id")]
     return ranked(scored, group, order, coarse)
 
 
@@ -298,19 +291,16 @@ def pair_subset(signals: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataF
             wanted.join(signals.select("id"), "id", "left_anti"))
 
 
-def cosine_rank(vectors: DataFrame, queries: Column, by: str, vector: str, digits: int = 6,
-                id_width: int = 1_000_000) -> DataFrame:
-    """Similarity of each vector to each query vector, ranked per query.
-
-    ``queries`` is a bounded array<struct<query, vector>> of unit vectors.
-    """
+def cosine_rank(vectors: DataFrame, queries: DataFrame, by: str, vector: str, digits: int = 6) -> DataFrame:
+    """Similarity of each vector to each query vector (``query``, ``vector``, of unit length), ranked per query."""
     from matchloom.functions import vectors as vec
 
-    unit = vectors.select(by, vec.unit(F.col(vector)).alias("_u"), queries.alias("_q"))
-    rows = unit.select(by, F.explode(F.transform("_q", lambda q: F.struct(
+    small, blocks = in_blocks(queries, F.struct("query", "vector"))
+    unit = vectors.select(by, vec.unit(F.col(vector)).alias("_u"))
+    rows = beside_blocks(unit, small, blocks).select(by, F.explode(F.transform("_items", lambda q: F.struct(
         q["query"].alias("query"),
         round_exact(vec.dot(F.col("_u"), q["vector"]), digits).alias("similarity"))))
         .alias("_s")).select(by, "_s.*")
     return ranked(rows, ["query"], [F.desc("similarity"), F.col(by)],
                   [F.floor(-F.col("similarity") * 1000), F.rint(F.col("similarity") * -10**digits),
-                   F.floor(F.col(by) / id_width)])
+                   id_buckets(rows, by)])

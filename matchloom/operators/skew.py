@@ -22,19 +22,34 @@ def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, Da
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
-def bounded_rows(df: DataFrame, limit: int, what: str) -> Column:
-    """All rows of a small table as one array, for use as a column beside any row.
+def in_blocks(small: DataFrame, item: Column, rows: int = 256) -> tuple[DataFrame, int]:
+    """A table beside which every row of another one is to stand, cut into arrays.
 
-    The table is read as a scalar subquery, so it reaches the driver.  It is cut
-    at ``limit + 1`` rows first and refused when that many arrive.  A table of
-    one column gives an array of its values, else an array of structs.
+    Gives ``(_block, _items)`` with about ``rows`` items each, and the number of
+    blocks; no item is left out, however many there are.
     """
-    item = F.col(df.columns[0]) if len(df.columns) == 1 else F.struct(
-        *[F.col(c) for c in df.columns])
-    small = df.limit(limit + 1).agg(
-        F.when(F.count(F.lit(1)) > limit, F.raise_error(F.lit(f"{what}: over {limit} rows")))
-        .otherwise(F.collect_list(item)).alias("rows"))
-    return small.scalar()
+    blocks = max(1, -(-small.count() // rows))
+    place = F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int")
+    return small.groupBy(place.alias("_block")).agg(F.collect_list(item).alias("_items")), blocks
+
+
+def beside_blocks(df: DataFrame, small: DataFrame, blocks: int, salts: int = 64) -> DataFrame:
+    """Each row of ``df`` with each block: an equi-join on block and a salt of the row.
+
+    The blocks are copied to every salt, so the rows of ``df`` spread over
+    blocks x salts tasks wherever the blocks are too large to broadcast.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns[:1]), F.lit(salts)).cast("int")
+    left = df.withColumn("_salt", salt).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, ["_block", "_salt"]).drop("_block", "_salt")
+
+
+def id_buckets(df: DataFrame, by: str, width: int = 1_000_000) -> Column:
+    """A bucket that follows the order of an id of any kind: its range, or its first characters."""
+    numeric = df.schema[by].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")
+    return F.floor(F.col(by) / width) if numeric else F.substring(F.col(by).cast("string"), 1, 8)
 
 
 def ranked(

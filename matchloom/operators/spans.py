@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from matchloom import fixed_values as fv
 from matchloom.functions import dates as dt
 from matchloom.functions.numeric import round_exact
-from matchloom.operators.skew import dominance_sum, split_hot
+from matchloom.operators.skew import dominance_sum
 
-# Entities with more spells than this leave the in-row comparison.
-PAIRWISE_LIMIT = 256
 _DAY_BITS = 21
 _DAY_SHIFT = 2**20
 
@@ -72,30 +70,8 @@ def interval_union(spans: DataFrame, by: str = "id") -> DataFrame:
     )
 
 
-def _pairwise(spans: DataFrame, by: str, ix: str) -> DataFrame:
-    """Attribution inside one bounded array per entity."""
-    item = F.struct(F.col("start_on").alias("s"), F.col("end_on").alias("e"),
-                    F.col(ix).alias("ix"), F.col("months").alias("m"))
-    packed = spans.groupBy(by).agg(F.collect_list(item).alias("all"))
-
-    def later(c: Column, a: Column) -> Column:
-        return (c["s"] > a["s"]) | ((c["s"] == a["s"]) & (
-            (c["e"] > a["e"]) | ((c["e"] == a["e"]) & (c["ix"] < a["ix"]))))
-
-    def own(a: Column) -> Column:
-        taken = F.aggregate(
-            F.filter("all", lambda c: later(c, a)), F.lit(0),
-            lambda acc, c: acc + F.when(
-                F.least(a["e"], c["e"]) > c["s"],
-                dt.whole_months(c["s"], F.least(a["e"], c["e"]))).otherwise(0))
-        return F.struct(a["ix"].alias(ix),
-                        F.greatest(F.lit(0), a["m"] - taken).cast("bigint").alias("attributed"))
-
-    return packed.select(by, F.explode(F.transform("all", own)).alias("_o")).select(by, "_o.*")
-
-
 def _by_dominance(spans: DataFrame, by: str, ix: str) -> DataFrame:
-    """The same attribution from sums over later starts, for entities of any size.
+    """Attribution from sums over later starts, for entities of any size.
 
     Among spans that start on one day only the longest can keep months.  What it
     loses is the number of month turns, over all later-starting spans, that fall
@@ -128,9 +104,7 @@ def _by_dominance(spans: DataFrame, by: str, ix: str) -> DataFrame:
     return spans.select(by, ix).join(kept, [by, ix], "left").fillna(0, ["attributed"])
 
 
-def attributed_months(
-    spans: DataFrame, by: str = "id", ix: str = "ix", limit: int = PAIRWISE_LIMIT
-) -> DataFrame:
+def attributed_months(spans: DataFrame, by: str = "id", ix: str = "ix") -> DataFrame:
     """(entity, entry, attributed): overlaps belong to the later-starting span.
 
     The sum of pairwise overlaps with later spans is taken off, floored at 0;
@@ -138,8 +112,7 @@ def attributed_months(
     """
     usable = spans.where(F.col("start_on").isNotNull()).select(
         by, ix, "start_on", "end_on", "months")
-    cold, hot = split_hot(usable, [by], limit)
-    return _pairwise(cold, by, ix).unionByName(_by_dominance(hot, by, ix))
+    return _by_dominance(usable, by, ix)
 
 
 def tenure_columns(as_of: Column) -> dict[str, Column]:

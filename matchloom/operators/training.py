@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, NGram, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    IDF, CountVectorizer, Normalizer, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 from matchloom import fixed_values as fv
 from matchloom.functions.numeric import round_exact
 from matchloom.operators.classify import RESULT
+from matchloom.operators.skew import ranked
+from matchloom.session import materialised
 
 # ---------------------------------------------------------------- fixed values
 CHAR_GRAMS = [3, 4, 5]
-WORD_GRAMS = [1, 2]
 INVERSE_REGULARISATION = 4.0
 FOLDS = 5
 # ------------------------------------------------------------ end fixed values
@@ -24,13 +26,18 @@ FOLDS = 5
 def with_grams(df: DataFrame, core: str) -> DataFrame:
     """Adds words and padded character grams of a normalised title."""
     words = F.split(F.col(core), " ")
+    # Words of one letter carry no weight of their own; pairs stand beside single words.
+    kept = F.filter(words, lambda w: F.length(w) > 1)
+    pairs = F.zip_with(F.slice(kept, F.lit(1), F.greatest(F.lit(0), F.size(kept) - 1)),
+                       F.slice(kept, F.lit(2), F.greatest(F.lit(0), F.size(kept) - 1)),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
 
     def grams(n: int) -> Column:
         return F.flatten(F.transform(words, lambda w: F.transform(
             F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) + 3 - n)),
             lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(n)))))
 
-    return df.withColumn("words", words).withColumn("chars", F.concat(*[grams(n) for n in CHAR_GRAMS]))
+    return df.withColumn("words", F.concat(kept, pairs)).withColumn("chars", F.concat(*[grams(n) for n in CHAR_GRAMS]))
 
 
 def corpus_rows(df: DataFrame, core: str, label: str) -> DataFrame:
@@ -44,32 +51,31 @@ def corpus_rows(df: DataFrame, core: str, label: str) -> DataFrame:
     return rows.join(sizes, "label").withColumn("weight", whole / F.col("_n")).drop("_n")
 
 
-def model_stages(rows: int, features: int = 2**12) -> Pipeline:
-    """Hashed grams keep the model a fixed size whatever the vocabulary."""
+def model_stages(rows: int) -> Pipeline:
+    """A block of character grams and one of words, each with a full vocabulary and unit length.
+
+    The vocabulary is that of the distinct training titles and is not cut.
+    """
     stages = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc")]
     parts = []
-    for name, source, sizes in (("char", "chars", [1]), ("word", "words", WORD_GRAMS)):
-        for n in sizes:
-            col = source
-            if n > 1:
-                col = f"{source}_{n}"
-                stages.append(NGram(n=n, inputCol=source, outputCol=col))
-            stages.append(HashingTF(numFeatures=features, inputCol=col, outputCol=f"tf_{name}{n}"))
-            stages.append(IDF(inputCol=f"tf_{name}{n}", outputCol=f"idf_{name}{n}"))
-            parts.append(f"idf_{name}{n}")
+    for name in ("chars", "words"):
+        stages.append(CountVectorizer(inputCol=name, outputCol=f"tf_{name}", vocabSize=2**31 - 1, minDF=1.0))
+        stages.append(IDF(inputCol=f"tf_{name}", outputCol=f"idf_{name}"))
+        stages.append(Normalizer(inputCol=f"idf_{name}", outputCol=f"unit_{name}"))
+        parts.append(f"unit_{name}")
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     stages.append(LogisticRegression(
         family="multinomial", featuresCol="features", labelCol="y", weightCol="weight",
         regParam=1.0 / (INVERSE_REGULARISATION * max(rows, 1)), standardization=False,
-        maxIter=40))
+        maxIter=100))
     return Pipeline(stages=stages)
 
 
-def train(corpus: DataFrame, features: int = 2**12) -> PipelineModel:
+def train(corpus: DataFrame) -> PipelineModel:
     """Fit on (core, label, weight) rows."""
     ready = with_grams(corpus, "core").cache()
     try:
-        return model_stages(ready.count(), features).fit(ready)
+        return model_stages(ready.count()).fit(ready)
     finally:
         ready.unpersist()
 
@@ -99,18 +105,23 @@ def predict(df: DataFrame, core: str, model: PipelineModel,
 
 
 def folds(corpus: DataFrame, k: int = FOLDS, seed: int = fv.BOOTSTRAP_SEED) -> DataFrame:
-    """Fold per row from a digest of its content: near-even within each class."""
+    """Fold per row: the rank within its class by a digest of its content, modulo ``k``.
+
+    So the folds of a class differ by at most one row.
+    """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "label", "core"))
-    return corpus.withColumn("fold", F.conv(F.substring(digest, 1, 7), 16, 10).cast("int") % k)
+    rows = corpus.withColumn("_digest", digest)
+    placed = ranked(rows, ["label"], [F.col("_digest"), F.col("core")], [F.substring("_digest", 1, 3)], "_place")
+    return placed.withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_digest", "_place")
 
 
-def cross_validate(corpus: DataFrame, k: int = FOLDS, features: int = 2**12) -> DataFrame:
+def cross_validate(corpus: DataFrame, k: int = FOLDS) -> DataFrame:
     """Rows and correct forced predictions per fold; one fit per fold."""
-    split = folds(corpus, k).cache()
+    split = materialised(folds(corpus, k), "folds")
     parts = []
     for fold in range(k):
         fit_on, held = split.where(F.col("fold") != fold), split.where(F.col("fold") == fold)
-        model = train(fit_on.drop("fold"), features)
+        model = train(fit_on.drop("fold"))
         parts.append(predict(held, "core", model).groupBy("fold").agg(
             F.count(F.lit(1)).alias("n"),
             F.count(F.when(F.col("forced") == F.col("label"), 1)).alias("correct")))

@@ -135,19 +135,21 @@ def classify_chain(spark, sf):
         F.regexp_extract("cls.evidence", "^([a-z]+):", 1).alias("stage"))
 
 
-@query("abstain_rates", f"""
-  SELECT titles, abstained, CAST(0 AS BIGINT) AS fallback, {rx('r', 4)} AS abstention_rate,
-    CAST(0 AS DOUBLE) AS fallback_rate
-  FROM (SELECT count(*) AS titles, count(*) FILTER (family IS NULL) AS abstained,
-    count(*) FILTER (family IS NULL) / count(*) AS r FROM classified WHERE usable)""", ("classified",))
-def abstain_rates(spark, sf):
-    return cl.decided_by(classified(spark, sf).where("start_on is not null"), "cls")
-
-
 NOUN_CLASSES = {"anvil": "tools", "gear": "tools", "bolt": "fasteners", "rod": "fasteners",
                 "ring": "flat", "plate": "flat", "gizmo": "gadgets", "widget": "gadgets"}
 
 
+@query("fold_sizes", f"""
+  SELECT label, fold, count(*) AS n FROM (
+    SELECT label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('{fv.BOOTSTRAP_SEED}|' || coalesce(label || '|', '') || core), core) - 1) % 5 AS INTEGER) AS fold
+    FROM (SELECT DISTINCT core, CASE noun {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NOUN_CLASSES.items())} END AS label
+      FROM (SELECT p_name, list_extract(string_split(p_name, ' '), -1) AS noun FROM part)
+      JOIN ({sql_title("(SELECT DISTINCT p_name FROM part)", 'p_name', 'p_name')}) t USING (p_name))) GROUP BY label, fold""")
+def fold_sizes(spark, sf):
+    corpus = tr.corpus_rows(part_titles(spark, sf), "core", "label")
+    return tr.folds(corpus).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 def part_titles(spark, sf):
     part = cl.with_title(table(spark, sf, "part"), "p_name")
     noun = F.element_at(F.split("p_name", " "), -1)
@@ -157,7 +159,7 @@ def part_titles(spark, sf):
 @query("train_classifier")
 def train_classifier(spark, sf):
     corpus = tr.corpus_rows(part_titles(spark, sf), "core", "label")
-    model = tr.train(corpus, features=2**8)
+    model = tr.train(corpus)
     return tr.predict(corpus, "core", model).groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.col("forced") == F.col("label"), 1)).alias("correct"))
@@ -166,13 +168,13 @@ def train_classifier(spark, sf):
 @query("cv_accuracy")
 def cv_accuracy(spark, sf):
     corpus = tr.corpus_rows(part_titles(spark, sf), "core", "label")
-    return tr.cross_validate(corpus, features=2**8)
+    return tr.cross_validate(corpus)
 
 
 @query("predict_abstain")
 def predict_abstain(spark, sf):
     rows = part_titles(spark, sf)
-    model = tr.train(tr.corpus_rows(rows, "core", "label"), features=2**8)
+    model = tr.train(tr.corpus_rows(rows, "core", "label"))
     typed = rows.withColumn("core", F.when(F.col("p_partkey") % 4 == 0, F.lower("p_type"))
                             .otherwise(F.col("core")))
     return tr.predict(typed.select("p_partkey", "core", "label"), "core", model).select(
@@ -208,7 +210,7 @@ def centroids(spark, sf):
 @shared
 def nearest(spark, sf):
     rows = table(spark, sf, "embeddings")
-    return cl.nearest_centroid(rows, "embedding", cl.centroids(rows, "label", "embedding"))
+    return cl.nearest_centroid(rows, "embedding", cl.centroids(rows, "label", "embedding"), "vec_id")
 
 
 @query("nearest_centroid", "SELECT vec_id, cosine, predicted, confidence FROM nearest", ("nearest",))

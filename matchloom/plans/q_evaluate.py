@@ -11,7 +11,7 @@ from matchloom.operators.skew import ranked
 from matchloom.plans.registry import cte, query, shared, table
 from matchloom.plans.sqltext import rx
 
-DRAWS = 50
+DRAWS = fv.BOOTSTRAP_RESAMPLES
 SEED = fv.BOOTSTRAP_SEED
 # System a ranks long documents first, system b by a digit of the id.
 ORDERS = {"a": ("score_a DESC, item", "n_chars"), "b": ("score_b DESC, item", "(doc_id * 7919) % 1000")}

@@ -11,7 +11,7 @@ from matchloom.operators import classify as cl
 from matchloom.operators import evaluate as ev
 from matchloom.operators import requirements as rq
 from matchloom.operators import scoring as sc
-from matchloom.operators.skew import bounded_rows, top_k
+from matchloom.operators.skew import top_k
 from matchloom.plans import demo
 from matchloom.session import materialised
 from matchloom.plans.q_signals import RULES, signals, sql_adj
@@ -166,7 +166,7 @@ cte("pairs", """
 @shared
 def pairs(spark, sf):
     cands = materialised(sc.candidates(signals(spark, sf), shipped(spark, sf)), "candidates")
-    return sc.pairs(cands, jobs(spark, sf), RULES.adjacency)
+    return sc.pairs(cands, jobs(spark, sf))
 
 
 @query("score_affinity", "SELECT id, job_id, direct, alt_best FROM pairs", ("pairs",))
@@ -357,4 +357,4 @@ def cosine_rank(spark, sf):
     vectors = table(spark, sf, "embeddings")
     queries = cl.centroids(vectors, "label", "embedding").select(
         F.col("label").alias("query"), F.col("centroid").alias("vector"))
-    return sc.cosine_rank(vectors, bounded_rows(queries, 4096, "query vectors"), "vec_id", "embedding")
+    return sc.cosine_rank(vectors, queries, "vec_id", "embedding")

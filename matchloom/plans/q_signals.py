@@ -8,11 +8,13 @@ from matchloom import fixed_values as fv
 from matchloom import vocabulary as vocab
 from matchloom.functions import text as tx
 from matchloom.functions.numeric import round_exact
+from matchloom.operators import classify as cl
 from matchloom.operators import signals as sg
 from matchloom.operators import skills as sk
 from matchloom.operators.adjacency import Adjacency, years_towards
 from matchloom.plans import demo
 from matchloom.session import materialised
+from matchloom.plans.q_classify import classified
 from matchloom.plans.q_dates import AS_OF
 from matchloom.plans.q_text import sql_norm_skill, sql_title
 from matchloom.plans.registry import cte, query, shared, table
@@ -423,3 +425,16 @@ def signal_record(spark, sf):
         F.col("skill_noise_ratio").alias("noise_ratio"), F.col("avg_tenure_months").alias("avg_tenure"),
         F.col("jobs_last_36m").cast("bigint").alias("recent"), "tenure_flag", "switch_intent",
         "confidence", text("reason_codes", "codes"), text("extraction_flags", "flags"))
+
+
+@query("abstain_rates", f"""
+  SELECT titles, abstained, CAST(0 AS BIGINT) AS fallback, {rx('r', 4)} AS abstention_rate,
+    CAST(0 AS DOUBLE) AS fallback_rate
+  FROM (SELECT count(*) AS titles, count(*) FILTER (family IS NULL) AS abstained,
+    count(*) FILTER (family IS NULL) / count(*) AS r FROM (
+      SELECT family FROM classified WHERE usable UNION ALL SELECT family FROM headline_class))""",
+       ("classified", "headline_class"))
+def abstain_rates(spark, sf):
+    entries = classified(spark, sf).where("start_on is not null").select("cls")
+    heads = cl.with_title(demo.people(spark, sf).select(F.coalesce("headline", F.lit("")).alias("headline")), "headline")
+    return cl.decided_by(entries.unionByName(cl.classify(heads, "core", None).select("cls")), "cls")

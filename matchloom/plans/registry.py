@@ -41,9 +41,17 @@ def with_ctes(sql: str, uses: tuple[str, ...]) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered) + "\n" + sql.lstrip()
 
 
+_BUILT: list[dict] = []
+
+
 def shared(fn):
-    """Build a plan once per session and folder; plans are lazy, so no data is kept."""
+    """Build a stage once per session and folder.
+
+    Some stages are written out and read back, so what is kept can be data of the
+    moment it was made: call :func:`forget` after the tables of a folder change.
+    """
     built: dict = {}
+    _BUILT.append(built)
 
     def get(spark: SparkSession, sf: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf)
@@ -54,5 +62,11 @@ def shared(fn):
     return get
 
 
+def forget() -> None:
+    """Drop all shared stages, so that the next query starts from its tables."""
+    for built in _BUILT:
+        built.clear()
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")

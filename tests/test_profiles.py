@@ -98,7 +98,7 @@ def test_scores_and_codes_of_one_job(spark, profiles):
     jobs = rq.parse_jobs(spark.createDataFrame(JOB, JOB_DDL))
     made = sg.extract(people, entries, F.to_date(F.lit("2025-08-01")))
     shipped = sc.shipped_evidence(entries, sc.job_terms(jobs))
-    rows = sc.score(sc.pairs(sc.candidates(made, shipped), jobs, sg.Rules().adjacency), sg.Rules())
+    rows = sc.score(sc.pairs(sc.candidates(made, shipped), jobs), sg.Rules())
     got = {r["id"]: r for r in rows.collect()}
     assert len(got) == 4
     first = got["P1"]
@@ -275,3 +275,48 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = fd.mark_changes(fd.mark_stale(feed, empty))
     cols = ["ordinal", "change", "old_value"]
     assert out.select(cols).exceptAll(batch.select(cols)).count() == 0 and out.count() == 6
+
+
+def test_event_ids_of_typed_values(spark):
+    """Ids depend on the JSON form of the value: a flag, a list of words, a list of entries in one line each, text."""
+    at = "2026-08-16T04:00:00Z"
+    entries = ('[{"role":"Backend Engineer","company_name":"Jupiter","start_date":"2025-11-01","end_date":null},'
+               '{"role":"Backend Engineer","company_name":"Paytm","start_date":"2017-06-01","end_date":"2023-03-31"}]')
+    rows = [("SDB_10002", "field_update", "is_open_to_work", "false", "evt_e75b1c79e760b68a78c2ca"),
+            ("SDB_10009", "field_update", "is_open_to_work", "true", "evt_66344384048c8b76bfc2de"),
+            ("SDB_10009", "stale_skip", "is_open_to_work", "true", "evt_87a8b8e1f8a8249ad119a9"),
+            ("SDB_10025", "field_update", "experience", entries, "evt_488d8a33afd81f165d65d2"),
+            ("SDB_10025", "suspected_deletion", "about", None, "evt_5d6ec39c3730df8c8a3cb6"),
+            ("SDB_10024", "field_update", "location", "Berlin, Germany", "evt_825b17a45e915da1732fa7")]
+    df = spark.createDataFrame(rows, "e string, kind string, field string, value string, want string")
+    got = df.select("want", fd.event_id(F.col("e"), F.lit(at), F.col("kind"), F.col("field"), F.col("value")).alias("id"))
+    assert [r["id"] for r in got.collect()] == [r[4] for r in rows]
+
+
+def test_ranks_on_text_ids_and_classes_outside_the_table(spark, profiles):
+    people, entries, _ = jsonl.explode_profiles(profiles[0])
+    jobs = rq.parse_jobs(spark.createDataFrame(JOB * 1, JOB_DDL))
+    made = sg.extract(people, entries, F.to_date(F.lit("2025-08-01")))
+    strange = made.withColumn("role_family", F.when(F.col("id") == "P2", "quant").otherwise(F.col("role_family")))
+    shipped = sc.shipped_evidence(entries, sc.job_terms(jobs))
+    rows = sc.score(sc.pairs(sc.candidates(strange, shipped), jobs), sg.Rules())
+    ranked = sc.rank_matches(rows, ["job_id"]).select("id", "total", "confidence", "rank").collect()
+    want = sorted(ranked, key=lambda r: (-r["total"], -r["confidence"], r["id"]))
+    assert [r["rank"] for r in want] == [1, 2, 3, 4] and {r["id"] for r in want} >= {"P1", "P2"}
+
+
+def test_terms_and_classes_have_no_cap(spark):
+    words = [f"term{i:05d}" for i in range(25_000)]
+    terms = spark.createDataFrame([(w,) for w in words], "term string")
+    entries = spark.createDataFrame([(1, 0, "built xterm00007y and term24999 for 10 users"), (2, 0, None)],
+                                    "id bigint, ix bigint, description string")
+    got = {r["id"]: sorted(r["term_hits"]) for r in sc.shipped_evidence(entries, terms).collect()}
+    assert got == {1: ["term00007", "term24999"], 2: []}
+    from matchloom.operators import classify as cl
+    import math
+    cents = spark.createDataFrame([(f"c{i:04d}", [math.cos(i / 5000), math.sin(i / 5000)]) for i in range(5000)],
+                                  "label string, centroid array<double>")
+    vectors = spark.createDataFrame([(1, [2.0, 0.0]), (2, [math.cos(0.5), math.sin(0.5)]), (3, [0.0, 0.0])],
+                                    "id bigint, v array<double>")
+    found = {r["id"]: r["predicted"] for r in cl.nearest_centroid(vectors, "v", cents, "id").collect()}
+    assert found == {1: "c0000", 2: "c2500", 3: None}
