@@ -13,10 +13,12 @@ the budget ends is ordered.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import WORD
+from matchloom.llm.common import annotate
+from matchloom.session import materialised
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -28,19 +30,20 @@ BUCKETS = 4096
 SEED = "mix-1"
 
 
-def size_of(text: Column) -> Column:
-    """Number of words; a null text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+_SIGNS = b"0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def quality_of(text: Column) -> Column:
-    """A weight from 0.05 to 1 that falls with the share of digits and signs in the text.
+def measure(text: str | None) -> tuple[int, float]:
+    """Number of words, and a quality weight from 0.05 to 1.
 
-    Null and empty texts have the least weight.
+    The weight falls with the share of digits and signs among the characters;
+    null and empty texts have no words and the least weight.
     """
-    length = F.char_length(text)
-    signs = F.regexp_count(text, F.lit(r"[0-9!-/:-@\[-`{-~]"))
-    return F.when(length > 0, F.greatest(F.lit(0.05), 1 - 4.0 * signs / length)).otherwise(F.lit(0.05))
+    if not text:
+        return 0, 0.05
+    data = text.encode()
+    signs = len(data) - len(data.translate(None, _SIGNS))
+    return len(data.split()), max(0.05, 1 - 4.0 * signs / len(text))
 
 
 def uniform(key: Column) -> Column:
@@ -79,8 +82,11 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size, key``: the text's size and its exponential key."""
-    key = -F.log(uniform(F.col("doc_id"))) / quality_of(F.col("text"))
-    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key"))
+    measured = annotate(docs.select("doc_id", "source", "text"), "text", [
+        ("size", "long", pa.int64()), ("quality", "double", pa.float64())],
+        lambda: lambda texts: [list(c) for c in zip(*map(measure, texts))] or [[], []])
+    key = -F.log(uniform(F.col("doc_id"))) / F.col("quality")
+    return measured.select("doc_id", "source", "size", key.alias("key"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -90,7 +96,8 @@ def mix(docs: DataFrame) -> DataFrame:
     interchangeable.  Null and empty texts take nothing.  An empty table gives no rows.
     """
     bucket = F.floor(F.lit(BUCKETS) * (1 - F.exp(-F.col("key")))).cast("int")
-    rows = keyed(docs).withColumn("bucket", bucket)
+    # Texts are read once; sizes and keys are written, for several passes follow.
+    rows = materialised(keyed(docs).withColumn("bucket", bucket), "mix-keys")
     cells = rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size"))
     sizes = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     aims = targets(sizes).withColumn(
