@@ -172,7 +172,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     marked = groups(docs.select(key.alias("_key"), "text"), "_key")
     kept = materialised(marked.where("_key = component_id").groupBy("_key").agg(
         F.count(F.lit(1)).alias("_rows")), "kept")
-    rows = docs.select(key.alias("_key"), F.struct("*").alias("_row")).join(kept, "_key")
+    # The ids that stay grow with the documents, so both sides are dealt out by id at every size.
+    rows = docs.select(key.alias("_key"), F.struct("*").alias("_row")).join(kept.hint("merge"), "_key")
     # Only ids that several rows share need a shuffle of their rows by id.
     once = rows.where("_rows = 1").select("_row.*")
     again = rows.where("_rows > 1").dropDuplicates(["_key"]).select("_row.*")
