@@ -6,6 +6,7 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -240,8 +241,10 @@ def test_query_equals_sql(spark, name):
         con.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{SF}/{file}'")
     want = con.execute(entry.oracle_sql()[name]).df()
     got = entry.queries()[name](spark, SF).toPandas()[list(want.columns)]
-    order = list(want.columns)
-    assert got.sort_values(order).astype(str).values.tolist() == want.sort_values(order).astype(str).values.tolist()
+    rows = [sorted(tuple("-" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r)
+                   for r in t.astype(object).itertuples(index=False)) for t in (got, want)]
+    number = [[tuple(float(v) if v.replace(".", "", 1).isdigit() else v for v in r) for r in t] for t in rows]
+    assert number[0] == number[1]
 
 
 def slow_url(url):

@@ -100,7 +100,7 @@ def test_toxicity_learns_its_lexicon(spark):
 
 def test_toxicity_without_both_classes(spark):
     table = docs(spark, edge_rows())
-    for rows, want in [([], 0.0), ([(1, 0, 0), (2, 1, 0)], 0.0), ([(5, 1, 1), (2, 1, 1), (6, 0, None)], 1.0)]:
+    for rows, want in [([], 0.0), ([(1, 0, 0), (2, 1, 0)], 0.0), ([(i, 1, 1) for i in range(1, 6)] + [(6, 0, None)], 1.0)]:
         labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
         assert {r.toxic_score for r in toxicity.train(table, labels).score(table.select("doc_id", "text")).collect()} == {want}
     assert toxicity.filter_stage(docs(spark, []), labels).count() == 0
