@@ -56,31 +56,24 @@ def ranked(
     df: DataFrame, group: list[str], order: list[Column], coarse: list[Column],
     name: str = "rank",
 ) -> DataFrame:
-    """Row number within ``group`` by ``order``, without gathering a group.
+    """Row number within ``group`` by ``order``, without gathering the rows of a group.
 
     ``coarse`` holds bucket columns, most significant first, that agree with
     ``order`` when compared together: a row whose buckets are lower comes first.
     So a bucket on a later key is only valid below buckets that fix the earlier
-    keys exactly.  Bucket sizes are counted with map-side combine, running totals are
-    taken over buckets only, and rows are numbered inside their finest bucket.
+    keys exactly.  Bucket sizes are counted with map-side combine, one running
+    total per group goes over its buckets (not its rows), and rows are numbered
+    inside their bucket, on the partitioning that the join with the totals uses.
     """
     marks = [f"_b{i}" for i in range(len(coarse))]
     rows = df.select("*", *[c.alias(m) for c, m in zip(coarse, marks)])
-    level = rows.groupBy(*group, *marks).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = level.withColumn("_off", F.lit(0).cast("bigint"))
-    for depth in range(len(marks), 0, -1):
-        outer, mark = group + marks[: depth - 1], marks[depth - 1]
-        ahead = Window.partitionBy(*outer).orderBy(mark).rowsBetween(
-            Window.unboundedPreceding, -1)
-        sizes = level.groupBy(*outer, mark).agg(F.sum("_n").alias("_m"))
-        before = sizes.select(*outer, mark,
-                              F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_before"))
-        offsets = offsets.join(before, outer + [mark]).withColumn(
-            "_off", F.col("_off") + F.col("_before")).drop("_before")
+    ahead = Window.partitionBy(*group).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*group, *marks).agg(F.count(F.lit(1)).alias("_n")).select(
+        *group, *marks, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*group, *marks).orderBy(*order)
     return (
         rows.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets.drop("_n"), group + marks)
+        .join(offsets, group + marks)
         .withColumn(name, (F.col("_off") + F.col("_rn")).cast("bigint"))
         .drop("_rn", "_off", *marks)
     )

@@ -206,13 +206,22 @@ def feed_apply(spark, sf):
 
 
 @query("feed_replay", """
-  SELECT count(*) AS events, CAST(0 AS BIGINT) AS material FROM changes c JOIN state_next USING (entity, field_group)""", ("changes", "state_next"))
+  SELECT count(*) AS events, count(*) FILTER (s.entity IS NULL) AS unborn, CAST(0 AS BIGINT) AS material, CAST(0 AS BIGINT) AS moved
+  FROM feed f LEFT JOIN state_next s USING (entity, field_group)""", ("feed", "state_next"))
 def feed_replay(spark, sf):
-    after = fd.next_state(events(spark, sf), base(spark, sf))
-    again = fd.mark_changes(fd.mark_stale(feed(spark, sf), after)).join(
-        after.select("entity", "field_group"), ["entity", "field_group"], "left_semi")
-    return again.agg(F.count(F.lit(1)).alias("events"),
-                     F.count(F.when(F.col("change") != "stale_skip", 1)).alias("material"))
+    """The feed applied to its own result: over all keys, nothing material happens and no state moves.
+
+    Keys that only ever saw nulls have no state; their records are null again (``unborn``).
+    """
+    after = materialised(fd.next_state(events(spark, sf), base(spark, sf)), "state")
+    changed = materialised(fd.mark_changes(fd.mark_stale(feed(spark, sf), after)), "replay")
+    state = fd.next_state(fd.field_events(changed, DEPENDS), after)
+    moved = state.exceptAll(after).unionByName(after.exceptAll(state)).agg(F.count(F.lit(1)).alias("moved"))
+    facts = changed.agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count(F.when(F.col("base_at").isNull(), 1)).alias("unborn"),
+        F.count(F.when(~F.col("change").isin("stale_skip", "noise", "suspected_deletion"), 1)).alias("material"))
+    return facts.select("*", moved.select("moved").scalar().alias("moved"))
 
 
 @query("recompute_dirty", f"""

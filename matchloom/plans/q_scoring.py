@@ -230,12 +230,11 @@ def sql_band(y: str, lo: str, hi: str) -> str:
 
 @query("score_band", f"""
   SELECT c_custkey, job_id, {rx('p', 2)} AS points FROM (SELECT c_custkey, job_id,
-    {sql_band('y', 'min_years', 'max_years')} AS p FROM (SELECT c_custkey, c_nationkey AS job_id, c_acctbal / 1000 AS y FROM customer)
-    JOIN jobs USING (job_id))""", ("jobs",))
+    {sql_band('y', 'min_years', 'max_years')} AS p FROM (SELECT c_custkey, c_acctbal / 1000 AS y FROM customer) CROSS JOIN jobs)""", ("jobs",))
 def score_band(spark, sf):
     rows = table(spark, sf, "customer").select(
-        "c_custkey", F.col("c_nationkey").cast("bigint").alias("job_id"), (F.col("c_acctbal") / 1000).alias("y"))
-    both = rows.join(demo.jobs(spark, sf).select("job_id", "min_years", "max_years"), "job_id")
+        "c_custkey", (F.col("c_acctbal") / 1000).alias("y"))
+    both = sc.pairs(rows, demo.jobs(spark, sf).select("job_id", "min_years", "max_years"))
     return both.select("c_custkey", "job_id", round_exact(sc.band_points(
         F.col("y"), F.col("min_years"), F.col("max_years")), 2).alias("points"))
 
@@ -250,13 +249,13 @@ _WHERE = ("CASE WHEN is_remote THEN 'remote' WHEN city <> '' AND contains(place,
   SELECT c_custkey, n_nationkey, {_WHERE} AS kind FROM (SELECT c_custkey, n_nationkey, lower(n_name) AS city,
       lower(o.n || ' of ' || r_name) AS place, n_nationkey % 6 = 0 AS is_remote
     FROM customer JOIN (SELECT n_nationkey AS k, n_name AS n, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) o ON k = c_nationkey
-    JOIN nation ON n_regionkey = c_nationkey % 5)""".replace(_METRO, "FALSE"))
+    CROSS JOIN nation)""".replace(_METRO, "FALSE"))
 def score_location(spark, sf):
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
     home = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey").alias("k"), F.lower(F.concat("n_name", F.lit(" of "), "r_name")).alias("place"))
-    rows = table(spark, sf, "customer").join(home, F.col("c_nationkey") == F.col("k")).join(
-        nation, F.col("n_regionkey") == F.col("c_nationkey") % 5)
+    placed = table(spark, sf, "customer").join(home, F.col("c_nationkey") == F.col("k")).select("c_custkey", "place")
+    rows = sc.pairs(placed, nation.select("n_nationkey", "n_name"))
     return rows.select("c_custkey", "n_nationkey", sc.location_kind(
         F.lower("n_name"), F.col("n_nationkey") % 6 == 0, F.col("place")).alias("kind"))
 

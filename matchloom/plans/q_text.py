@@ -64,7 +64,7 @@ def upsert_latest(spark, sf):
 @query("append_dedup", """
   SELECT key, min(event_id) AS event_id FROM (
     SELECT user_id || '-' || event_type || '-' || CAST(event_id % 40 AS VARCHAR) AS key, event_id
-    FROM events WHERE event_id % 3 = 1)
+    FROM events WHERE event_id % 3 <> 0)
   WHERE key NOT IN (SELECT user_id || '-' || event_type || '-' || CAST(event_id % 40 AS VARCHAR)
                     FROM events WHERE event_id % 3 = 0)
   GROUP BY key""")
@@ -72,7 +72,7 @@ def append_dedup(spark, sf):
     events = table(spark, sf, "events").select("event_id", F.concat_ws(
         "-", F.col("user_id").cast("string"), "event_type",
         (F.col("event_id") % 40).cast("string")).alias("key"))
-    return store.append_new(events.where("event_id % 3 = 0"), events.where("event_id % 3 = 1"),
+    return store.append_new(events.where("event_id % 3 = 0"), events.where("event_id % 3 <> 0"),
                             "key", ["event_id"])
 
 
@@ -93,7 +93,7 @@ def norm_text(spark, sf):
         "doc_id", tx.norm_text(F.col("text")).alias("normed"))
 
 
-DECORATED = "'\U0001f680' || substr(text, 1, 40) || ' ✨️' || lang || '‍' || text"
+DECORATED = "'\U0001f680' || source || ' ✨️' || lang || '‍' || text"
 
 
 @query("strip_emoji", f"""
@@ -255,12 +255,12 @@ def field_hash(spark, sf):
 
 @query("text_fallback", """
   SELECT doc_id, md5(CASE WHEN doc_id % 3 <> 0 THEN text ELSE array_to_string(list_filter(
-    [lang, CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, substr(text, 1, 30)], lambda p: p <> ''), ' | ')
+    [lang, CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, text], lambda p: p <> ''), ' | ')
     END) AS digest FROM documents""")
 def text_fallback(spark, sf):
     full = F.when(F.col("doc_id") % 3 != 0, F.col("text"))
     parts = [F.col("lang"), F.when(F.col("doc_id") % 2 != 0, F.col("source")),
-             F.substring("text", 1, 30)]
+             F.col("text")]
     return table(spark, sf, "documents").select(
         "doc_id", F.md5(tx.text_fallback(full, parts)).alias("digest"))
 
@@ -271,18 +271,21 @@ _LINE = ("'- ' || role || ' at ' || company_name || ' (' || start_date || ' to '
 
 
 @query("prompt_text", f"""
-  SELECT e.ix, p.id, md5('Classify.' || chr(10) || chr(10) || 'Profile:' || chr(10) || 'headline: '
+  SELECT p.id, count(*) AS entries, md5('Classify.' || chr(10) || chr(10) || 'Profile:' || chr(10) || 'headline: '
     || coalesce(headline, '') || chr(10) || 'skills: ' || array_to_string(skills, ', ') || chr(10)
-    || 'experience:' || chr(10) || {_LINE} || chr(10) || chr(10) || 'Which class?') AS digest
-  FROM entries e JOIN people p ON e.id = p.id""", ("entries", "people"))
+    || 'experience:' || chr(10) || string_agg({_LINE}, chr(10) ORDER BY e.ix) || chr(10) || chr(10) || 'Which class?') AS digest
+  FROM entries e JOIN people p ON e.id = p.id GROUP BY p.id, headline, skills""", ("entries", "people"))
 def prompt_text(spark, sf):
     line = inf.entry_line(*[F.col(c) for c in (
         "role", "company_name", "start_date", "end_date", "duration_months", "description",
         "skills_used")])
-    both = demo.entries(spark, sf).join(
-        demo.people(spark, sf).select("id", "headline", "skills"), "id")
-    return both.select("ix", "id", F.md5(inf.prompt(
-        F.col("headline"), F.col("skills"), F.array(line), "Classify.", "Which class?"))
+    # A prompt holds all entries of its profile, in order.
+    lines = demo.entries(spark, sf).groupBy("id").agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.transform(F.array_sort(F.collect_list(F.struct("ix", line.alias("line")))), lambda e: e["line"]).alias("lines"))
+    both = lines.join(demo.people(spark, sf).select("id", "headline", "skills"), "id")
+    return both.select("id", "entries", F.md5(inf.prompt(
+        F.col("headline"), F.col("skills"), F.col("lines"), "Classify.", "Which class?"))
         .alias("digest"))
 
 

@@ -6,10 +6,13 @@ in the ledger, so a lost job leaves nothing half-applied.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEDGER_DDL = "table string, version bigint, run_id string, committed_at string, digests string"
+LEDGER_DDL = ("table string, version bigint, folder string, kind string, buckets string, run_id string, "
+              "committed_at string, digests string, engine string")
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -30,53 +33,94 @@ def append_new(stored: DataFrame, fresh: DataFrame, key: str, order: list[str])
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """Tables in key buckets; a version holds whole buckets, or rows beside those stored.
+
+    An upsert rewrites only the buckets that its rows fall into, an append adds
+    rows.  The ledger says which, so reading takes each bucket's last rewrite and
+    what was added since.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def ledger(self) -> DataFrame:
         return self.spark.read.schema(LEDGER_DDL).json(f"{self.root}/_runs/*")
 
-    def _has_ledger(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_runs")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    def _folder(self, path: str):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _runs(self, table: str) -> list:
+        folder, files = self._folder(f"{self.root}/_runs")
+        if not files.exists(folder):
+            return []
+        return self.ledger().where(F.col("table") == table).orderBy("version").collect()
 
     def latest(self, table: str) -> int | None:
-        if not self._has_ledger():
-            return None
-        row = self.ledger().where(F.col("table") == table).agg(F.max("version")).first()
-        return row[0]
+        return max((r["version"] for r in self._runs(table)), default=None)
+
+    def paths(self, table: str, only: set[int] | None = None) -> list[str]:
+        """Folders that together hold the table, or the given buckets of it."""
+        held: dict[int, list[str]] = {}
+        for run in self._runs(table):
+            for bucket in map(int, filter(None, run["buckets"].split(","))):
+                path = f"{self.root}/{table}/{run['folder']}/_bucket={bucket}"
+                held[bucket] = (held.get(bucket, []) if run["kind"] == "append" else []) + [path]
+        return [p for b, paths in sorted(held.items()) if only is None or b in only for p in paths]
 
     def read(self, table: str) -> DataFrame | None:
-        version = self.latest(table)
-        if version is None:
-            return None
-        return self.spark.read.parquet(f"{self.root}/{table}/v{version:08d}")
+        paths = self.paths(table)
+        return self.spark.read.parquet(*paths) if paths else None
 
-    def write(self, df: DataFrame, table: str, run_id: str, committed_at: str,
-              digests: str = "") -> int:
+    def _stored(self, fresh: DataFrame, table: str, key: list[str]) -> DataFrame:
+        """The stored rows of the buckets that fresh rows fall into."""
+        touched = {r["b"] for r in fresh.select(self._bucket(key).alias("b")).distinct().collect()}
+        paths = self.paths(table, touched)
+        return self.spark.read.schema(fresh.schema).parquet(*paths) if paths else fresh.limit(0)
+
+    def _bucket(self, key: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
+
+    def _commit(self, df: DataFrame, table: str, key: list[str], kind: str, run_id: str,
+                committed_at: str, digests: str) -> int:
+        """Writes the rows, then the ledger row that makes them count.
+
+        That row's name is the version and may not exist yet: of two writers with
+        the same version the second fails and leaves nothing visible.
+        """
         version = (self.latest(table) or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v{version:08d}")
+        name = f"v{version:08d}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.root}/{table}/{name}"
+        df.withColumn("_bucket", self._bucket(key)).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+        folder, files = self._folder(path)
+        # At most as many as there are buckets.
+        found = [f.getPath().getName() for f in files.listStatus(folder) if f.isDirectory()]
+        buckets = sorted(int(n.removeprefix("_bucket=")) for n in found if n.startswith("_bucket="))
         entry = self.spark.range(1).select(
             F.lit(table).alias("table"), F.lit(version).cast("bigint").alias("version"),
-            F.lit(run_id).alias("run_id"), F.lit(committed_at).alias("committed_at"),
-            F.lit(digests).alias("digests"))
-        # Replaced by key: writing the same version of a run again overwrites its row.
-        entry.coalesce(1).write.mode("overwrite").json(f"{self.root}/_runs/{table}-v{version:08d}")
+            F.lit(name).alias("folder"), F.lit(kind).alias("kind"),
+            F.lit(",".join(map(str, buckets))).alias("buckets"), F.lit(run_id).alias("run_id"),
+            F.lit(committed_at).alias("committed_at"), F.lit(digests).alias("digests"),
+            F.lit(self.spark.version).alias("engine"))
+        entry.coalesce(1).write.mode("errorifexists").json(f"{self.root}/_runs/{table}-v{version:08d}")
         return version
 
     def upsert(self, fresh: DataFrame, table: str, key: list[str], order: list[str],
-               run_id: str, committed_at: str) -> int:
-        stored = self.read(table)
-        base = fresh.limit(0) if stored is None else stored
-        return self.write(upsert(base, fresh, key, order), table, run_id, committed_at)
+               run_id: str, committed_at: str, digests: str = "") -> int:
+        """Newest row per key; only buckets that have fresh rows are read and rewritten."""
+        rows = upsert(self._stored(fresh, table, key), fresh, key, order)
+        return self._commit(rows, table, key, "rewrite", run_id, committed_at, digests)
 
     def append(self, fresh: DataFrame, table: str, key: str, order: list[str], run_id: str,
-               committed_at: str) -> int:
+               committed_at: str, digests: str = "") -> int:
+        """Insert or ignore: rows with new keys are added, nothing stored is rewritten."""
+        rows = append_new(self._stored(fresh, table, [key]), fresh, key, order)
+        return self._commit(rows, table, [key], "append", run_id, committed_at, digests)
+
+    def compact(self, table: str, key: list[str], run_id: str, committed_at: str) -> int | None:
+        """Rewrites every bucket once, so that a read opens one folder per bucket again."""
         stored = self.read(table)
-        base = fresh.limit(0) if stored is None else stored
-        return self.write(base.unionByName(append_new(base, fresh, key, order)), table, run_id,
-                          committed_at)
+        return None if stored is None else self._commit(stored, table, key, "rewrite", run_id, committed_at, "")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

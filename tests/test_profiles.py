@@ -320,3 +320,21 @@ def test_terms_and_classes_have_no_cap(spark):
                                     "id bigint, v array<double>")
     found = {r["id"]: r["predicted"] for r in cl.nearest_centroid(vectors, "v", cents, "id").collect()}
     assert found == {1: "c0000", 2: "c2500", 3: None}
+
+
+def test_store_rewrites_touched_buckets_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=8)
+    rows = spark.createDataFrame([(i, f"v{i}", 1) for i in range(40)], "k bigint, v string, t bigint")
+    store.upsert(rows, "t", ["k"], ["t"], "r1", "x")
+    later = rows.where("k = 7").withColumns({"v": F.lit("new"), "t": F.lit(2).cast("bigint")})
+    store.upsert(later, "t", ["k"], ["t"], "r2", "x", "d")
+    second = store.ledger().where("version = 2").first()
+    assert second["kind"] == "rewrite" and len(second["buckets"].split(",")) == 1 and second["digests"] == "d"
+    got = {r["k"]: r["v"] for r in store.read("t").collect()}
+    assert len(got) == 40 and got[7] == "new" and got[8] == "v8"
+    for run in ("r3", "r4"):
+        store.append(rows.where("k < 10").withColumn("k", F.col("k") + 35), "t", "k", ["t"], run, "x")
+    assert store.read("t").count() == 45 and store.ledger().where("version = 4").first()["buckets"] == ""
+    store.compact("t", ["k"], "r5", "x")
+    assert store.read("t").count() == 45 and len(store.paths("t")) <= 8
+    assert store.read("none") is None and store.compact("none", ["k"], "r", "x") is None
