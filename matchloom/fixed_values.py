@@ -301,6 +301,7 @@ ALARM_CONFIDENCE_DROP = 0.05
 ALARM_NOISE_SHARE = 0.40
 ALARM_DELETION_RATE = 0.05
 ALARM_CLASS_SD = 3.0
+ALARM_P95_MS = 8.0
 
 # A class corpus may not shrink below this share of the previous one.
 CORPUS_MIN_SHARE = 0.7

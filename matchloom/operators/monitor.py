@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as fv
 from matchloom.functions.numeric import round_exact
+from matchloom.operators.skew import selected_values
 
 
 def store_health(signals: DataFrame, version: str) -> DataFrame:
@@ -93,6 +94,28 @@ def mean_drop_alarms(df: DataFrame, period: str, value: Column,
                         F.coalesce(before - F.col("_m") > drop, F.lit(False)).alias("alarm"))
 
 
+def percentile_alarms(df: DataFrame, period: str, value: str, limit: float = fv.ALARM_P95_MS) -> DataFrame:
+    """The 95th percentile per period, by index as for latencies, and whether it is over the limit."""
+    n = F.col("n")
+    found = selected_values(df, value, {"p95": F.least(n - 1, F.floor(n * 0.95))}, [period])
+    return found.select(period, F.lit("p95").alias("rule"), round_exact(F.col(value), 6).alias("rate"),
+                        (F.col(value) > limit).alias("alarm"))
+
+
+def skill_totals(signals: DataFrame) -> DataFrame:
+    """How many skills are shown by work and how many are only claimed, and in how many rows."""
+    shown, claimed = F.size("core_skills"), F.size("claimed_skills_unverified")
+    return signals.agg(
+        F.sum(shown).alias("evidenced"), F.sum(claimed).alias("claimed"),
+        F.count(F.when(shown > 0, 1)).alias("rows_evidenced"), F.count(F.when(claimed > 0, 1)).alias("rows_claimed"))
+
+
+def observed(df: DataFrame, stage: str, **counters: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with counters that fill while any later action runs: no second pass for telemetry."""
+    observation = Observation(stage)
+    return df.observe(observation, F.count(F.lit(1)).alias("rows_out"), *[c.alias(n) for n, c in counters.items()]), observation
+
+
 def cost_projection(df: DataFrame, stage: str, seconds: Column, rows: Column,
                     memory_gb: float = 2.0, million: int = 1_000_000) -> DataFrame:
     """Milliseconds per row, and CPU hours and dollars per million rows, per stage."""

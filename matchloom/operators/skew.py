@@ -157,19 +157,17 @@ def selected_values(
     """Exact order statistics: for each pick the value at that 0-based rank.
 
     ``picks`` maps a name to a rank expression over the column ``n`` (row
-    count).  Ranks are located in a coarse histogram first, then in a fine one
-    inside the located bin, and only the distinct values of that fine bin are
-    ordered; no step gathers more than the bins.
+    count).  Ranks are located in a coarse histogram first, counted map-side from
+    the rows, then in a fine one inside the located bin, and only the distinct
+    values of that fine bin are ordered; no step gathers more than the bins.
     """
     by = by or []
     v = F.col(value).cast("double")
     # Coarse bins are logarithmic (at most about 1.5 million); fine ones split a bin evenly.
     coarse = (F.signum(v) * F.floor(F.log1p(F.abs(v)) * 1000)).cast("bigint")
-    counted = (
-        df.where(v.isNotNull()).select(*by, v.alias("_v"), coarse.alias("_c"))
-        .groupBy(*by, "_c", "_v").agg(F.count(F.lit(1)).alias("_k"))
-    )
-    total = counted.groupBy(*by).agg(F.sum("_k").alias("n"))
+    rows = df.where(v.isNotNull()).select(*by, v.alias("_v"), coarse.alias("_c"))
+    cells = rows.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_lo"), F.max("_v").alias("_up"))
+    total = cells.groupBy(*by).agg(F.sum("_k").alias("n"))
     wanted = total.select(*by, F.explode(F.array(*[
         F.struct(F.lit(name).alias("pick"), rank.cast("bigint").alias("at"))
         for name, rank in picks.items()])).alias("_p")).select(*by, "_p.pick", "_p.at")
@@ -186,21 +184,20 @@ def selected_values(
 
     # A constant group column keeps the window partitioned when the caller has none.
     if not by:
-        counted = counted.withColumn("_all", F.lit(0))
+        rows, cells = rows.withColumn("_all", F.lit(0)), cells.withColumn("_all", F.lit(0))
         wanted = wanted.withColumn("_all", F.lit(0))
     keys = by or ["_all"]
-    first = locate(counted.groupBy(*keys, "_c").agg(
-        F.sum("_k").alias("_k"), F.min("_v").alias("_lo"), F.max("_v").alias("_up")),
-        wanted, "_c", keys)
+    first = locate(cells, wanted, "_c", keys)
     width = F.greatest(F.col("_up") - F.col("_lo"), F.lit(1e-300))
     fine = F.floor((F.col("_v") - F.col("_lo")) / width * 65536).cast("bigint")
-    inside = counted.join(first, keys + ["_c"]).withColumn("_f", fine)
+    # From here on only rows of the located bins count.
+    inside = rows.join(first, keys + ["_c"]).withColumn("_f", fine)
     second = locate(
-        inside.groupBy(*keys, "pick", "_f").agg(F.sum("_k").alias("_k")),
+        inside.groupBy(*keys, "pick", "_f").agg(F.count(F.lit(1)).alias("_k")),
         first.select(*keys, "pick", "at"), "_f", keys + ["pick"])
     last = locate(
         inside.drop("at").join(second.drop("at"), keys + ["pick", "_f"])
-        .select(*keys, "pick", "_v", "_k"),
+        .groupBy(*keys, "pick", "_v").agg(F.count(F.lit(1)).alias("_k")),
         second.select(*keys, "pick", "at"), "_v", keys + ["pick"])
     return last.select(*by, "pick", F.col("_v").alias(value))
 

@@ -9,11 +9,13 @@ from matchloom.functions.numeric import round_exact
 from matchloom.operators import monitor as mon
 from matchloom.operators.skew import selected_values, union_all
 from matchloom.operators import evaluate as ev
+from matchloom.plans.q_classify import classified
 from matchloom.plans.q_evaluate import raw_metrics, sql_mean
 from matchloom.plans.q_feed import events as feed_events
 from matchloom.plans.q_signals import signals
 from matchloom.plans.registry import cte, query, table
 from matchloom.plans.sqltext import rx
+from matchloom.sources import dims
 
 
 @query("store_health", """
@@ -81,6 +83,9 @@ def feed_reach(spark, sf):
         FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2))
       WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
   UNION ALL SELECT day, 'abstention', {rx('r', 6)}, r > 0.25 FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS r FROM events GROUP BY 1)
+  UNION ALL SELECT day, 'fallback', {rx('r', 6)}, r > 0.15 FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'purchase') / count(*)::DOUBLE AS r FROM events GROUP BY 1)
+  UNION ALL SELECT day, 'p95', {rx('v', 6)}, v > 8 FROM (SELECT day, l[least(len(l), CAST(floor(len(l) * 0.95::DOUBLE) AS BIGINT) + 1)] AS v
+    FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, list_sort(list(value)) AS l FROM events WHERE value IS NOT NULL GROUP BY 1))
   UNION ALL SELECT day, 'noise', {rx('r', 6)}, r < 0.4 FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type IN ('view', 'click')) / count(*)::DOUBLE AS r FROM events GROUP BY 1)
   UNION ALL SELECT day, 'deletion', {rx('r', 6)}, r > 0.05 FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_id % 17 = 0) / count(*)::DOUBLE AS r FROM events GROUP BY 1)
   UNION ALL SELECT day, 'mean', {rx('m', 6)}, coalesce(lag(m) OVER (ORDER BY day) - m > 0.05, FALSE) FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, sum(v) / 100.0::DOUBLE / count(*) AS m FROM (SELECT ts, CAST(round(value * 100) AS BIGINT) AS v FROM events) GROUP BY 1)""")
@@ -91,13 +96,14 @@ def drift_alarms(spark, sf):
     rates = mon.rate_alarms(rows, "day", {
         "abstention": (F.col("event_type") == "error", "above", fv.ALARM_ABSTENTION),
         "noise": (F.col("event_type").isin("view", "click"), "below", fv.ALARM_NOISE_SHARE),
+        "fallback": (F.col("event_type") == "purchase", "above", fv.ALARM_FALLBACK),
         "deletion": (F.col("event_id") % 17 == 0, "above", fv.ALARM_DELETION_RATE)})
     # Cents are summed as integers so that the mean does not depend on the order.
     cents = rows.groupBy("day").agg((F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100.0
                                      / F.count(F.lit(1))).alias("m"))
     means = mon.mean_drop_alarms(cents, "day", F.col("m")).select(
         "day", F.lit("mean").alias("rule"), F.col("mean").alias("rate"), "alarm")
-    return union_all([shares, rates, means])
+    return union_all([shares, rates, means, mon.percentile_alarms(rows, "day", "value")])
 
 
 @query("cost_projection", f"""
@@ -117,3 +123,42 @@ def exact_percentiles(spark, sf):
     found = selected_values(table(spark, sf, "events"), "value", {
         "p50": F.floor(n / 2), "p95": F.least(n - 1, F.floor(n * 0.95))}, ["event_type"])
     return found.groupBy("event_type").pivot("pick", ["p50", "p95"]).agg(F.max("value"))
+
+
+@query("skill_totals", """
+  SELECT sum(len(core_skills)) AS evidenced, sum(len(claimed)) AS claimed,
+    count(*) FILTER (len(core_skills) > 0) AS rows_evidenced, count(*) FILTER (len(claimed) > 0) AS rows_claimed FROM signals""", ("signals",))
+def skill_totals(spark, sf):
+    return mon.skill_totals(signals(spark, sf))
+
+
+@query("stage_counters", """
+  SELECT 'classify' AS stage, count(*) AS rows_out, count(*) FILTER (family IS NULL) AS abstained FROM classified""", ("classified",))
+def stage_counters(spark, sf):
+    """Counters taken while the stage's own result is written, not by counting it again."""
+    rows, seen = mon.observed(classified(spark, sf), "classify", abstained=F.count(F.when(F.col("cls").isNull(), 1)))
+    rows.write.format("noop").mode("overwrite").save()
+    found = seen.get
+    return spark.createDataFrame([("classify", found["rows_out"], found["abstained"])],
+                                 "stage string, rows_out bigint, abstained bigint")
+
+
+@query("dim_checks", """
+  SELECT 'overlap' AS rule, (SELECT count(*) FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)) AS findings
+  UNION ALL SELECT 'unknown', (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH'))
+  UNION ALL SELECT 'sum', (SELECT CASE WHEN abs(sum(n_regionkey) - 50) > 0.000001 THEN 1 ELSE 0 END FROM nation)
+  UNION ALL SELECT 'symmetry', (SELECT count(*) FROM (SELECT DISTINCT c_nationkey AS a, n_regionkey AS b FROM customer JOIN nation ON n_nationkey = c_nationkey) x
+    WHERE NOT EXISTS (SELECT 1 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey = x.b AND n_regionkey = x.a))""")
+def dim_checks(spark, sf):
+    """Findings of each dictionary check over pairs of tables."""
+    customer, nation = table(spark, sf, "customer"), table(spark, sf, "nation")
+    pairs = customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select(
+        F.col("c_nationkey").cast("bigint").alias("a"), F.col("n_regionkey").cast("bigint").alias("b")).distinct()
+    found = {
+        "overlap": dims.overlaps(customer.select(F.col("c_nationkey").alias("k")),
+                                 table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")), "k"),
+        "unknown": dims.unknown_values(table(spark, sf, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"]),
+        "sum": dims.sums_to(nation, "n_regionkey", 50),
+        "symmetry": dims.one_sided(pairs, "a", "b")}
+    return union_all([rows.agg(F.count(F.lit(1)).alias("findings")).select(F.lit(name).alias("rule"), "findings")
+                      for name, rows in found.items()])

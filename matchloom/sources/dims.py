@@ -31,6 +31,12 @@ def overlaps(a: DataFrame, b: DataFrame, member: str) -> DataFrame:
     return a.select(member).distinct().join(b.select(member).distinct(), member)
 
 
+def one_sided(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs whose mirror image is not listed; empty for a symmetric table."""
+    mirrored = pairs.select(F.col(b).alias(a), F.col(a).alias(b))
+    return pairs.select(a, b).distinct().join(mirrored, [a, b], "left_anti")
+
+
 def first_wins(dim: DataFrame, member: str, value: str, ordinal: str) -> DataFrame:
     return dim.groupBy(member).agg(F.min_by(value, ordinal).alias(value))
 

@@ -90,11 +90,19 @@ def read_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def read_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Partial profiles with an ingest ordinal.
 
-    The ordinal is unique and grows along each file; it only breaks ties between
-    records of one time.  List and flag fields stay null when the key is null.
+    The ordinal is text that orders records by file, then by place in the file,
+    however the files are split into tasks; it only breaks ties between records
+    of one time.  List and flag fields stay null when the key is null.
     """
-    good, bad = read_json_lines(spark, path, PROFILE_DDL)
-    typed = coerce_profiles(good).withColumn("ordinal", F.monotonically_increasing_id())
+    def padded(n: Column) -> Column:
+        return F.lpad(n.cast("string"), 20, "0")
+
+    # Inside one split the running number follows the lines; splits follow their start.
+    place = F.concat_ws("|", F.col("_metadata.file_path"), padded(F.col("_metadata.file_block_start")),
+                        padded(F.monotonically_increasing_id()))
+    lines = spark.read.text(path).select("value", place.alias("ordinal"))
+    good, bad = split_json(lines, "value", PROFILE_DDL, ["ordinal"])
+    typed = coerce_profiles(good)
     for group in ("skills", "experience", "education"):
         typed = typed.withColumn(group, F.when(
             F.get_json_object("_raw", f"$.{group}").isNotNull(), F.col(group)))
