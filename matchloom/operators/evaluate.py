@@ -189,17 +189,18 @@ def sign_flip(deltas: DataFrame, delta: str, scale: int = 10_000) -> DataFrame:
 
 
 def verdict(per_query: DataFrame, delta: str, interval: DataFrame) -> DataFrame:
-    """Whether the interval holds zero, whether signs agree, and the direction of the mean."""
+    """The mean delta, whether the interval holds zero, whether signs agree, and the direction."""
     d = F.col(delta)
     facts = per_query.agg(
         F.count(F.lit(1)).alias("n_queries"),
         (F.bool_and(d > 0) | F.bool_and(d < 0)).alias("signs_agree"),
+        (F.rint(F.sum(F.rint(d * 10_000).cast("bigint")) / F.count(F.lit(1))) / 10_000).alias("point"),
         F.avg(d).alias("_mean"))
     low = interval.select("low").scalar()
     high = interval.select("high").scalar()
     out = facts.withColumn("crosses_zero", (low <= 0) & (high >= 0))
     return out.select(
-        "n_queries", "crosses_zero", "signs_agree",
+        "n_queries", "point", "crosses_zero", "signs_agree",
         F.when(F.col("_mean") > 0, "improvement").otherwise("regression").alias("direction"),
         F.concat(
             F.when(F.col("crosses_zero"), "the interval holds zero").otherwise(

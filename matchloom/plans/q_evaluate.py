@@ -203,10 +203,15 @@ def permutation_p(spark, sf):
     return ev.sign_flip(query_deltas(spark, sf), "delta")
 
 
+@query("query_deltas", "SELECT query, delta FROM query_deltas", ("query_deltas",))
+def deltas_per_query(spark, sf):
+    return query_deltas(spark, sf)
+
+
 @query("eval_verdict", """
-  SELECT n_queries, crosses_zero, signs_agree, direction, CASE WHEN crosses_zero THEN 'the interval holds zero' ELSE 'the interval excludes zero' END
+  SELECT n_queries, point, crosses_zero, signs_agree, direction, CASE WHEN crosses_zero THEN 'the interval holds zero' ELSE 'the interval excludes zero' END
     || '; signs ' || CASE WHEN signs_agree THEN 'agree' ELSE 'do not agree' END AS verdict
-  FROM (SELECT count(*) AS n_queries, (SELECT low <= 0 AND high >= 0 FROM interval_sql) AS crosses_zero,
+  FROM (SELECT count(*) AS n_queries, round_even(sum(CAST(round_even(delta * 10000, 0) AS BIGINT))::DOUBLE / count(*), 0) / 10000.0::DOUBLE AS point, (SELECT low <= 0 AND high >= 0 FROM interval_sql) AS crosses_zero,
     bool_and(delta > 0) OR bool_and(delta < 0) AS signs_agree, CASE WHEN avg(delta) > 0 THEN 'improvement' ELSE 'regression' END AS direction
     FROM query_deltas)""", ("query_deltas", "interval_sql"))
 def eval_verdict(spark, sf):

@@ -357,3 +357,13 @@ def cosine_rank(spark, sf):
     queries = cl.centroids(vectors, "label", "embedding").select(
         F.col("label").alias("query"), F.col("centroid").alias("vector"))
     return sc.cosine_rank(vectors, queries, "vec_id", "embedding")
+
+
+@query("driving_component", """
+  SELECT id, job_id, list_extract(list_sort([""" + ", ".join(
+    f"{{'g': -({float(fv.WEIGHTS[n])}::DOUBLE - c_{n}), 'o': {i}, 'n': '{n}'}}" for i, n in enumerate(_PARTS)) + """]), 1).n AS component
+  FROM scored WHERE rung = 4""", ("scored",))
+def driving_component(spark, sf):
+    """The component that keeps each pair furthest from its full points."""
+    maxima = {n: fv.WEIGHTS[n] for n in _PARTS}
+    return scored(spark, sf).select("id", "job_id", ev.driving_component(F.col("score_breakdown"), maxima).alias("component"))
