@@ -15,7 +15,7 @@ from matchloom.session import materialised
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is found, or none has half the words."""
+    """Drops documents in which no language is found, or none has a third of the words."""
     return langid.filter_stage(docs)
 
 

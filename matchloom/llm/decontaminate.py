@@ -24,7 +24,7 @@ from matchloom.llm.common import annotate
 #: Length of the q-grams.
 Q = 10
 #: Edits allowed per character of an item.
-EDITS = 0.06
+EDITS = 0.08
 #: Characters of benchmark text in a block; a block is what a task holds.
 BLOCK = 4_000_000
 #: Characters of documents looked at together; longer texts are cut with an overlap.

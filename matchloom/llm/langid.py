@@ -189,7 +189,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: bool = Fals
                     lambda: _scorer(broadcast.value), keep)
 
 
-def filter_stage(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Drops documents without a determined language, or whose main one has under half the words."""
+def filter_stage(docs: DataFrame, least: float = 0.34) -> DataFrame:
+    """Drops documents without a determined language, or whose main one has under about a third of the words."""
     marked = identify(docs, train(docs), keep=True)
     return marked.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select("row.*")
