@@ -13,7 +13,7 @@ from matchloom.operators import signals as sg
 from matchloom.plans import demo
 from matchloom.session import materialised
 from matchloom.plans.q_signals import RULES, signals
-from matchloom.plans.registry import cte, query, shared, table
+from matchloom.plans.registry import CTES, cte, query, shared, table
 from matchloom.plans.sqltext import joined, norm, q, rx
 from matchloom.sources import store
 from matchloom.streaming import feed as st
@@ -305,7 +305,13 @@ def list_change_kind(spark, sf):
                                "o_custkey", ["o_orderpriority"], "current", "ended")
 
 
-@query("stream_feed")
+# The stream starts without state: the batch changes over an empty base.
+cte("base_none", "SELECT entity, field_group, value AS base_value, hash AS base_hash, '' AS base_at FROM feed_hashed WHERE FALSE", ("feed_hashed",))
+cte("marked_none", CTES["marked"][1].replace("LEFT JOIN base b", "LEFT JOIN base_none b"), ("feed_hashed", "base_none"))
+cte("changes_none", CTES["changes"][1].replace("FROM marked", "FROM marked_none"), ("marked_none",))
+
+
+@query("stream_feed", "SELECT field_group, change, count(*) AS n FROM changes_none GROUP BY field_group, change", ("changes_none",))
 def stream_feed(spark, sf):
     schema = table(spark, sf, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
