@@ -28,7 +28,7 @@ DEPTH = 7
 #: At most this many vectors, chosen by a hash of the id, are used to grow the trees.
 SAMPLE = 50_000
 #: A query takes leaves until they hold this share of all vectors, counted with repeats over the trees.
-SHARE = 0.6
+SHARE = 0.75
 #: Vectors of a leaf that are compared in one task at a time.
 BLOCK = 4096
 SEED = 5
