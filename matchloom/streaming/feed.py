@@ -25,45 +25,65 @@ class FieldProcessor(StatefulProcessor):
     """Stored (hash, time, value) of one field; emits one change per record.
 
     A micro-batch's records of a field are taken in (time, ingest) order.  A
-    record that arrives after a newer one was applied is stale.
+    record that arrives after a newer one was applied is stale.  Since the stored
+    time is the running maximum and the stored hash and value are the last ones
+    seen and applied, all records of a batch are decided at once by shifts.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("field", "hash string, at string, value string")
 
+    def handleInitialState(self, key: Any, rows: pd.DataFrame, timerValues: Any) -> None:
+        first = rows.iloc[0]
+        self.state.update((first["base_hash"], first["base_at"], first["base_value"]))
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
                         ) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["observed_at", "ordinal"])
-        stored = self.state.get() if self.state.exists() else None
-        changes, olds = [], []
-        for at, value, digest in zip(batch["observed_at"], batch["value"], batch["hash"]):
-            olds.append(stored[2] if stored else None)
-            if stored and at <= stored[1]:
-                changes.append("stale_skip")
-            elif value is None:
-                changes.append("suspected_deletion")
-                stored = (stored[0], at, stored[2]) if stored else None
-            elif stored and digest == stored[0]:
-                changes.append("noise")
-                stored = (digest, at, stored[2])
-            else:
-                changes.append("applied")
-                stored = (digest, at, value)
-        if stored:
-            self.state.update(stored)
+        batch = pd.concat(list(rows)).sort_values(["observed_at", "ordinal"], ignore_index=True)
+        digest, at, value = self.state.get() if self.state.exists() else (None, None, None)
+        known = batch["value"].notna()
+        before = batch["observed_at"].shift()
+        if at is not None:
+            # Text times compare as text; the first record meets the stored time.
+            before = before.where(before > at, at).fillna(at)
+            stale = batch["observed_at"] <= before
+        else:
+            # A field without state gets one from its first value; nothing before that is stale.
+            born = known.cumsum().shift(fill_value=0) > 0
+            stale = born & (batch["observed_at"] <= before.fillna(""))
+        seen = known & ~stale
+        last = batch["hash"].where(seen).ffill().shift()
+        last = last if digest is None else last.fillna(digest)
+        applied = seen & (batch["hash"] != last)
+        old = batch["value"].where(applied).ffill().shift()
+        old = old if value is None else old.fillna(value)
+        change = pd.Series("applied", index=batch.index).mask(seen & ~applied, "noise")
+        change = change.mask(~known, "suspected_deletion").mask(stale, "stale_skip")
+        if at is not None or known.any():
+            newest = batch["observed_at"].max()
+            hashes, values = batch["hash"][seen], batch["value"][applied]
+            self.state.update((hashes.iloc[-1] if len(hashes) else digest,
+                               newest if at is None else max(at, newest),
+                               values.iloc[-1] if len(values) else value))
         yield pd.DataFrame({
             "entity": key[0], "field_group": key[1], "observed_at": batch["observed_at"],
-            "ordinal": batch["ordinal"], "change": changes, "old_value": olds,
+            "ordinal": batch["ordinal"], "change": change,
+            "old_value": old.astype(object).where(old.notna(), None),
             "value": batch["value"], "hash": batch["hash"]})
 
     def close(self) -> None:
         pass
 
 
-def stream_changes(feed: DataFrame) -> DataFrame:
-    """Changes of a streaming feed; fields are independent, so each is its own key."""
+def stream_changes(feed: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Changes of a streaming feed; fields are independent, so each is its own key.
+
+    ``base`` is the state of a base load (entity, field_group, base_value,
+    base_hash, base_at) that the stream starts from.
+    """
+    start = None if base is None else base.groupBy("entity", "field_group")
     return feed.groupBy("entity", "field_group").transformWithStateInPandas(
-        FieldProcessor(), CHANGES_DDL, outputMode="append", timeMode="none")
+        FieldProcessor(), CHANGES_DDL, outputMode="append", timeMode="none", initialState=start)
 
 
 def run_available(spark: SparkSession, changes: DataFrame, name: str) -> DataFrame:

@@ -277,6 +277,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert out.select(cols).exceptAll(batch.select(cols)).count() == 0 and out.count() == 6
 
 
+def test_stream_with_a_base_in_several_batches(spark, tmp_path):
+    """Two micro-batches over a base load give what one batch application gives."""
+    from matchloom.streaming import feed as st
+    rows = [("A", g, f"2026-01-{d:02d}", i, "s", v) for i, (g, d, v) in enumerate([
+        ("headline", 1, "old title"), ("headline", 3, "x"), ("headline", 3, "y"), ("headline", 4, None),
+        ("about", 2, None), ("about", 3, "text"), ("about", 3, "again"),
+        ("headline", 6, "X"), ("headline", 7, "z"), ("about", 8, "Text "), ("about", 9, None), ("location", 9, "here")])]
+    feed = feed_of(spark, rows).withColumn("file", F.when(F.col("ordinal") < 7, 0).otherwise(1))
+    path = str(tmp_path / "feed")
+    for part in (0, 1):
+        feed.where(F.col("file") == part).drop("file").coalesce(1).write.mode("append").parquet(path)
+    feed = feed.drop("file")
+    base = feed.where("ordinal in (0, 11)").select(
+        "entity", "field_group", F.col("value").alias("base_value"), F.col("hash").alias("base_hash"),
+        F.lit("2026-01-02").alias("base_at"))
+    source = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = st.run_available(spark, st.stream_changes(source, base), "test_stream_base")
+    batch = fd.mark_changes(fd.mark_stale(feed, base))
+    cols = ["ordinal", "change", "old_value"]
+    assert out.count() == 12 and out.select(cols).exceptAll(batch.select(cols)).count() == 0
+
+
 def test_event_ids_of_typed_values(spark):
     """Ids depend on the JSON form of the value: a flag, a list of words, a list of entries in one line each, text."""
     at = "2026-08-16T04:00:00Z"
