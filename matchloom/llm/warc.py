@@ -231,6 +231,8 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
 def read_all(spark: SparkSession, index: DataFrame) -> DataFrame:
     """Every record of the bundles that an index names, a frame at a time."""
     bundles = index.select("bundle").distinct()
+    # A name is a few bytes but stands for a file of up to 64 MB: each gets a task of its own.
+    bundles = bundles.repartition(max(1, bundles.count()), "bundle")
 
     def run(batches):
         for batch in batches:
