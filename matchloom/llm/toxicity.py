@@ -1,7 +1,7 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 The lexicon is learned from labelled documents: whole words and word beginnings
-that toxic documents use far more often than others do.  The features are
+that toxic documents use far more often than others do, in different surroundings.  The features are
 densities of its entries, how near they stand to words of the second person,
 rates of capitals, punctuation and obfuscation, and length.
 """
@@ -13,6 +13,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -27,6 +28,8 @@ from matchloom.session import materialised
 TRAIN_ROWS = 20_000
 #: The lexicon keeps at most this many entries, the strongest first.
 LEXICON = 3000
+#: Entries looked at more closely while it is learned.
+CANDIDATES = 20_000
 #: Least log-likelihood gain of an entry: chance alone reaches it about once in 10^5 entries.
 GAIN = 12.0
 #: Lengths of word beginnings that can become entries; whole words carry a mark at the end.
@@ -85,12 +88,44 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     own = F.col("p") / (F.col("p") + F.col("q"))
     gain = F.col("p") * F.log(own / share) + F.when(F.col("q") > 0, F.col("q") * F.log((1 - own) / (1 - share))).otherwise(0)
     weight = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("q") + 0.5) / (neg + 1))
-    strong = (counted.where((own > share) & (F.col("p") > 0)).withColumn("gain", gain).withColumn("w", weight)
-              .where((F.col("gain") >= GAIN) & (F.col("w") >= 1.5))
-              .orderBy(F.desc("gain"), "entry").limit(LEXICON).select("entry", "w").toPandas())
+
+    def strongest(rows: DataFrame, most: int) -> DataFrame:
+        return (rows.where((own > share) & (F.col("p") > 0)).withColumn("gain", gain).withColumn("w", weight)
+                .where((F.col("gain") >= GAIN) & (F.col("w") >= 1.5))
+                .orderBy(F.desc("gain"), "entry").limit(most))
+
+    candidates = frozenset(strongest(counted, CANDIDATES).select("entry").toPandas()["entry"])
+    # Copies of one toxic text would make all its words look toxic, so an entry's evidence is
+    # the number of different surroundings (word before, word after) in which it stands.
+    seen = sample.mapInArrow(_surroundings(candidates), "entry string, y int, around long").distinct()
+    apart = seen.groupBy("entry").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    strong = strongest(apart, LEXICON).select("entry", "w").toPandas()
     return dict(zip(strong["entry"], strong["w"].astype(float)))
 
 
+def _surroundings(candidates: frozenset):
+    starts = frozenset(e[:4] for e in candidates)
+
+    def run(batches):
+        for batch in batches:
+            found = set()
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
+                tokens = (text or "").lower().split()
+                for i, token in enumerate(tokens):
+                    word = token if token.isalpha() else plain(token)[0]
+                    if word[:4] in starts or word + END in candidates:
+                        before = tokens[i - 1] if i else ""
+                        after = tokens[i + 1] if i + 1 < len(tokens) else ""
+                        around = xxhash.xxh64_intdigest(f"{before}\n{after}") >> 1
+                        found.update((e, y, around) for e in entries(word) if e in candidates)
+            rows = list(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()),
+                 pa.array([r[2] for r in rows], pa.int64())], ["entry", "y", "around"])
+
+    return run
+
+
 def features(text: str | None, lexicon: dict[str, float], starts: frozenset) -> list[float]:
     """The dense features of a whole text, in the order of ``NAMES``."""
     text = text or ""
