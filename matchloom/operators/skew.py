@@ -114,7 +114,7 @@ def carry_last(
     return out.select(*df.columns, *[found[n].alias(n) for n in values])
 
 
-def dominance_sum(points: DataFrame, queries: DataFrame, key: list[str], bits: int) -> DataFrame:
+def dominance_sum(points: DataFrame, queries: DataFrame, key: list[str], bits: int | str) -> DataFrame:
     """For each query (x, y): the sum of ``w`` over points of its key with px > x, py <= y.
 
     Each x is read as a path in a binary tree of ``bits`` levels.  The points
@@ -123,8 +123,9 @@ def dominance_sum(points: DataFrame, queries: DataFrame, key: list[str], bits: i
     on at most ``bits`` nodes.  No pair of rows is ever formed.
 
     Columns: points (key, x, y, w), queries (key, x, y, qid); x below 2^bits.
+    ``bits`` may name a column of both that is constant within a key and at least 1.
     """
-    levels = F.sequence(F.lit(0), F.lit(bits - 1))
+    levels = F.sequence(F.lit(0), F.col(bits) - 1 if isinstance(bits, str) else F.lit(bits - 1))
     one = F.lit(1).cast("bigint")
 
     def node(level: Column) -> Column:

@@ -10,7 +10,6 @@ from matchloom.functions import dates as dt
 from matchloom.functions.numeric import round_exact
 from matchloom.operators.skew import dominance_sum
 
-_DAY_BITS = 21
 _DAY_SHIFT = 2**20
 
 
@@ -83,17 +82,23 @@ def _by_dominance(spans: DataFrame, by: str, ix: str) -> DataFrame:
     longest = spans.groupBy(by, "start_on").agg(
         F.min(F.struct((-F.unix_date("end_on")).alias("ne"), F.col(ix).alias("ix"),
                        F.col("months").alias("m"), F.col("end_on").alias("e"))).alias("_r"))
-    queries = longest.select(by, day(F.col("start_on")).alias("x"), day(F.col("_r.e")).alias("y"),
+    # Start days count by their rank within the entity, so the tree has few levels for few
+    # spells; the window holds one row per day, bounded by the calendar.
+    starts = Window.partitionBy(by)
+    longest = longest.withColumns({
+        "x": (F.row_number().over(starts.orderBy("start_on")) - 1).cast("bigint"),
+        "bits": F.greatest(F.lit(1), F.ceil(F.log2(F.count(F.lit(1)).over(starts)))).cast("int")})
+    queries = longest.select(by, "x", "bits", day(F.col("_r.e")).alias("y"),
                              day(F.col("start_on")).cast("bigint").alias("qid"))
     points = (
         spans.where("months >= 1").groupBy(by, "start_on", "months")
         .agg(F.count(F.lit(1)).alias("n"))
+        .join(longest.select(by, "start_on", "x", "bits"), [by, "start_on"])
         .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("months"))))
-        .groupBy(by, day(F.col("start_on")).alias("x"),
-                 day(dt.month_turn(F.col("start_on"), F.col("k"))).alias("y"))
+        .groupBy(by, "x", "bits", day(dt.month_turn(F.col("start_on"), F.col("k"))).alias("y"))
         .agg(F.sum("n").alias("w"))
     )
-    lost = dominance_sum(points, queries, [by], _DAY_BITS)
+    lost = dominance_sum(points, queries, [by], "bits")
     kept = (
         longest.withColumn("qid", day(F.col("start_on")).cast("bigint"))
         .join(lost, [by, "qid"], "left")
