@@ -7,11 +7,15 @@ than its parameters cost.  A kept state has its frequent continuations
 probabilities sum to one; a text is scored at the longest kept suffix of what
 precedes each word.
 
-Only runs of words with an empirical probability of ``ARC`` or more can be arcs,
-so a level has at most 1 / ARC of them and the tree has a proven bound, whatever
-the corpus.  Counts are taken over all training documents.  Word counts
-themselves have no bound: frequent words (at most 1 / HEAD) are broadcast, and
-each document's other words meet their counts in a join.
+Every run of words that occurs ``LEAST`` times or more can be an arc, at any size
+of the corpus, so the tree grows with it and is a set of tables: ``levels`` counts
+the runs and decides on the contexts, ``weights`` has what a run adds to the score
+of a text in which it stands, and each document's own runs meet their weights in a
+join.  Only a bounded part is broadcast, to save rows: frequent words (at most
+1 / HEAD), the weights of frequent runs (at most 1 / HOT a level) and sketches of
+``SKETCH`` bits, which let through all runs of a table and some others.
+
+Runs are known by keys of 64 bits.
 """
 
 from __future__ import annotations
@@ -20,16 +24,17 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import remainder
 from matchloom.session import materialised
 
-#: Least probability of a word in the broadcast vocabulary, and of a run of words in the tree.
+#: Least probability of a word in the broadcast vocabulary, and of a run whose weight is broadcast; no result depends on them.
 HEAD = 2e-6
-ARC = 1e-5
-#: Least count of either, for small corpora.
+HOT = 2e-6
+#: Least count of a word or a run of words in the tree.
 LEAST = 4
 #: Longest context in words.
 ORDER = 3
@@ -37,6 +42,9 @@ ORDER = 3
 DISCOUNT = 0.5
 #: Distinct words a task counts before it hands them on.
 HELD = 400_000
+#: log2 of the bits of a sketch, and of those that one task fills.
+SKETCH = 27
+CHUNK = 20
 _SHIFT = 21
 END = 0
 
@@ -46,6 +54,19 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def _word_key(word: bytes) -> int:
+    """Spark's ``xxhash64`` of a word; the end of a text has that of the empty word."""
+    return xxhash.xxh64_intdigest(word, 42)
+
+
+def _run_key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The key of a run from those of the run without its last and without its first word."""
+    mixed = context * np.uint64(0x9E3779B97F4A7C15) + suffix
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + (suffix >> np.uint64(7))
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
 def _texts(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
@@ -79,8 +100,8 @@ class Vocabulary:
         self.total, self.kinds = total, kinds
         self.number = {w.encode(): i + 1 for i, w in enumerate(frequent["word"])}
         self.count = np.concatenate([[ends], frequent["n"].to_numpy(np.int64)]) if len(frequent) else np.array([ends])
-        least = max(LEAST, int(np.ceil(ARC * total)))
-        self.arcs = 1 + int((self.count[1:] >= least).sum())
+        self.arcs = 1 + int((self.count[1:] >= LEAST).sum())
+        self.keys = np.array([_word_key(w) for w in [b"", *self.number]], np.uint64)
         # The share of a count that is kept for words not seen, from words seen once and twice.
         self.discount = (once + 1) / (once + 2 * twice + 2)
 
@@ -106,7 +127,10 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
 
 
 def encode(docs: DataFrame, known) -> DataFrame:
-    """``rid, doc_id, train, ids, rare``: a document as word numbers (-1: rare) and its rare words with counts."""
+    """``rid, doc_id, train, ids, rare``: a document as word numbers and its rare words with counts.
+
+    The number of a rare word is -1 less its place among the document's rare words.
+    """
     names = ["rid", "doc_id", "train", "ids", "rare"]
     rare = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
 
@@ -118,7 +142,10 @@ def encode(docs: DataFrame, known) -> DataFrame:
                 text = words(value)
                 row = np.fromiter((get(w, -1) for w in text), np.int32, len(text))
                 ids.append(row)
-                seen = Counter(text[i] for i in np.flatnonzero(row < 0))
+                missing = np.flatnonzero(row < 0)
+                seen = Counter(text[i] for i in missing)
+                place = {w: -1 - j for j, w in enumerate(seen)}
+                row[missing] = [place[text[i]] for i in missing]
                 others.append([{"word": w.decode(), "k": n} for w, n in seen.items()])
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in ids])]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
@@ -131,7 +158,9 @@ def encode(docs: DataFrame, known) -> DataFrame:
 
 
 class Tree:
-    """Levels of arcs: level k holds runs of k words as (number of the first k-1 words' run, last word)."""
+    """The model in memory, for corpora whose words are all in the vocabulary; ``levels`` makes the same one as tables.
+
+    Levels of arcs: level k holds runs of k words as (number of the first k-1 words' run, last word)."""
 
     def __init__(self, known: Vocabulary):
         self.known = known
@@ -239,7 +268,7 @@ def _sequence(ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return seq, begin[:-1]
 
 
-def _pieces(batch: pa.RecordBatch, name: str, most: int = 1 << 20):
+def _pieces(batch: pa.RecordBatch, name: str, most: int = 1 << 18):
     """Slices of a batch with about ``most`` words each, so that arrays stay small."""
     size = np.asarray(batch.column(name).value_lengths().to_numpy(zero_copy_only=False), np.int64)
     start = held = 0
@@ -253,10 +282,9 @@ def _pieces(batch: pa.RecordBatch, name: str, most: int = 1 << 20):
 
 
 def grow(coded: DataFrame, known: Vocabulary, order: int = ORDER) -> Tree:
-    """The tree of all training documents, a level at a time."""
+    """The tree of all training documents in memory, a level at a time."""
     spark = coded.sparkSession
     tree = Tree(known)
-    least = max(LEAST, int(np.ceil(ARC * known.total)))
     for _ in range(order):
         shared = spark.sparkContext.broadcast(tree)
 
@@ -268,15 +296,124 @@ def grow(coded: DataFrame, known: Vocabulary, order: int = ORDER) -> Tree:
                     key, n = np.unique(keys, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
 
-        # At most 1 / ARC runs reach this count.
         frequent = coded.where("train").select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(
-            F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+            F.sum("n").alias("n")).where(F.col("n") >= LEAST).toPandas()
         tree.grow(frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
         if not len(frequent):
             break
     return tree
 
 
+def _word_keys(part: pa.RecordBatch, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sequence of a batch, where each document begins, and the key of each word, rare ones too."""
+    seq, begin = _sequence(part.column("ids"))
+    keys = known.keys[np.maximum(seq, 0)]
+    rare = np.flatnonzero(seq < 0)
+    if len(rare):
+        listed = part.column("rare")
+        size = np.asarray(listed.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+        own = listed.flatten().field("word").cast(pa.binary()).to_pylist()
+        own = np.fromiter((_word_key(w) for w in own), np.uint64, len(own))
+        first = np.cumsum(size) - size
+        keys[rare] = own[first[np.searchsorted(begin, rare, "right") - 1] - 1 - seq[rare]]
+    return seq, begin, keys
+
+
+def _longer(seq: np.ndarray, keys: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the keys of the runs that end at each place, those one word longer; nothing goes on after an end."""
+    more, good = np.zeros_like(keys), np.zeros_like(ok)
+    good[1:] = ok[1:] & ok[:-1] & (seq[:-1] != END)
+    at = np.flatnonzero(good)
+    more[at] = _run_key(keys[at - 1], keys[at])
+    return more, good
+
+
+def sketch(keys: DataFrame) -> np.ndarray:
+    """``SKETCH`` bits with those of the given ``key``s set."""
+    bit = F.col("key").bitwiseAND(F.lit((1 << SKETCH) - 1))
+    bits = keys.select(F.shiftright(bit, CHUNK).alias("chunk"), bit.bitwiseAND(F.lit((1 << CHUNK) - 1)).alias("at")).distinct()
+
+    def pack(part: pa.Table) -> pa.Table:
+        full = np.zeros(1 << CHUNK, bool)
+        full[part.column("at").to_numpy()] = True
+        return pa.table({"chunk": part.column("chunk")[:1], "bits": pa.array([np.packbits(full, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((1 << SKETCH - CHUNK, 1 << CHUNK - 3), np.uint8)
+    for row in bits.groupBy("chunk").applyInArrow(pack, "chunk long, bits binary").collect():
+        out[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64((1 << SKETCH) - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def levels(coded: DataFrame, counts: DataFrame, ends: int, known: Vocabulary, shared, order: int = ORDER) -> DataFrame:
+    """``key, n, weight``: what each run in a text adds to the text's score, for the runs that add anything.
+
+    The score of a word is the root's, and for each context before it that is
+    kept, what that context changes: the log of the state's left share, or for
+    an arc its own log less that of its suffix.  So a context adds its left share wherever it
+    stands, and an arc the difference from that.
+    """
+    spark = coded.sparkSession
+    root = F.log10(F.greatest(F.col("n") - known.discount, F.lit(1e-9)) / float(max(1, known.total)))
+    last = counts.select(F.xxhash64("word").alias("key"), "n").unionByName(
+        spark.createDataFrame([(ends,)], "n long").select(F.xxhash64(F.lit("")).alias("key"), "n"))
+    last = materialised(last.where(F.col("n") >= LEAST).withColumn("log", root), "runs")
+    sketches, found = [], []
+    price = 0.5 * float(np.log(max(2, known.total)))
+    for _ in range(order):
+        sketches.append(spark.sparkContext.broadcast(sketch(last)))
+
+        def count(batches, sketches=tuple(sketches)):
+            for batch in batches:
+                for part in _pieces(batch, "ids"):
+                    seq, _, keys = _word_keys(part, shared.value)
+                    ok = _may_have(sketches[0].value, keys)
+                    for bits in sketches[1:]:
+                        keys, ok = _longer(seq, keys, ok)
+                        at = np.flatnonzero(ok)
+                        ok[at] = _may_have(bits.value, keys[at])
+                    longer, ok = _longer(seq, keys, ok)
+                    at = np.flatnonzero(ok)
+                    _, first, n = np.unique(longer[at], return_index=True, return_counts=True)
+                    at = at[first]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[at - 1].view(np.int64)), pa.array(keys[at].view(np.int64)), pa.array(n.astype(np.int64))],
+                        ["context", "suffix", "n"])
+
+        def name(batches):
+            for batch in batches:
+                pair = [batch.column(c).to_numpy().view(np.uint64) for c in ("context", "suffix")]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_run_key(*pair).view(np.int64))], [*batch.schema.names, "key"])
+
+        arcs = coded.where("train").select("ids", "rare").mapInArrow(count, "context long, suffix long, n long").groupBy(
+            "context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+        arcs = materialised(arcs.mapInArrow(name, "context long, suffix long, n long, key long"), "arcs")
+        arcs = arcs.join(last.select(F.col("key").alias("context"), F.col("n").alias("above")), "context").join(
+            last.select(F.col("key").alias("suffix"), F.col("log").alias("parent")), "suffix")
+        own = (F.col("n") - DISCOUNT) / F.col("above")
+        arcs = materialised(arcs.select("context", "key", "n", "above", "parent", own.alias("own")), "arcs")
+        rest, rest_parent = (F.greatest(1 - F.sum(c), F.lit(1e-9)) for c in (F.col("own"), F.pow(F.lit(10.0), F.col("parent"))))
+        gain = F.sum(F.col("n") * (F.ln("own") - F.col("parent") * float(np.log(10))))
+        states = arcs.groupBy("context").agg(F.first("above").alias("above"), F.count(F.lit(1)).alias("arcs"), gain.alias("gain"),
+                                             rest.alias("rest"), rest_parent.alias("rest_parent"))
+        share = F.col("rest") / F.col("rest_parent")
+        states = materialised(states.where(F.col("gain") + F.col("above") * F.col("rest") * F.ln(share) > (F.col("arcs") + 1) * price).select(
+            "context", "above", F.log10(share).alias("left_share")), "states")
+        log = F.when(F.col("left_share").isNotNull(), F.log10("own")).otherwise(F.col("parent"))
+        last = materialised(arcs.join(states.drop("above"), "context", "left").select(
+            "key", "n", log.alias("log"), (log - F.col("parent") - F.col("left_share")).alias("weight")), "runs")
+        found += [states.select(F.col("context").alias("key"), F.col("above").alias("n"), F.col("left_share").alias("weight")),
+                  last.where("weight is not null").select("key", "n", "weight")]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return materialised(every.groupBy("key").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")), "weights")
+
+
 def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
@@ -288,28 +425,61 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(remainder("doc_id", modulus) != held, F.lit(False)).alias("train"),
                        F.coalesce("text", F.lit("")).alias("text"))
     counts = materialised(word_counts(rows.where("train")), "words")
-    known = vocabulary(counts, rows.where("train").count())
+    ends = rows.where("train").count()
+    known = vocabulary(counts, ends)
     shared = spark.sparkContext.broadcast(known)
     coded = materialised(encode(rows, shared), "coded")
-    tree = spark.sparkContext.broadcast(grow(coded, known))
+    weights = levels(coded, counts, ends, known, shared)
+    bits = spark.sparkContext.broadcast(sketch(weights))
+    is_hot = F.col("n") >= max(LEAST, int(np.ceil(HOT * known.total)))
+    # At most 1 / HOT runs of each length reach this count.
+    table = weights.where(is_hot).select("key", "weight").toPandas()
+    order = np.argsort(table["key"].to_numpy(np.int64).view(np.uint64))
+    hot = spark.sparkContext.broadcast((table["key"].to_numpy(np.int64).view(np.uint64)[order], table["weight"].to_numpy(float)[order]))
     kind = coded.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        model = tree.value
+        model, (hot_keys, hot_weights) = shared.value, hot.value
         for batch in batches:
             for part in _pieces(batch, "ids"):
-                seq, begin = _sequence(part.column("ids"))
+                seq, begin, keys = _word_keys(part, model)
                 common = seq >= 0
-                count = model.known.count[np.maximum(seq, 0)]
+                count = model.count[np.maximum(seq, 0)]
+                own = np.where(common, model.root(count), 0.0)
+                ok, places, others = np.ones(len(seq), bool), [], []
+                for length in range(1, ORDER + 2):
+                    if length > 1:
+                        keys, ok = _longer(seq, keys, ok)
+                    at = np.flatnonzero(ok)
+                    at = at[_may_have(bits.value, keys[at])]
+                    if len(hot_keys):
+                        slot = np.minimum(np.searchsorted(hot_keys, keys[at]), len(hot_keys) - 1)
+                        here = hot_keys[slot] == keys[at]
+                        own[at[here]] += hot_weights[slot[here]]
+                        at = at[~here]
+                    places.append(np.searchsorted(begin, at, "right") - 1)
+                    others.append(keys[at])
+                place, other = np.concatenate(places), np.concatenate(others)
+                sort = np.lexsort((other, place))
+                place, other = place[sort], other[sort]
+                first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (other[1:] != other[:-1])])[:len(place)])
+                times = np.diff(np.append(first, len(place)))
+                offsets = pa.array(np.searchsorted(place[first], np.arange(len(begin) + 1)).astype(np.int32))
                 sums = [np.add.reduceat(v, begin) for v in (
                     np.ones(len(seq), np.int64), (common & (count > 0)).astype(np.int64),
-                    np.where(common, model.known.base(count), 0.0), model.score(seq))]
+                    np.where(common, model.base(count), 0.0), own)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rid"), part.column("doc_id"), part.column("train"), *map(pa.array, sums)],
-                    ["rid", "doc_id", "train", "n_tokens", "known", "base", "own"])
-
-    frequent = coded.select("rid", "doc_id", "train", "ids").mapInArrow(
-        run, f"rid long, doc_id {kind}, train boolean, n_tokens long, known long, base double, own double")
+                    [part.column("rid"), part.column("doc_id"), part.column("train"), *map(pa.array, sums),
+                     pa.ListArray.from_arrays(offsets, pa.array(other[first].view(np.int64))),
+                     pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))],
+                    ["rid", "doc_id", "train", "n_tokens", "known", "base", "own", "keys", "times"])
+
+    frequent = materialised(coded.select("rid", "doc_id", "train", "ids", "rare").mapInArrow(
+        run, f"rid long, doc_id {kind}, train boolean, n_tokens long, known long, base double, own double, "
+             "keys array<long>, times array<int>"), "scored")
+    met = frequent.select("rid", F.inline(F.arrays_zip("keys", "times"))).withColumnRenamed("keys", "key").join(
+        weights.where(~is_hot).select("key", "weight"), "key").groupBy("rid").agg(
+        F.sum(F.col("times") * F.col("weight")).alias("run_own"))
     c = F.coalesce(F.col("n"), F.lit(0))
     total, kinds = float(known.total), float(known.kinds)
     root = F.lit(0.0) if not known.total else F.log10(
@@ -318,9 +488,9 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("k") * F.log10((c + 1) / (total + kinds + 1))).alias("rare_base"),
         F.sum(F.col("k") * root).alias("rare_own"))
-    return frequent.join(rare, "rid", "left").select(
+    return frequent.drop("keys", "times").join(rare, "rid", "left").join(met, "rid", "left").select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(known.total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("own") + F.coalesce("rare_own", F.lit(0.0))).alias("score"))
+        (F.col("own") + F.coalesce("rare_own", F.lit(0.0)) + F.coalesce("run_own", F.lit(0.0))).alias("score"))

@@ -309,3 +309,41 @@ def test_suffix_tree_without_training(spark):
     out = suffix_tree.score(docs(spark, only)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out] == [(3, 0, 0, 0.0, 0.0)] * 2
     assert suffix_tree.score(docs(spark, [])).count() == 0
+
+
+def passage(n=5, filler=0):
+    """A passage in ``n`` training documents and one held out, and training text without it."""
+    line = " ".join(f"p{i}" for i in range(30))
+    learn = [i for i in range(400) if crc(i, 7) != 2]
+    held = next(i for i in range(400, 500) if crc(i, 7) == 2)
+    return held, [(i, line, "en") for i in learn[:n]] + [(held, line, "en"), (learn[n], " ".join(["fill"] * filler), "en")]
+
+
+@pytest.mark.parametrize("head", [2e-6, 0.5])
+def test_suffix_tree_keeps_its_contexts_in_a_large_corpus(spark, monkeypatch, head):
+    monkeypatch.setattr(suffix_tree, "HEAD", head)
+    held, rows = passage(filler=1_200_000)
+    out = {r.doc_id: r for r in suffix_tree.score(docs(spark, rows)).collect()}
+    # 30 words, of which all but the first follow a known context with probability 0.9.
+    assert out[held].score > 29 * math.log10(0.9) + math.log10(5 / 1_200_000) - 1
+    assert out[held].base_score < -100
+
+
+@pytest.mark.parametrize("head, hot", [(2e-6, 1e-5), (0.02, 1e-5), (2e-6, 0.01), (0.02, 0.5)])
+def test_suffix_tree_tables_equal_the_tree_in_memory(spark, monkeypatch, head, hot):
+    from pyspark.sql import functions as F
+    rows = corpus(900)
+    learn = docs(spark, rows).select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 7 != 2).alias("train"), "text")
+    known = suffix_tree.vocabulary(suffix_tree.word_counts(learn.where("train")), learn.where("train").count())
+    tree = suffix_tree.grow(suffix_tree.encode(learn, spark.sparkContext.broadcast(known)).cache(), known)
+    count = Counter(w for i, t, _ in rows if crc(i, 7) != 2 for w in t.encode().lower().split())
+    want = {}
+    for i, text, _ in rows:
+        text = text.encode().lower().split()
+        seq = np.array([known.number.get(w, -1) for w in text] + [0])
+        want[i] = tree.score(seq).sum() + sum(float(known.root(count[w])) for w, s in zip(text, seq) if s < 0)
+    assert sum(k.sum() for k in tree.kept) > 10
+    monkeypatch.setattr(suffix_tree, "HEAD", head)
+    monkeypatch.setattr(suffix_tree, "HOT", hot)
+    for r in suffix_tree.score(docs(spark, rows)).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-9)
