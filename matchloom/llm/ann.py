@@ -168,7 +168,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column("key").to_numpy()
+            keys, reps = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
             where = forest.value.leaves(_matrix(batch.column("vec")))
             tree = np.tile(np.arange(trees, dtype=np.int32), len(keys))
             leaf = where.reshape(-1)
@@ -176,8 +176,8 @@ def search(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
             at = np.repeat(np.arange(len(keys)), trees)
             block = ((keys[at] * 0x9E3779B1 >> 16) % parts).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tree), pa.array(leaf), pa.array(block), pa.array(keys[at]), batch.column("vec").take(pa.array(at))],
-                ["tree", "leaf", "block", "key", "vec"])
+                [pa.array(tree), pa.array(leaf), pa.array(block), pa.array(keys[at]), pa.array(reps[at]), batch.column("vec").take(pa.array(at))],
+                ["tree", "leaf", "block", "key", "rep", "vec"])
 
     def ask(batches):
         for batch in batches:
@@ -194,7 +194,8 @@ def search(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
                 ["tree", "leaf", "block", "query_id", "query"])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by("key")
+        # Ties go to the smaller id, as in the end.
+        left = left.sort_by([("rep", "ascending"), ("key", "ascending")])
         keys = left.column("key").to_numpy()
         ids = right.column("query_id").to_numpy()
         found = []
@@ -208,7 +209,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
         found = found or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": found[0], "key": found[1], "score": found[2]})
 
-    placed = reps.select("key", "vec").mapInArrow(place, cell + ", key long, vec array<double>")
+    placed = reps.select("key", "rep", "vec").mapInArrow(place, cell + ", key long, rep long, vec array<double>")
     asked = rows.where(F.pmod(F.col("id"), F.lit(every)) == 0).mapInArrow(ask, cell + ", query_id long, query array<double>")
     pairs = placed.groupBy("tree", "leaf", "block").cogroup(asked.groupBy("tree", "leaf", "block")).applyInArrow(
         compare, "query_id long, key long, score double")

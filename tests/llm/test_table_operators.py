@@ -322,3 +322,11 @@ def test_pipeline_stage_by_stage(spark):
     mixed = corpus_pipeline.STAGES[-1][1](spark, now, SF)
     assert mixed.count() == now.count()
     assert corpus_pipeline.run(spark, SF).count() == now.count()
+
+
+def test_neighbours_ties_at_the_edge_of_a_block(spark):
+    # All products with the query are equal, and no two vectors.
+    rows = [(i, [1.0, float(i)], 0) for i in range(1, 400) if i % 20] + [(1000, [1.0, 0.0], 0)]
+    random.Random(1).shuffle(rows)
+    out = ann.search(vectors(spark, rows).repartition(7), share=50.0, depth=1, trees=2).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [i for i in range(1, 400) if i % 20][:20]
