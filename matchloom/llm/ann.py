@@ -7,7 +7,8 @@ meet leaf by leaf, candidates are ranked by their exact inner products, and the
 best of each leaf are merged.
 
 Equal vectors are indexed once, with the ids that can matter; a leaf with many
-vectors is split into blocks, each of which all its queries visit.
+vectors is split into blocks, each of which all its queries visit, and the
+queries of a leaf with many of them are dealt out over copies of its blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ SAMPLE = 50_000
 SHARE = 0.75
 #: Vectors of a leaf that are compared in one task at a time.
 BLOCK = 4096
+#: Queries of a leaf that are asked in one task, about, and of those that are scored at a time.
+ASKED = 4096
+SLICE = 256
 SEED = 5
 
 
@@ -162,7 +166,22 @@ def search(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     table_sizes[counted["tree"], counted["leaf"]] = counted["n"]
     sizes = spark.sparkContext.broadcast(table_sizes)
     enough = max(int(share * facts["n"]), 4 * (k + 1) * trees)
-    cell = "tree int, leaf int, block int"
+    cell = "tree int, leaf int, block int, salt int"
+
+    def plan(batches):
+        for batch in batches:
+            cells = [[tree * leaves + leaf for tree, leaf in forest.value.visit(query, sizes.value, enough)]
+                     for query in (_matrix(batch.column("vec")) if batch.num_rows else [])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("vec"), pa.array(cells, pa.list_(pa.int32()))], ["id", "vec", "cells"])
+
+    visits = materialised(rows.where(F.pmod(F.col("id"), F.lit(every)) == 0).mapInArrow(
+        plan, "id long, vec array<double>, cells array<int>"), "visits")
+    asked_of = np.zeros(trees * leaves, np.int64)
+    # One row for each leaf of each tree at most.
+    for row in visits.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():
+        asked_of[row["cell"]] = row["count"]
+    salts = spark.sparkContext.broadcast(np.maximum(1, -(-asked_of // ASKED)).reshape(trees, leaves))
 
     def place(batches):
         for batch in batches:
@@ -175,23 +194,30 @@ def search(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
             parts = -(-sizes.value[tree, leaf] // BLOCK)
             at = np.repeat(np.arange(len(keys)), trees)
             block = ((keys[at] * 0x9E3779B1 >> 16) % parts).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tree), pa.array(leaf), pa.array(block), pa.array(keys[at]), pa.array(reps[at]), batch.column("vec").take(pa.array(at))],
-                ["tree", "leaf", "block", "key", "rep", "vec"])
+            copies = salts.value[tree, leaf]
+            for salt in range(copies.max()):
+                here = np.flatnonzero(copies > salt)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tree[here]), pa.array(leaf[here]), pa.array(block[here]), pa.array(np.full(len(here), salt, np.int32)),
+                     pa.array(keys[at[here]]), pa.array(reps[at[here]]), batch.column("vec").take(pa.array(at[here]))],
+                    ["tree", "leaf", "block", "salt", "key", "rep", "vec"])
 
     def ask(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             out: list[tuple] = []
-            for i, query in enumerate(_matrix(batch.column("vec"))):
-                for tree, leaf in forest.value.visit(query, sizes.value, enough):
-                    out += [(tree, leaf, b, i) for b in range(-(-int(sizes.value[tree, leaf]) // BLOCK))]
-            tree, leaf, block, at = (np.array(c) for c in zip(*out))
+            # An id may have several vectors, so the place in the batch takes part in the salt.
+            mixed = (batch.column("id").to_numpy() * 0x9E3779B1 >> 16) + np.arange(batch.num_rows)
+            for i, cells in enumerate(batch.column("cells").to_pylist()):
+                for tree, leaf in (divmod(c, leaves) for c in cells):
+                    salt = int(mixed[i] % salts.value[tree, leaf])
+                    out += [(tree, leaf, b, salt, i) for b in range(-(-int(sizes.value[tree, leaf]) // BLOCK))]
+            tree, leaf, block, salt, at = (np.array(c) for c in zip(*out))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tree.astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(block.astype(np.int32)),
+                [*(pa.array(c.astype(np.int32)) for c in (tree, leaf, block, salt)),
                  batch.column("id").take(pa.array(at)), batch.column("vec").take(pa.array(at))],
-                ["tree", "leaf", "block", "query_id", "query"])
+                ["tree", "leaf", "block", "salt", "query_id", "query"])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         # Ties go to the smaller id, as in the end.
@@ -200,18 +226,22 @@ def search(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
         ids = right.column("query_id").to_numpy()
         found = []
         if len(keys) and len(ids):
-            # einsum sums every pair in the same order, whatever stands beside it.
-            scores = np.einsum("qd,nd->qn", _matrix(right.column("query").combine_chunks()),
-                               _matrix(left.column("vec").combine_chunks()))
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k + 1]
-            found = [np.repeat(ids, best.shape[1]), keys[best].reshape(-1),
-                     np.take_along_axis(scores, best, axis=1).reshape(-1)]
+            queries, vectors = _matrix(right.column("query").combine_chunks()), _matrix(left.column("vec").combine_chunks())
+            parts = []
+            for start in range(0, len(ids), SLICE):
+                # einsum sums every pair in the same order, whatever stands beside it.
+                scores = np.einsum("qd,nd->qn", queries[start:start + SLICE], vectors)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k + 1]
+                parts.append((np.repeat(ids[start:start + SLICE], best.shape[1]), keys[best].reshape(-1),
+                              np.take_along_axis(scores, best, axis=1).reshape(-1)))
+            found = [np.concatenate(c) for c in zip(*parts)]
         found = found or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": found[0], "key": found[1], "score": found[2]})
 
     placed = reps.select("key", "rep", "vec").mapInArrow(place, cell + ", key long, rep long, vec array<double>")
-    asked = rows.where(F.pmod(F.col("id"), F.lit(every)) == 0).mapInArrow(ask, cell + ", query_id long, query array<double>")
-    pairs = placed.groupBy("tree", "leaf", "block").cogroup(asked.groupBy("tree", "leaf", "block")).applyInArrow(
+    asked = visits.mapInArrow(ask, cell + ", query_id long, query array<double>")
+    at_cell = ["tree", "leaf", "block", "salt"]
+    pairs = placed.groupBy(*at_cell).cogroup(asked.groupBy(*at_cell)).applyInArrow(
         compare, "query_id long, key long, score double")
     # A vector found through several trees has the same score each time.
     best = pairs.groupBy("query_id", "key").agg(F.max("score").alias("score"))

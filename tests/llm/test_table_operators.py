@@ -330,3 +330,15 @@ def test_neighbours_ties_at_the_edge_of_a_block(spark):
     random.Random(1).shuffle(rows)
     out = ann.search(vectors(spark, rows).repartition(7), share=50.0, depth=1, trees=2).orderBy("rank").collect()
     assert [r.vec_id for r in out] == [i for i in range(1, 400) if i % 20][:20]
+
+
+def test_neighbours_queries_of_a_leaf_are_dealt_out(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(rng.normal(size=(600, 4)))]
+    for name, value in (("BLOCK", 70), ("ASKED", 5), ("SLICE", 2)):
+        monkeypatch.setattr(ann, name, value)
+    out = ann.search(vectors(spark, rows), share=50.0, depth=1, trees=2)
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in w] for q, w in slow_neighbours(rows).items()}
