@@ -41,8 +41,9 @@ def shipped_evidence(entries: DataFrame, terms: DataFrame, by: str = "id", ix: s
     """First evidencing snippet per entity, and which ``term``s its history mentions.
 
     A term is one word and is mentioned where a description's word holds it, so
-    distinct words meet the terms through their own substrings: an equi-join,
-    however many terms and descriptions there are.
+    distinct words meet the terms through their own substrings of the lengths
+    that terms have: an equi-join, however many terms and descriptions there
+    are, with rows that grow with a word's length and not its square.
     """
     rows = entries.select(by, ix, "description", tx.norm_text(F.col("description")).alias("_d"))
     # Only the shown snippet is cut; the tests read the whole text.
@@ -51,12 +52,15 @@ def shipped_evidence(entries: DataFrame, terms: DataFrame, by: str = "id", ix: s
         F.when(shows_ownership(F.col("_d")), snippet),
         F.when(shows_ownership(F.col("_d")), F.col(ix))).alias("snippet"))
     words = rows.select(by, F.explode(F.array_distinct(F.split("_d", " "))).alias("_word")).where("_word <> ''").distinct()
-    length = F.length("_word")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), length), lambda i: F.transform(
-        F.sequence(F.lit(1), length - i + 1), lambda n: F.substring(F.col("_word"), i, n))))
-    known = words.select("_word").distinct().select("_word", F.explode(F.array_distinct(parts)).alias("term"))
-    held = known.join(terms.select("term").distinct(), "term")
-    hits = words.join(held, "_word").groupBy(by).agg(F.collect_set("term").alias("term_hits"))
+    # A digest stands for the word beside its parts, as a word may be long.
+    words = words.select(by, "_word", F.sha2("_word", 256).alias("_key"))
+    terms = terms.select("term").distinct()
+    lengths = terms.select(F.length("term").alias("_n")).where("_n > 0").distinct()
+    starts = F.sequence(F.lit(1), F.length("_word") - F.col("_n") + 1)
+    known = words.select("_word", "_key").distinct().join(F.broadcast(lengths), F.length("_word") >= F.col("_n")).select(
+        "_key", F.explode(F.transform(starts, lambda i: F.substring(F.col("_word"), i, F.col("_n")))).alias("term"))
+    held = known.join(terms, "term").distinct()
+    hits = words.select(by, "_key").join(held, "_key").groupBy(by).agg(F.collect_set("term").alias("term_hits"))
     return first.join(hits, by, "left").withColumn(
         "term_hits", F.coalesce("term_hits", F.array().cast("array<string>")))
 

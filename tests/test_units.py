@@ -200,3 +200,12 @@ def test_sign_flip_of_many_queries(spark):
     assert row["p_one_sided"] == round(sum(s >= sum(units) for s in sums) / len(sums), 4)
     many = spark.createDataFrame([(0.01,)] * 40, "delta double")
     assert tuple(ev.sign_flip(many, "delta").first()) == (40, 0.0, 0.0)
+
+
+def test_terms_in_a_word_of_any_length(spark):
+    from matchloom.operators import scoring
+    long = "ab" * 10_000 + "kafka" + "z" * 10_000
+    entries = spark.createDataFrame([("p", 1, f"Built {long}"), ("q", 1, "kaf ka spark")], "id string, ix int, description string")
+    terms = spark.createDataFrame([("kafka",), ("spark",), ("",), ("bz",), ("zz",)], "term string")
+    got = {r.id: sorted(r.term_hits) for r in scoring.shipped_evidence(entries, terms).collect()}
+    assert got == {"p": ["kafka", "zz"], "q": ["spark"]}
