@@ -144,6 +144,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``groups`` and ``label``, which tells groups apart that have the same smallest id."""
+    marked = materialised(fingerprints(docs.select(id_col, text), text), "fingerprints")
+    distinct = materialised(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
+    labels = components(links(distinct.select("fp")))
+    named = distinct.join(labels, distinct.fp == labels.node, "left").select(
+        "fp", "first", F.coalesce("label", "fp").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    by_fp = named.select("fp", "label").join(smallest, "label").select("fp", "component_id", "label")
+    return marked.join(by_fp, "fp").select(id_col, "fp", "component_id", "label")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, ``fp`` and ``component_id``, the smallest id reachable.
 
@@ -151,30 +163,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     Rows with equal ids each get a row; a null id belongs to its group but is
     never its smallest id, unless all ids of the group are null.
     """
-    marked = materialised(fingerprints(docs.select(id_col, text), text), "fingerprints")
-    distinct = materialised(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    labels = components(links(distinct.select("fp")))
-    named = distinct.join(labels, distinct.fp == labels.node, "left").select(
-        "fp", "first", F.coalesce("label", "fp").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_fp = named.select("fp", "label").join(smallest, "label").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    return labelled(docs, id_col, text).drop("label")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents with one of each group left: a row with the smallest id.
 
-    Where several rows share that id, one of them stays.  A row without an id
-    stands behind all others of its group, so it stays only if none has an id.
+    Where several rows of the group share that id, one of them stays; rows of
+    other groups are not touched by it.  A row without an id stands behind all
+    others of its group, so it stays only if none has an id.
     """
     behind = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
     key = F.coalesce(F.col("doc_id").cast("long"), behind)
-    marked = groups(docs.select(key.alias("_key"), "text"), "_key")
-    kept = materialised(marked.where("_key = component_id").groupBy("_key").agg(
-        F.count(F.lit(1)).alias("_rows")), "kept")
-    # The ids that stay grow with the documents, so both sides are dealt out by id at every size.
-    rows = docs.select(key.alias("_key"), F.struct("*").alias("_row")).join(kept.hint("merge"), "_key")
-    # Only ids that several rows share need a shuffle of their rows by id.
+    marked = labelled(docs.select(key.alias("_key"), "text"), "_key")
+    kept = marked.where("_key = component_id").groupBy("_key", "label", "fp").agg(F.count(F.lit(1)).alias("_rows"))
+    # A group whose smallest id has several fingerprints keeps one of them.
+    kept = materialised(kept.groupBy("_key", "label").agg(F.min(F.struct("fp", "_rows")).alias("_one")).select(
+        "_key", "_one.*"), "kept")
+    # The rows that stay grow with the documents, so both sides are dealt out at every size.
+    rows = fingerprints(docs.select(key.alias("_key"), F.struct("*").alias("_row"), "text")).join(
+        kept.hint("merge"), ["_key", "fp"])
+    # Only an id and fingerprint that several rows share need a shuffle of those rows.
     once = rows.where("_rows = 1").select("_row.*")
-    again = rows.where("_rows > 1").dropDuplicates(["_key"]).select("_row.*")
+    again = rows.where("_rows > 1").dropDuplicates(["_key", "fp"]).select("_row.*")
     return once.unionByName(again)

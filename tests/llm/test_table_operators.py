@@ -342,3 +342,16 @@ def test_neighbours_queries_of_a_leaf_are_dealt_out(spark, monkeypatch):
     for r in out.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {q: [i for i, _ in w] for q, w in slow_neighbours(rows).items()}
+
+
+def test_simhash_stage_decides_each_row_of_a_repeated_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    assert (slow_fingerprint(a) ^ slow_fingerprint(b)).bit_count() > 2 < (slow_fingerprint(b) ^ slow_fingerprint(c)).bit_count()
+    # Both texts of 5 are alone; of 7, one is a copy of 3's; those of 9 are one group.
+    near = next(t for i in range(200) for t in [c.replace(f"c{i} ", "")]
+                if 0 < (slow_fingerprint(t) ^ slow_fingerprint(c)).bit_count() <= 2)
+    d = " ".join(f"d{i}" for i in range(200))
+    rows = [(5, a, "a"), (5, b, "a"), (5, b, "b"), (3, d, "a"), (7, d, "a"), (7, "alone with its own words", "a"), (9, c, "a"), (9, near, "a")]
+    out = sorted((r.doc_id, r.text) for r in simhash.drop_copies(docs(spark, rows)).collect())
+    assert [r for r in out if r[0] != 9] == sorted([(3, d), (5, a), (5, b), (7, "alone with its own words")])
+    assert [r for r in out if r[0] == 9] in ([(9, c)], [(9, near)])
