@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from matchloom.llm import (
-    ann, decontaminate, langid, mixing, quality_mil, simhash, suffix_tree, toxicity, url_filter, warc)
+    ann, decontaminate, langid, mixing, quality_mil, simhash, suffix_tree, token_alignment, toxicity, url_filter, warc)
 from matchloom.llm.common import read, remainder
 
 
@@ -69,6 +69,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignments(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
+    "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op2_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE}
