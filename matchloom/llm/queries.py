@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from matchloom.llm import (
-    ann, decontaminate, langid, mixing, quality_mil, simhash, suffix_tree, token_alignment, toxicity, url_filter, warc)
+    ann, decontaminate, langid, line_dedup, mixing, quality_mil, simhash, suffix_tree, token_alignment, toxicity,
+    url_filter, warc)
 from matchloom.llm.common import read, remainder
 
 
@@ -69,6 +70,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignments(read(spark, sf_dir, "documents"))
 
@@ -84,7 +90,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
+    "op11_line_dedup": op11_line_dedup,
     "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE, "op11_line_dedup": line_dedup.ORACLE}
