@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from matchloom.llm import (
     ann, decontaminate, langid, line_dedup, mixing, quality_mil, simhash, suffix_tree, token_alignment, toxicity,
-    url_filter, warc)
+    url_filter, vector_codes, warc)
 from matchloom.llm.common import read, remainder
+from matchloom.session import materialised
 
 
 def _held(modulus: int, held: int):
@@ -75,6 +76,15 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    code = F.array_join(F.transform("codes", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")), "").alias("code")
+    # Read twice: for the labels' sums and for the rows.
+    coded = materialised(coded.select("row.vec_id", "row.label", code, "error"), "codes")
+    return vector_codes.with_label_errors(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignments(read(spark, sf_dir, "documents"))
 
@@ -91,7 +101,9 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
     "op11_line_dedup": op11_line_dedup,
+    "op12_vector_codes": op12_vector_codes,
     "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE, "op11_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE, "op11_line_dedup": line_dedup.ORACLE,
+           "op12_vector_codes": vector_codes.ORACLE}
