@@ -15,8 +15,8 @@ shuffle, and come back to the documents in a join.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import itertools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -99,72 +99,73 @@ class Pieces:
         return self._model.encode(texts, num_threads=1)
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Alignment:
-    """Tokens of both sides and the groups between offsets where tokens of both end.
+    """Tokens of both sides, and the groups between offsets where tokens of both end.
 
-    ``groups`` lists (first A, past A, first B, past B) in order; a stretch of
-    one-to-one groups is one entry, marked by equal lengths and ``single``.
-    ``link_a`` and ``link_b`` are token indexes of all overlapping pairs, in order.
+    ``past_a`` and ``past_b`` hold where each group's tokens end, as token indexes;
+    ``link_a`` and ``link_b`` the token indexes of all overlapping pairs.
     """
-    a: list[int]
-    b: list[int]
-    groups: list[tuple[int, int, int, int]]
-    single: list[bool]
+    a: np.ndarray
+    b: np.ndarray
+    past_a: np.ndarray
+    past_b: np.ndarray
     link_a: np.ndarray
     link_b: np.ndarray
 
-    @property
-    def n_groups(self) -> int:
-        return sum(g[1] - g[0] if one else 1 for g, one in zip(self.groups, self.single))
 
-
-def align(a: list[int], b: list[int], ends_a: np.ndarray, ends_b: np.ndarray) -> Alignment:
-    """Groups and links of two token lists whose last ends agree (int64 end offsets)."""
-    raw_a, raw_b = ends_a.tobytes(), ends_b.tobytes()
+def align(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> Alignment:
+    """Groups and links of two token arrays whose last end offsets agree."""
+    raw_a, raw_b = ends_a.astype("<u8").tobytes(), ends_b.astype("<u8").tobytes()
     at_a, at_b = ends_a.tolist(), ends_b.tolist()
-    groups, single, links_a, links_b = [], [], [], []
+    number = int.from_bytes
+    # One-to-one stretches: their starts and length.  Irregular groups: their four bounds.  Both flat.
+    runs, knots = [], []
     i = j = 0
     total = len(at_a)
     while i < total:
-        # Ends of 8 bytes each; a slice past one array's end is shorter and so unequal.
-        here, there, reach, step = 8 * i, 8 * j, 0, 8
-        limit = len(raw_a) - here
-        while reach < limit and raw_a[here + reach:here + reach + step] == raw_b[there + reach:there + reach + step]:
-            reach += step
-            step *= 2
-        reach = min(reach, limit)
-        while step > 8 and reach < limit:
-            step //= 2
-            if raw_a[here + reach:here + reach + step] == raw_b[there + reach:there + reach + step]:
-                reach = min(reach + step, limit)
-        run = reach // 8
+        here, there, step = 8 * i, 8 * j, 128
+        stop = len(raw_a)
+        while here < stop:
+            # A slice past the end of one side reads as zeros there, which no end is.
+            apart = (number(raw_a[here:here + step], "little") ^ number(raw_b[there:there + step], "little"))
+            if apart:
+                here += ((apart & -apart).bit_length() - 1) // 64 * 8
+                break
+            here, there, step = here + step, there + step, 2 * step
+        run = min(here // 8, total) - i
         if run:
-            groups.append((i, i + run, j, j + run))
-            single.append(True)
-            links_a.append(range(i, i + run))
-            links_b.append(range(j, j + run))
+            runs += (i, j, run)
             i, j = i + run, j + run
             if i >= total:
                 break
         first_a, first_b = i, j
-        own_a, own_b = [i], [j]
-        while (x := at_a[i]) != (y := at_b[j]):
+        x, y = at_a[i], at_b[j]
+        while x != y:
             if x < y:
                 i += 1
+                x = at_a[i]
             else:
                 j += 1
-            own_a.append(i)
-            own_b.append(j)
+                y = at_b[j]
         i, j = i + 1, j + 1
-        groups.append((first_a, i, first_b, j))
-        single.append(False)
-        links_a.append(own_a)
-        links_b.append(own_b)
+        knots += (first_a, i, first_b, j)
 
-    def flat(lists: list) -> np.ndarray:
-        return np.fromiter(itertools.chain.from_iterable(lists), np.int64)
-    return Alignment(a, b, groups, single, flat(links_a), flat(links_b))
+    start_a, start_b, size = np.array(runs, np.int64).reshape(-1, 3).T
+    low_a, high_a, low_b, high_b = np.array(knots, np.int64).reshape(-1, 4).T
+    one_a, one_b = ranges(start_a, size), ranges(start_b, size)
+    # Each end inside an irregular group begins one more link: the next token beside the other side's token there.
+    inner_a, inner_b = ranges(low_a, high_a - low_a - 1), ranges(low_b, high_b - low_b - 1)
+    link_a = [one_a, low_a, inner_a + 1, np.searchsorted(ends_a, ends_b[inner_b], "right")]
+    link_b = [one_b, low_b, np.searchsorted(ends_b, ends_a[inner_a], "right"), inner_b + 1]
+    past_a, past_b = (np.sort(np.concatenate(x)) for x in ((one_a + 1, high_a), (one_b + 1, high_b)))
+    return Alignment(a, b, past_a, past_b, np.concatenate(link_a), np.concatenate(link_b))
 
 
 class Aligner:
@@ -180,15 +181,16 @@ class Aligner:
         full = [t for t in texts if t]
         found = iter(zip(full, self.side_a.encode([" " + t for t in full]), self.side_b.encode(full)) if full else ())
         for text in texts:
-            yield self._aligned(*next(found)) if text else align([], [], np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield self._aligned(*next(found) if text else ("", [], []))
 
     def _aligned(self, text: str, a: list[int], b: list[int]) -> Alignment:
         whole = b" " + text.encode()
-        if (b"".join(map(self.side_a.bytes.__getitem__, a)) != whole
-                or b"".join(map(self.side_b.bytes.__getitem__, b)) != whole):
-            a, b = [], []
-        return align(a, b, np.cumsum(self._length_a[a]) if a else np.zeros(0, np.int64),
-                     np.cumsum(self._length_b[b]) if b else np.zeros(0, np.int64))
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self._length_a[ids_a]), np.cumsum(self._length_b[ids_b])
+        # Byte-level tokens are cut out of the text's own bytes, so their length tells if all are there.
+        if not a or ends_a[-1] != len(whole) or b"".join(map(self.side_b.bytes.__getitem__, b)) != whole:
+            ids_a = ids_b = ends_a = ends_b = np.zeros(0, np.int64)
+        return align(ids_a, ids_b, ends_a, ends_b)
 
 
 def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -204,22 +206,22 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-Derived = tuple[str, str, pa.DataType, Callable[[Alignment], object]]
+#: Name, SQL type, and a function from alignments to a column.
+Derived = tuple[str, str, Callable[[list[Alignment]], pa.Array]]
 
 
 def aligned(docs: DataFrame, derive: list[Derived], text: str = "text",
             path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """All columns of ``docs`` as a struct ``row``, a unique long ``place``, and one column per ``derive``.
 
-    Each entry of ``derive`` is (name, SQL type, Arrow type, function of an
-    ``Alignment``), evaluated in the task that aligns.  ``place`` is unique within
-    one run of the plan: write the result before it is read twice.
+    The functions of ``derive`` are evaluated in the task that aligns.  ``place`` is
+    unique within one run of the plan: write the result before it is read twice.
     """
     path_a = path_a or vocabulary("byte_bpe_50k.json")
     path_b = path_b or vocabulary("piece_bpe_32k.model")
     table = docs.select(F.struct("*").alias("row"), F.col(text).alias("_text"))
     schema = T.StructType([table.schema["row"]]).add("place", "long")
-    for name, kind, _, _ in derive:
+    for name, kind, _ in derive:
         schema = schema.add(T.StructType.fromDDL(f"{name} {kind}")[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,35 +230,45 @@ def aligned(docs: DataFrame, derive: list[Derived], text: str = "text",
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             for start, end in pieces(texts):
-                columns = [[] for _ in derive]
-                for alignment in make(texts[start:end]):
-                    for column, (_, _, _, of) in zip(columns, derive):
-                        column.append(of(alignment))
+                found = list(make(texts[start:end]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row").slice(start, end - start),
                      pa.array(range(place + start, place + end), pa.int64())]
-                    + [pa.array(c, kind) for c, (_, _, kind, _) in zip(columns, derive)], schema.names)
+                    + [column(found) for _, _, column in derive], schema.names)
             place += len(texts)
 
     return table.mapInArrow(run, schema)
 
 
-def spans(alignment: Alignment) -> list[dict]:
-    """Each group's token ranges, one-to-one groups one by one."""
-    out = []
-    for (i, past_i, j, past_j), one in zip(alignment.groups, alignment.single):
-        if one:
-            out += [{"a_from": i + k, "a_to": i + k + 1, "b_from": j + k, "b_to": j + k + 1} for k in range(past_i - i)]
-        else:
-            out.append({"a_from": i, "a_to": past_i, "b_from": j, "b_to": past_j})
-    return out
+def lists(values: list[np.ndarray], kind: pa.DataType = pa.int32()) -> pa.Array:
+    """A list per array."""
+    return pa.ListArray.from_arrays(_offsets(values), pa.array(np.concatenate([[], *values]).astype(np.int64), kind))
+
+
+def _offsets(values: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32))
+
+
+def structs(rows: list[list[np.ndarray]], names: list[str]) -> pa.Array:
+    """A list of structs per entry of ``rows``, which has an array for each name."""
+    fields = [pa.array(np.concatenate([[], *c]).astype(np.int64), pa.int32()) for c in zip(*rows)]
+    return pa.ListArray.from_arrays(_offsets([r[0] for r in rows]), pa.StructArray.from_arrays(fields, names))
+
+
+def numbers(of: Callable[[Alignment], int]) -> Callable[[list[Alignment]], pa.Array]:
+    return lambda found: pa.array([of(x) for x in found], pa.int64())
+
+
+def spans(x: Alignment) -> list[np.ndarray]:
+    """Each group's token ranges: first A, past A, first B, past B."""
+    return [np.concatenate([[0], x.past_a])[:-1], x.past_a, np.concatenate([[0], x.past_b])[:-1], x.past_b]
 
 
 SPANS: list[Derived] = [
-    ("a_ids", "array<int>", pa.list_(pa.int32()), lambda x: x.a),
-    ("b_ids", "array<int>", pa.list_(pa.int32()), lambda x: x.b),
-    ("groups", "array<struct<a_from:int,a_to:int,b_from:int,b_to:int>>", pa.list_(pa.struct([
-        (k, pa.int32()) for k in ("a_from", "a_to", "b_from", "b_to")])), spans),
+    ("a_ids", "array<int>", lambda found: lists([x.a for x in found])),
+    ("b_ids", "array<int>", lambda found: lists([x.b for x in found])),
+    ("groups", "array<struct<a_from:int,a_to:int,b_from:int,b_to:int>>",
+     lambda found: structs([spans(x) for x in found], ["a_from", "a_to", "b_from", "b_to"])),
 ]
 
 
@@ -265,36 +277,45 @@ def align_documents(docs: DataFrame, text: str = "text", **paths: str) -> DataFr
     return aligned(docs, SPANS, text, **paths)
 
 
-def shown(alignment: Alignment) -> str:
+@functools.cache
+def _signs(size: int) -> list[bytes]:
+    """Each id below ``size`` with a comma, then with a bar, then with a semicolon behind it."""
+    return [b"%d%c" % (i, sign) for sign in b",|;" for i in range(size)]
+
+
+def shown(x: Alignment) -> bytes:
     """``a1,a2|b1;a3|b2,b3``: the ids of each group in order."""
-    a, b, parts = list(map(str, alignment.a)), list(map(str, alignment.b)), []
-    for (i, past_i, j, past_j), one in zip(alignment.groups, alignment.single):
-        if one:
-            parts.extend(map("|".join, zip(a[i:past_i], b[j:past_j])))
-        else:
-            parts.append(f"{','.join(a[i:past_i])}|{','.join(b[j:past_j])}")
-    return ";".join(parts)
+    if not len(x.a):
+        return b""
+    size = 1 << int(max(x.a.max(), x.b.max(), (1 << 16) - 1)).bit_length()
+    last_a, last_b = np.zeros(len(x.a), np.int64), np.zeros(len(x.b), np.int64)
+    last_a[x.past_a - 1], last_b[x.past_b - 1] = size, 2 * size
+    # A's tokens stand behind all tokens of earlier groups, B's behind those of their own group's A too.
+    sizes_a, sizes_b = np.diff(x.past_a, prepend=0), np.diff(x.past_b, prepend=0)
+    out = np.empty(len(x.a) + len(x.b), np.int64)
+    out[np.arange(len(x.a)) + np.repeat(x.past_b - sizes_b, sizes_a)] = x.a + last_a
+    out[np.arange(len(x.b)) + np.repeat(x.past_a, sizes_b)] = x.b + last_b
+    return b"".join(map(_signs(size).__getitem__, out.tolist()))[:-1]
 
 
-def digest(alignment: Alignment) -> str:
-    return hashlib.sha256(shown(alignment).encode()).hexdigest() if alignment.a else ""
+def digest(x: Alignment) -> str:
+    return hashlib.sha256(shown(x)).hexdigest() if len(x.a) else ""
 
 
-def pair_links(alignment: Alignment) -> list[dict]:
+def pair_links(x: Alignment) -> list[np.ndarray]:
     """The distinct linked id pairs of a document and how often each is linked."""
-    key = (np.array(alignment.a, np.int64)[alignment.link_a] << 32) | np.array(alignment.b, np.int64)[alignment.link_b]
-    keys, times = np.unique(key, return_counts=True)
-    return [{"a": a, "b": b, "times": n} for a, b, n in zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist(), times.tolist())]
+    keys, times = np.unique((x.a[x.link_a] << 32) | x.b[x.link_b], return_counts=True)
+    return [keys >> 32, keys & 0xFFFFFFFF, times]
 
 
 LINKS: list[Derived] = [
-    ("n_a", "long", pa.int64(), lambda x: len(x.a)),
-    ("n_b", "long", pa.int64(), lambda x: len(x.b)),
-    ("n_groups", "long", pa.int64(), lambda x: x.n_groups),
-    ("n_links", "long", pa.int64(), lambda x: len(x.link_a)),
-    ("groups_sha256", "string", pa.string(), digest),
-    ("links", "array<struct<a:int,b:int,times:int>>", pa.list_(pa.struct([
-        (k, pa.int32()) for k in ("a", "b", "times")])), pair_links),
+    ("n_a", "long", numbers(lambda x: len(x.a))),
+    ("n_b", "long", numbers(lambda x: len(x.b))),
+    ("n_groups", "long", numbers(lambda x: len(x.past_a))),
+    ("n_links", "long", numbers(lambda x: len(x.link_a))),
+    ("groups_sha256", "string", lambda found: pa.array([digest(x) for x in found], pa.string())),
+    ("links", "array<struct<a:int,b:int,times:int>>",
+     lambda found: structs([pair_links(x) for x in found], ["a", "b", "times"])),
 ]
 
 

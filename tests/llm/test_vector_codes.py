@@ -87,7 +87,8 @@ def test_ties_few_rows_and_odd_lengths(spark):
 
 def test_trees_cover_their_points_and_save_comparisons():
     rng = np.random.default_rng(3)
-    points = np.floor(4096 * (rng.normal(0, 1, (16, 4))[rng.integers(0, 16, 6000)] + rng.normal(0, 0.01, (6000, 4)))).astype(np.int64)
+    centres = rng.normal(0, 1, (16, 4))
+    points = np.floor(4096 * (centres[rng.integers(0, 16, 6000)] + rng.normal(0, 0.01, (6000, 4)))).astype(np.int64)
     points[100:400] = points[0]
     tree = vc.CoverTree.unpack(vc.grow(points).pack())
     assert sorted(tree.order.tolist()) == list(range(len(points)))
@@ -101,7 +102,7 @@ def test_trees_cover_their_points_and_save_comparisons():
             centres = x[tree.start[list(kids)]]
             apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(-1)) + np.eye(len(kids)) * 1e9
             assert (apart > tree.radius[n] / vc.BASE * (1 - 1e-9)).all()
-    book = points[rng.choice(len(points), 16)]
+    book = np.floor(4096 * centres).astype(np.int64)
     owner, compared = np.full(len(points), -1), 0
     for low, high, entry in vc.assign(tree, x, book):
         compared += len(low)
