@@ -14,13 +14,12 @@ from matchloom.session import materialised
 
 
 def graded_lists(ranking: DataFrame, labels: DataFrame, order: list[Column],
-                 coarse: list[Column], condensed: bool = True, query: str = "query",
-                 item: str = "item") -> DataFrame:
+                 condensed: bool = True, query: str = "query", item: str = "item") -> DataFrame:
     """(query, item, rel, position): labelled items only, or unlabelled ones graded 0."""
     how = "inner" if condensed else "left"
     graded = ranking.join(labels.select(query, item, "rel"), [query, item], how)
     graded = graded.withColumn("rel", F.coalesce("rel", F.lit(0)))
-    return ranked(graded, [query], order, coarse, "position")
+    return ranked(graded, [query], order, "position")
 
 
 def gain(rel: Column) -> Column:
@@ -119,14 +118,13 @@ def portable_draw(seed: int, parts: list[Column], n: Column) -> Column:
 
 
 def bootstrap_deltas(paired: DataFrame, resamples: int, order: list[Column],
-                     coarse: list[Column], seed: int = fv.BOOTSTRAP_SEED,
-                     query: str = "query") -> DataFrame:
+                     seed: int = fv.BOOTSTRAP_SEED, query: str = "query") -> DataFrame:
     """(draw, delta): mean over queries of NDCG@10(b) - NDCG@10(a) on resampled items.
 
     Draws stay within a query.  Items are numbered and written once; each draw is
     an equi-join on that number, and one shuffle by (query, draw) serves all three orders.
     """
-    items = ranked(paired, [query], order, coarse, "_no").withColumn("_no", F.col("_no") - 1)
+    items = ranked(paired, [query], order, "_no").withColumn("_no", F.col("_no") - 1)
     items = materialised(items.select(query, "_no", "rel", "pos_a", "pos_b"), "bootstrap-items")
     sizes = items.groupBy(query).agg(F.count(F.lit(1)).alias("_n"))
     slots = items.select(query, F.col("_no").alias("slot")).join(sizes, query)
@@ -209,10 +207,10 @@ def verdict(per_query: DataFrame, delta: str, interval: DataFrame) -> DataFrame:
             F.when(F.col("signs_agree"), "agree").otherwise("do not agree")).alias("verdict"))
 
 
-def worst_misses(lists: DataFrame, ideal_order: list[Column], ideal_coarse: list[Column],
-                 limit: int, query: str = "query", item: str = "item") -> DataFrame:
+def worst_misses(lists: DataFrame, ideal_order: list[Column], limit: int, query: str = "query",
+                 item: str = "item") -> DataFrame:
     """Items that give up the most discounted gain against their ideal place."""
-    placed = ranked(lists, [query], ideal_order, ideal_coarse, "ideal_position")
+    placed = ranked(lists, [query], ideal_order, "ideal_position")
     loss = gain(F.col("rel")) * (
         1.0 / F.log2(F.col("ideal_position") + 1) - 1.0 / F.log2(F.col("position") + 1))
     missed = placed.withColumn("loss", round_exact(loss, 4)).where(loss > 0)

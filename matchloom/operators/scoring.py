@@ -10,7 +10,7 @@ from matchloom.functions import text as tx
 from matchloom.functions.numeric import clamp, let, round_exact
 from matchloom.operators.adjacency import Adjacency, years_towards
 from matchloom.operators.signals import Rules
-from matchloom.operators.skew import beside_blocks, id_buckets, in_blocks, ranked
+from matchloom.operators.skew import beside_blocks, in_blocks, ranked
 
 # ---------------------------------------------------------------- fixed values
 SWITCHES = ["role_prefilter", "must_have_scoring", "evidence_tiering", "seniority_band",
@@ -282,11 +282,7 @@ def candidates(signals: DataFrame, shipped: DataFrame) -> DataFrame:
 
 def rank_matches(scored: DataFrame, group: list[str]) -> DataFrame:
     """Rank per job by total, confidence and id (of any type); no job's candidates meet in one task."""
-    order = [F.desc("total"), F.desc("confidence"), F.col("id")]
-    # Totals have two decimals and confidences three, so both buckets are exact.
-    coarse = [F.rint(F.col("total") * -100).cast("int"),
-              F.rint(F.col("confidence") * -1000).cast("int"), id_buckets(scored, "id")]
-    return ranked(scored, group, order, coarse)
+    return ranked(scored, group, [F.desc("total"), F.desc("confidence"), F.col("id")])
 
 
 def pair_subset(signals: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -305,6 +301,4 @@ def cosine_rank(vectors: DataFrame, queries: DataFrame, by: str, vector: str, di
         q["query"].alias("query"),
         round_exact(vec.dot(F.col("_u"), q["vector"]), digits).alias("similarity"))))
         .alias("_s")).select(by, "_s.*")
-    return ranked(rows, ["query"], [F.desc("similarity"), F.col(by)],
-                  [F.floor(-F.col("similarity") * 1000), F.rint(F.col("similarity") * -10**digits),
-                   id_buckets(rows, by)])
+    return ranked(rows, ["query"], [F.desc("similarity"), F.col(by)])

@@ -11,16 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """``(cold, hot)``: rows of keys with at most ``limit`` rows, and all others.
-
-    The counts are combined map-side.  At most ``rows / limit`` keys are hot;
-    whether that list is broadcast is left to its measured size.
-    """
-    hot = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
-
+from matchloom.session import materialised
 
 def in_blocks(small: DataFrame, item: Column, rows: int = 256) -> tuple[DataFrame, int]:
     """A table beside which every row of another one is to stand, cut into arrays.
@@ -39,44 +30,56 @@ def beside_blocks(df: DataFrame, small: DataFrame, blocks: int, salts: int = 64)
     The blocks are copied to every salt, so the rows of ``df`` spread over
     blocks x salts tasks wherever the blocks are too large to broadcast.
     """
-    salt = F.pmod(F.xxhash64(*df.columns[:1]), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
     left = df.withColumn("_salt", salt).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, ["_block", "_salt"]).drop("_block", "_salt")
 
 
-def id_buckets(df: DataFrame, by: str, width: int = 1_000_000) -> Column:
-    """A bucket that follows the order of an id of any kind: its range, or its first characters."""
-    numeric = df.schema[by].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")
-    return F.floor(F.col(by) / width) if numeric else F.substring(F.col(by).cast("string"), 1, 8)
+#: Rows of one range of :func:`in_ranges`.
+RANGE_ROWS = 1 << 19
 
 
-def ranked(
-    df: DataFrame, group: list[str], order: list[Column], coarse: list[Column],
-    name: str = "rank",
-) -> DataFrame:
+def in_ranges(df: DataFrame, keys: list[Column], rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` sorted by ``keys``, written in ranges of about ``rows`` rows, with its place.
+
+    The splitters come from a sample of the full key, so keys of any type and with
+    any common prefix fall apart, and the row's place in the input breaks ties, so
+    equal keys do too.  ``_range`` is the range and ``_at`` the number within it;
+    both grow with the key.
+    """
+    rows_in = materialised(df, "unranked")
+    parts = max(1, -(-rows_in.count() // rows))
+    # Small tables are spread over the cores all the same.
+    parts = max(parts, min(df.sparkSession.sparkContext.defaultParallelism, parts * 8))
+    placed = rows_in.withColumn("_tie", F.monotonically_increasing_id())
+    placed = placed.repartitionByRange(parts, *keys, F.col("_tie")).sortWithinPartitions(*keys, "_tie")
+    # Numbered by partition and row: the order in which the sort hands the rows on.
+    placed = placed.withColumn("_place", F.monotonically_increasing_id()).drop("_tie")
+    out = materialised(placed, "ranges")
+    return out.select(*df.columns, F.shiftright("_place", 33).cast("int").alias("_range"),
+                      F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rank",
+           rows: int = RANGE_ROWS) -> DataFrame:
     """Row number within ``group`` by ``order``, without gathering the rows of a group.
 
-    ``coarse`` holds bucket columns, most significant first, that agree with
-    ``order`` when compared together: a row whose buckets are lower comes first.
-    So a bucket on a later key is only valid below buckets that fix the earlier
-    keys exactly.  Bucket sizes are counted with map-side combine, one running
-    total per group goes over its buckets (not its rows), and rows are numbered
-    inside their bucket, on the partitioning that the join with the totals uses.
+    Rows are dealt into ranges of (group, order) and sorted there.  A group's rows
+    are then a run of each range that they reach, so a rank is the place in that
+    run plus the sizes of the group's earlier runs.  The only window goes over
+    those sizes: groups and ranges together bound their number.
     """
-    marks = [f"_b{i}" for i in range(len(coarse))]
-    rows = df.select("*", *[c.alias(m) for c, m in zip(coarse, marks)])
-    ahead = Window.partitionBy(*group).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*group, *marks).agg(F.count(F.lit(1)).alias("_n")).select(
-        *group, *marks, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*group, *marks).orderBy(*order)
-    return (
-        rows.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, group + marks)
-        .withColumn(name, (F.col("_off") + F.col("_rn")).cast("bigint"))
-        .drop("_rn", "_off", *marks)
-    )
+    placed = in_ranges(df, [F.col(g) for g in group] + order, rows)
+    runs = placed.groupBy(*group, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col("_range").alias("_r"),
+                       (F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_first") + 1).alias("_off"))
+    same = F.col("_range") == F.col("_r")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    return placed.join(runs, same).select(*df.columns, (F.col("_off") + F.col("_at")).cast("bigint").alias(name))
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int,
@@ -114,44 +117,6 @@ def carry_last(
     return out.select(*df.columns, *[found[n].alias(n) for n in values])
 
 
-def dominance_sum(points: DataFrame, queries: DataFrame, key: list[str], bits: int | str) -> DataFrame:
-    """For each query (x, y): the sum of ``w`` over points of its key with px > x, py <= y.
-
-    Each x is read as a path in a binary tree of ``bits`` levels.  The points
-    right of a query are the right siblings of the nodes where its path goes
-    left, so each query reads at most ``bits`` running sums and each point lies
-    on at most ``bits`` nodes.  No pair of rows is ever formed.
-
-    Columns: points (key, x, y, w), queries (key, x, y, qid); x below 2^bits.
-    ``bits`` may name a column of both that is constant within a key and at least 1.
-    """
-    levels = F.sequence(F.lit(0), F.col(bits) - 1 if isinstance(bits, str) else F.lit(bits - 1))
-    one = F.lit(1).cast("bigint")
-
-    def node(level: Column) -> Column:
-        return F.call_function("shiftright", F.col("x").cast("bigint"), level)
-
-    on_right = F.filter(levels, lambda lv: node(lv).bitwiseAND(one) == 1)
-    turned_left = F.filter(levels, lambda lv: node(lv).bitwiseAND(one) == 0)
-    placed = (
-        points.withColumn("level", F.explode(on_right))
-        .withColumn("node", node(F.col("level")))
-        .groupBy(*key, "level", "node", "y").agg(F.sum("w").alias("w"))
-        .withColumn("kind", F.lit(0)).withColumn("qid", F.lit(None).cast("bigint"))
-    )
-    asked = (
-        queries.withColumn("level", F.explode(turned_left))
-        .withColumn("node", node(F.col("level")) + 1)
-        .withColumn("w", F.lit(0).cast("bigint")).withColumn("kind", F.lit(1))
-    )
-    cols = key + ["level", "node", "y", "w", "kind", "qid"]
-    upto = Window.partitionBy(*key, "level", "node").orderBy("y", "kind").rowsBetween(
-        Window.unboundedPreceding, 0)
-    summed = placed.select(*cols).unionByName(asked.select(*cols)).withColumn(
-        "w", F.sum("w").over(upto))
-    return summed.where("kind = 1").groupBy(*key, "qid").agg(F.sum("w").alias("total"))
-
-
 def selected_values(
     df: DataFrame, value: str, picks: dict[str, Column], by: list[str] | None = None
 ) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom import fixed_values as fv
 from matchloom.functions import dates as dt
 from matchloom.functions.numeric import round_exact
-from matchloom.operators.skew import dominance_sum
-
-_DAY_SHIFT = 2**20
 
 
 def resolve_spans(
@@ -69,55 +70,155 @@ def interval_union(spans: DataFrame, by: str = "id") -> DataFrame:
     )
 
 
-def _by_dominance(spans: DataFrame, by: str, ix: str) -> DataFrame:
-    """Attribution from sums over later starts, for entities of any size.
+#: A weight per item, made when it is needed, and the questions that ask for it.
+Weight = tuple[Callable[[], np.ndarray], np.ndarray]
+
 
-    Among spans that start on one day only the longest can keep months.  What it
-    loses is the number of month turns, over all later-starting spans, that fall
-    by its end; that is a dominance sum over (start day, turn day).
+def _sums_before(first: np.ndarray, size: np.ndarray, height: np.ndarray, weigh: list[Weight],
+                 ask: np.ndarray, reach: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """For each question and weight: the sum over the last ``reach`` items of its entity of at most its height.
+
+    Items stand entity by entity: ``first`` and ``size`` give an item's entity as
+    its first item and number of items.  A question names its entity by its first
+    item ``ask``.  Counted from an entity's end, the last ``reach`` items fall into
+    blocks of a Fenwick tree, one for each bit of ``reach``; the items of a level's
+    blocks are ordered by height, with running sums.
     """
-    def day(c: Column) -> Column:
-        return F.unix_date(c) + _DAY_SHIFT
-
-    longest = spans.groupBy(by, "start_on").agg(
-        F.min(F.struct((-F.unix_date("end_on")).alias("ne"), F.col(ix).alias("ix"),
-                       F.col("months").alias("m"), F.col("end_on").alias("e"))).alias("_r"))
-    # Start days count by their rank within the entity, so the tree has few levels for few
-    # spells; the window holds one row per day, bounded by the calendar.
-    starts = Window.partitionBy(by)
-    longest = longest.withColumns({
-        "x": (F.row_number().over(starts.orderBy("start_on")) - 1).cast("bigint"),
-        "bits": F.greatest(F.lit(1), F.ceil(F.log2(F.count(F.lit(1)).over(starts)))).cast("int")})
-    queries = longest.select(by, "x", "bits", day(F.col("_r.e")).alias("y"),
-                             day(F.col("start_on")).cast("bigint").alias("qid"))
-    points = (
-        spans.where("months >= 1").groupBy(by, "start_on", "months")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(longest.select(by, "start_on", "x", "bits"), [by, "start_on"])
-        .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("months"))))
-        .groupBy(by, "x", "bits", day(dt.month_turn(F.col("start_on"), F.col("k"))).alias("y"))
-        .agg(F.sum("n").alias("w"))
-    )
-    lost = dominance_sum(points, queries, [by], "bits")
-    kept = (
-        longest.withColumn("qid", day(F.col("start_on")).cast("bigint"))
-        .join(lost, [by, "qid"], "left")
-        .select(by, F.col("_r.ix").alias(ix),
-                F.greatest(F.lit(0), F.col("_r.m") - F.coalesce("total", F.lit(0)))
-                .cast("bigint").alias("attributed"))
-    )
-    return spans.select(by, ix).join(kept, [by, ix], "left").fillna(0, ["attributed"])
+    out = np.zeros((len(weigh), len(ask)), np.int64)
+    from_end = first + size - 1 - np.arange(len(first))
+    # Heights as ranks, so that (entity, block, height) is one number.
+    ranks = np.unique(height)
+    rank = np.searchsorted(ranks, height)
+    bound = np.searchsorted(ranks, upto, "right")
+    wide = len(ranks) + 1
+    bit = 0
+    while (reach >> bit).any():
+        # Blocks of a level lie within their entity: its first item plus the block is unique there.
+        items = np.flatnonzero(size >> bit)
+        key = (first[items] + (from_end[items] >> bit)) * wide + rank[items] + 1
+        by_key = np.argsort(key, kind="stable")
+        key, items = key[by_key], items[by_key]
+        block = (ask + (reach >> bit) - 1) * wide
+        low, high = np.searchsorted(key, block, "right"), np.searchsorted(key, block + bound, "right")
+        for k, (weight, only) in enumerate(weigh):
+            asked = only[(reach[only] >> bit) & 1 == 1]
+            if len(asked):
+                running = np.concatenate([[0], np.cumsum(weight()[items])])
+                out[k, asked] += running[high[asked]] - running[low[asked]]
+        bit += 1
+    return out
+
+
+def _swept(entity: np.ndarray, start: np.ndarray, turn: np.ndarray, months: np.ndarray, count: np.ndarray,
+           end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, months kept) of the longest spell of each start day.
+
+    Items are (entity, start day, months) with ``count`` spells, in order of entity
+    and start, the one with the latest ``end`` first.  A later spell takes the
+    smaller of its months and the whole months from its start to the end in
+    question: the former if its last month turns (``turn``) by that end.  The rest
+    is a difference of calendar months, less one where the day of the month of the
+    start is the larger.
+    """
+    n = len(entity)
+    new = np.ones(n, bool)
+    new[1:] = entity[1:] != entity[:-1]
+    heads = np.flatnonzero(new)
+    own = np.cumsum(new) - 1
+    first, size = heads[own], np.diff(np.append(heads, n))[own]
+    days = new.copy()
+    days[1:] |= start[1:] != start[:-1]
+    asked = np.flatnonzero(days)
+    past = first[asked] + size[asked]
+    later = np.minimum(np.append(asked[1:], n), past)
+
+    def calendar(day: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        month = day.astype("datetime64[D]").astype("datetime64[M]")
+        return month.astype(np.int64), day - month.astype("datetime64[D]").astype(np.int64)
+
+    month, dom = calendar(start)
+    until, until_dom = calendar(end[asked])
+    every = np.arange(len(asked))
+    # Months taken whole, spells and their start months; then spells that start after the end's day of the month.
+    weigh: list[Weight] = [(lambda: count * months, every), (lambda: count, every), (lambda: count * month, every)]
+    weigh += [(lambda d=d: count * (dom > d), np.flatnonzero(until_dom == d)) for d in range(31)]
+    done = _sums_before(first, size, turn, weigh, first[asked], past - later, end[asked])
+    # Items that start by the end in question, all of the entity's: a number for (entity, day).
+    shift = int(min(start.min(), end.min()))
+    span = int(max(start.max(), end.max())) - shift + 2
+    started = np.searchsorted(first * span + start - shift, first[asked] * span + end[asked] - shift, "right")
+    started = np.maximum(started, later)
+    open_ = []
+    for (weight, only), closed in zip(weigh, done):
+        running = np.concatenate([[0], np.cumsum(weight())]) if len(only) else np.zeros(n + 1, np.int64)
+        between = np.zeros(len(asked), np.int64)
+        between[only] = running[started[only]] - running[later[only]] - closed[only]
+        open_.append(between)
+    lost = done[0] + until * open_[1] - open_[2] - sum(open_[3:])
+    return asked, np.maximum(0, months[asked] - lost)
+
+
+#: Items that are swept together; a larger entity is swept alone, bounded by the calendar.
+_SWEEP = 1 << 15
 
 
 def attributed_months(spans: DataFrame, by: str = "id", ix: str = "ix") -> DataFrame:
     """(entity, entry, attributed): overlaps belong to the later-starting span.
 
     The sum of pairwise overlaps with later spans is taken off, floored at 0;
-    where two later spans overlap each other that part is taken off twice.
+    where two later spans overlap each other that part is taken off twice.  Of
+    spans that start on one day only the longest (the first of those) keeps months.
+
+    Spans are counted by (entity, start day, months) before they are dealt out, so
+    what an entity brings is bounded by the calendar; entities are then swept in
+    order, many at a time, with sums from a Fenwick tree over their start days.
     """
-    usable = spans.where(F.col("start_on").isNotNull()).select(
-        by, ix, "start_on", "end_on", "months")
-    return _by_dominance(usable, by, ix)
+    usable = spans.where(F.col("start_on").isNotNull())
+    items = usable.groupBy(by, "start_on", "months").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.unix_date("end_on")).alias("ne"), F.col(ix).alias("ix"))).alias("b"))
+    rows = items.select(
+        F.col(by).alias("by"), F.unix_date("start_on").cast("bigint").alias("start"),
+        F.unix_date(dt.month_turn(F.col("start_on"), F.col("months"))).cast("bigint").alias("turn"),
+        F.col("months").cast("bigint").alias("months"), "n", (-F.col("b.ne")).cast("bigint").alias("end"), F.col("b.ix").alias("ix"))
+    rows = rows.repartition("by").sortWithinPartitions("by", "start", F.desc("end"), "ix")
+    schema = rows.select(F.col("by").alias("_by"), F.col("ix").alias("_ix"), F.col("months").alias("attributed")).schema
+
+    def sweep(table: pa.Table, entity: np.ndarray) -> pa.RecordBatch:
+        columns = [table.column(c).to_numpy() for c in ("start", "turn", "months", "n", "end")]
+        at, kept = _swept(entity, *columns)
+        at = pa.array(at)
+        return pa.RecordBatch.from_arrays([table.column("by").take(at).combine_chunks(),
+                                           table.column("ix").take(at).combine_chunks(), pa.array(kept)], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < _SWEEP:
+                continue
+            table = pa.Table.from_batches(held)
+            entity = _runs(table.column("by"))
+            # The last entity may go on in the next batch.
+            whole = int(np.searchsorted(entity, entity[-1]))
+            if whole:
+                yield sweep(table.slice(0, whole), entity[:whole])
+            held = table.slice(whole).to_batches()
+            size -= whole
+        if size:
+            table = pa.Table.from_batches(held)
+            yield sweep(table, _runs(table.column("by")))
+
+    kept = rows.mapInArrow(run, schema)
+    return spans.where(F.col("start_on").isNotNull()).select(by, ix).join(
+        kept, F.col(by).eqNullSafe(F.col("_by")) & F.col(ix).eqNullSafe(F.col("_ix")), "left").select(
+        by, ix, F.coalesce("attributed", F.lit(0)).cast("bigint").alias("attributed"))
+
+
+def _runs(column: pa.ChunkedArray) -> np.ndarray:
+    """A number per run of equal neighbours."""
+    codes = column.combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+    return np.cumsum(np.diff(codes, prepend=codes[:1]) != 0)
 
 
 def tenure_columns(as_of: Column) -> dict[str, Column]:

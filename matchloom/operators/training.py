@@ -111,7 +111,7 @@ def folds(corpus: DataFrame, k: int = FOLDS, seed: int = fv.BOOTSTRAP_SEED) -> D
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "label", "core"))
     rows = corpus.withColumn("_digest", digest)
-    placed = ranked(rows, ["label"], [F.col("_digest"), F.col("core")], [F.substring("_digest", 1, 3)], "_place")
+    placed = ranked(rows, ["label"], [F.col("_digest"), F.col("core")], "_place")
     return placed.withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_digest", "_place")
 
 

@@ -67,17 +67,9 @@ def ranking(spark, sf):
         F.col("n_chars").alias("score_a"), (F.col("doc_id") * 7919 % 1000).alias("score_b"))
 
 
-def order(system: str):
-    """Order and coarse buckets of a system: score bins first, id ranges inside them."""
-    score = F.col(f"score_{system}")
-    width = 50 if system == "a" else 10
-    return [F.desc(f"score_{system}"), F.col("item")], [
-        F.floor(-score / width), -score, F.floor(F.col("item") / 1_000_000)]
-
-
 def lists(spark, sf, system: str, condensed: bool = True):
-    by, coarse = order(system)
-    return ev.graded_lists(ranking(spark, sf), grades(spark, sf), by, coarse, condensed)
+    by = [F.desc(f"score_{system}"), F.col("item")]
+    return ev.graded_lists(ranking(spark, sf), grades(spark, sf), by, condensed)
 
 
 @shared
@@ -174,7 +166,7 @@ cte("interval_sql", f"SELECT {rx('lo', 4)} AS low, {rx('hi', 4)} AS high FROM (S
 @shared
 def interval(spark, sf):
     paired = ev.paired_positions(lists_a(spark, sf), lists_b(spark, sf))
-    deltas = ev.bootstrap_deltas(paired, DRAWS, [F.col("item")], [F.floor(F.col("item") / 1_000_000)])
+    deltas = ev.bootstrap_deltas(paired, DRAWS, [F.col("item")])
     return ev.bootstrap_interval(deltas, DRAWS)
 
 
@@ -224,6 +216,5 @@ def eval_verdict(spark, sf):
     FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rel DESC, item) AS ideal_position FROM list_a))
   WHERE l > 0 ORDER BY {rx('l', 4)} DESC, query, item LIMIT 10""", ("list_a",))
 def worst_misses(spark, sf):
-    return ev.worst_misses(lists_a(spark, sf), [F.desc("rel"), F.col("item")],
-                           [-F.col("rel"), F.floor(F.col("item") / 1_000_000)], 10).select(
+    return ev.worst_misses(lists_a(spark, sf), [F.desc("rel"), F.col("item")], 10).select(
         "query", "item", "rel", "position", "ideal_position", "loss")

@@ -128,17 +128,66 @@ def test_attribution_matches_brute_force(spark):
     assert got == brute_attribution(rows)
 
 
-def test_ranked_equals_row_number_with_a_hot_group(spark):
-    rng = random.Random(3)
-    rows = [("hot" if i % 3 else f"g{i % 5}", i, rng.randrange(40) / 4) for i in range(600)]
-    df = spark.createDataFrame(rows, "g string, id bigint, s double")
-    order = [F.desc("s"), F.col("id")]
-    got = skew.ranked(df, ["g"], order, [F.floor(-F.col("s")), F.rint(F.col("s") * -4),
-                                         F.floor(F.col("id") / 50)])
+@pytest.mark.parametrize("sweep", [1, 40, 1 << 15])
+def test_attribution_over_batches_with_hot_and_small_entities(spark, monkeypatch, sweep):
+    monkeypatch.setattr(sp, "_SWEEP", sweep)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        rng = random.Random(11)
+        base = dt.date(1999, 12, 25)
+        rows = []
+        for i in range(900):
+            # Starts on few days around month ends, so that days and day-of-month rules meet; some spells are equal.
+            start = base + dt.timedelta(days=rng.choice([0, 6, 7, 35, 66, 67, 95, rng.randrange(2000)]))
+            rows.append(("hot" if i % 3 == 0 else f"e{rng.randrange(60)}", i, start,
+                         start + dt.timedelta(days=rng.choice([0, 30, 31, rng.randrange(1500)]))))
+        df = spark.createDataFrame(rows, "id string, ix bigint, start_on date, end_on date").withColumn(
+            "months", dates.whole_months(F.col("start_on"), F.col("end_on")))
+        got = {(r["id"], r["ix"]): r["attributed"] for r in sp.attributed_months(df).collect()}
+        assert got == brute_attribution(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sp.attributed_months(df.limit(0)).count() == 0
+
+
+def id_kinds(n):
+    """Ids of several kinds, as text, with their SQL type: in sequence, random, UUIDs, with a long common prefix."""
+    import uuid
+    rng = random.Random(4)
+    return {
+        "sequence": ([i for i in range(n)], "bigint"),
+        "random": ([rng.randrange(-(1 << 62), 1 << 62) for _ in range(n)], "bigint"),
+        "uuid": ([str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(n)], "string"),
+        "prefix": ([f"candidate/{rng.getrandbits(40):012x}" for _ in range(n)], "string"),
+    }
+
+
+@pytest.mark.parametrize("kind", list(id_kinds(1)))
+def test_ranked_equals_row_number_for_ids_of_any_kind(spark, kind):
     from pyspark.sql import Window
-    plain = df.withColumn("rank", F.row_number().over(
-        Window.partitionBy("g").orderBy(*order)).cast("bigint"))
-    assert got.select(plain.columns).exceptAll(plain).count() == 0
+    ids, sql = id_kinds(3000)[kind]
+    # A hot group without a score of its own: only the ids tell its rows apart.
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 5}", key, None if i % 7 == 0 else 0.5 if i % 3 else i % 40 / 4)
+            for i, key in enumerate(ids)]
+    df = spark.createDataFrame(rows, f"g string, id {sql}, s double")
+    order = [F.desc("s"), F.col("id")]
+    plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("bigint"))
+    for size in (1 << 19, 100):
+        got = skew.ranked(df, ["g"], order, rows=size)
+        assert got.columns == plain.columns and got.exceptAll(plain).count() == 0 and got.count() == len(rows)
+    # No range, which is the most that is sorted in one task, holds much more than its share.
+    placed = skew.in_ranges(df, [F.col("g"), *order], rows=100)
+    sizes = [r["count"] for r in placed.groupBy("_range").count().collect()]
+    assert len(sizes) >= 25 and max(sizes) <= 300
+
+
+def test_ranges_of_equal_keys_fall_apart(spark):
+    df = spark.range(4000).select(F.lit("a").alias("g"), F.lit(1).alias("k"))
+    sizes = [r["count"] for r in skew.in_ranges(df, [F.col("g"), F.col("k")], rows=200).groupBy("_range").count().collect()]
+    assert max(sizes) <= 600
+    got = skew.ranked(df, ["g"], [F.col("k")], rows=200)
+    assert sorted(r["rank"] for r in got.collect()) == list(range(1, 4001))
+    assert skew.ranked(df.limit(0), ["g"], [F.col("k")]).count() == 0
 
 
 def test_selected_values_are_exact(spark):
