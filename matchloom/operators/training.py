@@ -1,14 +1,19 @@
-"""The trained fallback classifier: n-gram TF-IDF and a multinomial logistic regression."""
+"""The trained fallback classifier: hashed n-gram TF-IDF and a multinomial logistic regression."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (
-    IDF, CountVectorizer, Normalizer, StringIndexer, VectorAssembler)
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchloom import fixed_values as fv
 from matchloom.functions.numeric import round_exact
@@ -21,6 +26,9 @@ CHAR_GRAMS = [3, 4, 5]
 INVERSE_REGULARISATION = 4.0
 FOLDS = 5
 # ------------------------------------------------------------ end fixed values
+#: Blocks of features, each scaled to unit length, and the bits of a block's buckets.
+BLOCKS = ["chars", "words"]
+BITS = 13
 
 
 def with_grams(df: DataFrame, core: str) -> DataFrame:
@@ -51,47 +59,135 @@ def corpus_rows(df: DataFrame, core: str, label: str) -> DataFrame:
     return rows.join(sizes, "label").withColumn("weight", whole / F.col("_n")).drop("_n")
 
 
-def model_stages(rows: int) -> Pipeline:
-    """A block of character grams and one of words, each with a full vocabulary and unit length.
+def buckets(grams: Column, bits: int = BITS) -> Column:
+    """A bucket of 2^bits for each gram, from its md5: the same in any SQL engine."""
+    return F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 6), 16, 10).cast("int").bitwiseAND(
+        F.lit((1 << bits) - 1)))
+
+
+def with_buckets(df: DataFrame, core: str, bits: int = BITS) -> DataFrame:
+    """Adds ``chars`` and ``words``: the buckets of a title's grams, repeats included."""
+    return with_grams(df, core).withColumns({b: buckets(F.col(b), bits) for b in BLOCKS})
+
+
+@dataclass
+class Weights:
+    """Inverse document frequencies per block and bucket: ln((1 + rows) / (1 + rows with it)) + 1."""
+    bits: int
+    idf: np.ndarray
+
+
+def weigh(corpus: DataFrame, core: str, bits: int = BITS) -> Weights:
+    """Weights from the rows of a corpus; what reaches the driver is bounded by the buckets."""
+    rows = with_buckets(corpus.select(core), core, bits)
+    found = rows.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("block"), F.array_distinct(b).alias("own")) for k, b in enumerate(BLOCKS)])).alias("s")).select(
+        "s.block", F.explode("s.own").alias("bucket")).groupBy("block", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    seen = np.zeros((len(BLOCKS), 1 << bits))
+    for row in found.collect():
+        seen[row.block, row.bucket] = row.n
+    return Weights(bits, np.log((1 + corpus.count()) / (1 + seen)) + 1)
 
-    The vocabulary is that of the distinct training titles and is not cut.
+
+def sparse(columns: list[list[np.ndarray]], weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per row: feature numbers in order and their values, each block of unit length.
+
+    A count c weighs 1 + ln(c), times the weight of its bucket.
     """
-    stages = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc")]
-    parts = []
-    for name in ("chars", "words"):
-        stages.append(CountVectorizer(inputCol=name, outputCol=f"tf_{name}", vocabSize=2**31 - 1, minDF=1.0))
-        stages.append(IDF(inputCol=f"tf_{name}", outputCol=f"idf_{name}"))
-        stages.append(Normalizer(inputCol=f"idf_{name}", outputCol=f"unit_{name}"))
-        parts.append(f"unit_{name}")
-    stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    stages.append(LogisticRegression(
-        family="multinomial", featuresCol="features", labelCol="y", weightCol="weight",
-        regParam=1.0 / (INVERSE_REGULARISATION * max(rows, 1)), standardization=False,
-        maxIter=100))
-    return Pipeline(stages=stages)
-
-
-def train(corpus: DataFrame) -> PipelineModel:
-    """Fit on (core, label, weight) rows."""
-    ready = with_grams(corpus, "core").cache()
+    out = []
+    for blocks in zip(*columns):
+        at, values = [], []
+        for k, own in enumerate(blocks):
+            bucket, count = np.unique(own, return_counts=True)
+            value = (1 + np.log(count)) * weights.idf[k][bucket]
+            at.append(bucket + (k << weights.bits))
+            values.append(value / np.sqrt((value * value).sum()) if len(value) else value)
+        out.append((np.concatenate(at), np.concatenate(values)))
+    return out
+
+
+def _featured(df: DataFrame, core: str, weights: Weights, schema: T.StructType,
+              column: Callable[[pa.Array, pa.Array], pa.Array]) -> DataFrame:
+    rows = with_buckets(df.select(F.struct("*").alias("_row"), F.col(core).alias("_core")), "_core", weights.bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sparse([[v.values.to_numpy() for v in batch.column(b)] for b in BLOCKS], weights)
+            ends = pa.array(np.cumsum([0] + [len(a) for a, _ in found]), pa.int32())
+            at, values = (np.concatenate([np.zeros(0), *x]) for x in zip(*found)) if found else (np.zeros(0),) * 2
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), column(
+                pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(values)))],
+                schema.names)
+
+    return rows.select("_row", *BLOCKS).mapInArrow(run, schema)
+
+
+def feature_rows(df: DataFrame, core: str, weights: Weights) -> DataFrame:
+    """The columns of ``df`` with ``feature`` and ``value``: a row for each feature of each title."""
+    kind = "array<struct<feature:int,value:double>>"
+    schema = T.StructType([T.StructField("_row", df.select(F.struct("*").alias("r")).schema["r"].dataType)]).add(
+        T.StructType.fromDDL(f"_f {kind}")[0])
+    table = _featured(df, core, weights, schema, lambda at, values: pa.ListArray.from_arrays(
+        at.offsets, pa.StructArray.from_arrays([at.values, values.values], ["feature", "value"])))
+    return table.select("_row.*", F.explode("_f").alias("_f")).select(*df.columns, "_f.*")
+
+
+def with_vectors(df: DataFrame, core: str, weights: Weights) -> DataFrame:
+    """Adds ``features``, a sparse vector."""
+    schema = T.StructType([T.StructField("_row", df.select(F.struct("*").alias("r")).schema["r"].dataType)]).add(
+        "features", VectorUDT())
+    width = len(BLOCKS) << weights.bits
+
+    def vector(at: pa.Array, values: pa.Array) -> pa.Array:
+        n = len(at)
+        return pa.StructArray.from_arrays(
+            [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, width, np.int32)), at, values],
+            ["type", "size", "indices", "values"])
+    return _featured(df, core, weights, schema, vector).select("_row.*", "features")
+
+
+@dataclass
+class TitleModel:
+    """Classes in alphabetical order, the weights of the features and the fitted regression."""
+    classes: list[str]
+    weights: Weights
+    regression: LogisticRegressionModel
+
+
+def train(corpus: DataFrame, bits: int = BITS) -> TitleModel:
+    """Fit on (core, label, weight) rows.
+
+    Grams are hashed, so no vocabulary is gathered: the driver and each task hold
+    the weights of the buckets and the coefficients, bounded by buckets x classes.
+    """
+    weights = weigh(corpus, "core", bits)
+    ready = with_vectors(corpus, "core", weights).cache()
     try:
-        return model_stages(ready.count()).fit(ready)
+        index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(ready)
+        regression = LogisticRegression(
+            family="multinomial", featuresCol="features", labelCol="y", weightCol="weight",
+            regParam=1.0 / (INVERSE_REGULARISATION * max(ready.count(), 1)), standardization=False, maxIter=100)
+        return TitleModel(list(index.labels), weights, regression.fit(index.transform(ready)))
     finally:
         ready.unpersist()
 
 
-def classes_of(model: PipelineModel) -> list[str]:
-    return list(model.stages[0].labels)
+def coefficients(spark: SparkSession, model: TitleModel) -> DataFrame:
+    """The model as a table: ``feature, label, weight``; the feature of an intercept is -1."""
+    matrix, start = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
+    k, at = np.nonzero(matrix)
+    rows = pa.table({"feature": np.concatenate([np.full(len(start), -1), at]).astype(np.int32),
+                     "label": [model.classes[c] for c in [*range(len(start)), *k]],
+                     "weight": np.concatenate([start, matrix[k, at]])})
+    return spark.createDataFrame(rows)
 
 
-def predict(df: DataFrame, core: str, model: PipelineModel,
+def predict(df: DataFrame, core: str, model: TitleModel,
             minimum: float = fv.FALLBACK_MIN_PROBABILITY) -> DataFrame:
     """Adds the fallback result: best class, or null below ``minimum``."""
-    ready = with_grams(df, core)
-    for stage in model.stages[1:]:
-        ready = stage.transform(ready)
+    ready = model.regression.transform(with_vectors(df, core, model.weights))
     probs = vector_to_array("probability")
-    names = F.array(*[F.lit(c) for c in classes_of(model)])
+    names = F.array(*[F.lit(c) for c in model.classes])
     ready = ready.withColumn("_p", probs).withColumn("_top", F.array_max("_p"))
     best = F.element_at(names, F.array_position("_p", F.col("_top")).cast("int"))
     sure = (F.col("_top") >= minimum) & (F.col(core) != "")

@@ -156,6 +156,37 @@ def part_titles(spark, sf):
     return part.withColumn("label", F.try_element_at(tx.literal_map(NOUN_CLASSES), noun))
 
 
+def _grams_sql(n: int) -> str:
+    return (f"flatten(list_transform(ws, lambda w: list_transform(range(1, greatest(1, length(w) + 3 - {n}) + 1), "
+            f"lambda i: substr(' ' || w || ' ', i, {n}))))")
+
+
+cte("part_titles_sql", sql_title("(SELECT DISTINCT p_name FROM part)", "p_name", "p_name"))
+
+cte("title_grams", f"""
+  SELECT core, ws, list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS words,
+    list_concat({_grams_sql(3)}, list_concat({_grams_sql(4)}, {_grams_sql(5)})) AS chars
+  FROM (SELECT core, ws, list_filter(ws, lambda w: length(w) > 1) AS k FROM (
+    SELECT DISTINCT core, string_split(core, ' ') AS ws FROM part_titles_sql))""", ("part_titles_sql",))
+
+cte("title_counts", f"""
+  SELECT core, block, (('0x' || substr(md5(g), 1, 6))::BIGINT & {(1 << tr.BITS) - 1}) AS bucket, count(*) AS n FROM (
+    SELECT core, 0 AS block, unnest(chars) AS g FROM title_grams UNION ALL SELECT core, 1, unnest(words) FROM title_grams)
+  GROUP BY ALL""", ("title_grams",))
+
+
+@query("title_features", f"""
+  SELECT core, bucket + block * {1 << tr.BITS} AS feature,
+    {rx("(v / sqrt(sum(v * v) OVER (PARTITION BY core, block)))", 9)} AS value FROM (
+    SELECT *, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM title_grams))::DOUBLE
+      / (1 + count(*) OVER (PARTITION BY block, bucket))) + 1) AS v FROM title_counts)""", ("title_grams", "title_counts"))
+def title_features(spark, sf):
+    """The weighted features of every distinct title, as the trained classifier reads them."""
+    titles = part_titles(spark, sf).select("core").distinct()
+    rows = tr.feature_rows(titles, "core", tr.weigh(titles, "core"))
+    return rows.select("core", F.col("feature").cast("bigint").alias("feature"), round_exact(F.col("value"), 9).alias("value"))
+
+
 @query("train_classifier")
 def train_classifier(spark, sf):
     corpus = tr.corpus_rows(part_titles(spark, sf), "core", "label")
