@@ -1,7 +1,8 @@
 """Title classification that abstains rather than guesses.
 
 Every stage is a Column expression over constant dictionaries, so classifying a
-table is a narrow projection: no join, no shuffle, nothing to skew.
+table is a narrow projection: no join, no shuffle, nothing to skew.  Phrases are
+found by one automaton for all terms, so large dictionaries cost no more.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from matchloom import vocabulary as vocab
 from matchloom.functions import text as tx
 from matchloom.functions import vectors as vec
 from matchloom.functions.numeric import round_exact
+from matchloom.functions.phrases import hits
 from matchloom.operators.skew import beside_blocks, in_blocks
 
 RESULT = "struct<family string, confidence double, source string, evidence string>"
@@ -35,15 +37,23 @@ class Lexicon:
     min_score: float = fv.CONTEXT_MIN_SCORE
     min_margin: float = fv.CONTEXT_MIN_MARGIN
 
-    def pattern_array(self, multiword: bool) -> Column:
-        rows = [{"pattern": p, "family": f, "regex": tx.phrase_pattern(p)}
-                for p, f in self.patterns if (" " in p) == multiword]
-        return constant_rows(rows, "pattern string, family string, regex string")
+    def phrases(self) -> list[str]:
+        """All terms looked for in titles: patterns in order, then ambiguous titles of several words."""
+        return [p for p, _ in self.patterns] + self.ambiguous_phrases()
+
+    def ambiguous_phrases(self) -> list[str]:
+        # Of equal terms the first is found, so an ambiguous title that is a pattern goes by that.
+        return [a for a in self.ambiguous if " " in a]
+
+    def pattern_array(self) -> Column:
+        return constant_rows([{"pattern": p, "family": f} for p, f in self.patterns], "pattern string, family string")
+
+    def places(self, multiword: bool) -> list[int]:
+        return [i for i, (p, _) in enumerate(self.patterns) if (" " in p) == multiword]
 
     def term_array(self) -> Column:
-        rows = [{"family": f, "term": t, "weight": w, "regex": tx.phrase_pattern(t)}
-                for f, t, w in self.context]
-        return constant_rows(rows, "family string, term string, weight double, regex string")
+        rows = [{"family": f, "term": t, "weight": w} for f, t, w in self.context]
+        return constant_rows(rows, "family string, term string, weight double")
 
     def families(self) -> list[str]:
         return list(dict.fromkeys(f for f, _, _ in self.context))
@@ -67,29 +77,46 @@ def is_ambiguous(core: Column, lexicon: Lexicon) -> Column:
     return core.isin(lexicon.ambiguous)
 
 
-def mentions_ambiguous(core: Column, lexicon: Lexicon) -> Column:
-    return tx.has_any_phrase(core, [a for a in lexicon.ambiguous if " " in a])
+def phrase_hits(core: Column, lexicon: Lexicon) -> Column:
+    """Places in ``lexicon.phrases()`` of what a title holds; as a column, one search serves all stages."""
+    return hits(core, lexicon.phrases())
+
 
+def mentions_ambiguous(found: Column, lexicon: Lexicon) -> Column:
+    terms = lexicon.phrases()
+    places = sorted({terms.index(a) for a in lexicon.ambiguous_phrases()})
+    return F.arrays_overlap(found, F.lit(places).cast("array<int>"))
 
-def _first_hit(core: Column, patterns: Column, confidence: float, tag: str) -> Column:
-    hits = F.filter(patterns, lambda p: F.contains(core, p["pattern"]) & F.rlike(core, p["regex"]))
-    hit = F.try_element_at(hits, F.lit(1))
+
+def _first_hit(found: Column, lexicon: Lexicon, multiword: bool, confidence: float, tag: str) -> Column:
+    places = F.lit(lexicon.places(multiword)).cast("array<int>")
+    first = F.array_min(F.array_intersect(found, places))
+    hit = F.get(lexicon.pattern_array(), first)
     return result(hit["family"], confidence, "lexicon", F.concat(F.lit(tag), hit["pattern"]))
 
 
-def phrase_match(core: Column, lexicon: Lexicon) -> Column:
+def phrase_match(core: Column, lexicon: Lexicon, found: Column | None = None) -> Column:
     """Longest multiword pattern inside the title; never for an ambiguous title."""
-    hit = _first_hit(core, lexicon.pattern_array(True), fv.CONF_PHRASE, "phrase:")
+    hit = _first_hit(phrase_hits(core, lexicon) if found is None else found, lexicon, True, fv.CONF_PHRASE, "phrase:")
     return F.when(~is_ambiguous(core, lexicon), hit)
 
 
-def token_match(core: Column, lexicon: Lexicon) -> Column:
-    return _first_hit(core, lexicon.pattern_array(False), fv.CONF_TOKEN, "token:")
+def token_match(core: Column, lexicon: Lexicon, found: Column | None = None) -> Column:
+    return _first_hit(phrase_hits(core, lexicon) if found is None else found, lexicon, False, fv.CONF_TOKEN, "token:")
+
+
+def term_hits(context: Column, lexicon: Lexicon) -> Column:
+    """Places of what a text holds among the distinct context terms."""
+    return hits(context, list(dict.fromkeys(t for _, t, _ in lexicon.context)))
 
 
-def context_hits(context: Column, lexicon: Lexicon) -> Column:
-    return F.filter(lexicon.term_array(),
-                    lambda t: F.contains(context, t["term"]) & F.rlike(context, t["regex"]))
+def context_hits(found: Column, lexicon: Lexicon) -> Column:
+    """The context terms at the places of :func:`term_hits`, in the order of the lexicon."""
+    rows: dict[str, list[int]] = {}
+    for i, (_, term, _) in enumerate(lexicon.context):
+        rows.setdefault(term, []).append(i)
+    own = F.flatten(F.transform(found, lambda i: F.get(F.lit(list(rows.values())).cast("array<array<int>>"), i)))
+    return F.transform(F.array_sort(own), lambda i: F.get(lexicon.term_array(), i))
 
 
 def context_ranking(hits: Column, families: list[str]) -> Column:
@@ -127,17 +154,20 @@ def classify(
     """
     lexicon = lexicon or Lexicon()
     c = F.col(core)
-    step = df.withColumns({
-        "_x": F.coalesce(exact_match(c, lexicon), phrase_match(c, lexicon)),
-        "_vague": is_ambiguous(c, lexicon) | mentions_ambiguous(c, lexicon)})
+    found = F.col("_title_places")
+    step = df.withColumn("_title_places", phrase_hits(c, lexicon)).withColumns({
+        "_x": F.coalesce(exact_match(c, lexicon), phrase_match(c, lexicon, found)),
+        "_vague": is_ambiguous(c, lexicon) | mentions_ambiguous(found, lexicon)})
     undecided = F.col("_x").isNull() & (c != "")
     voted = F.lit(None).cast(RESULT)
     if context:
-        hits = context_hits(F.col(context), lexicon)
-        step = step.withColumn("_hits", F.when(undecided & F.col("_vague"), hits))
+        # Only texts that are asked for are searched.
+        asked = F.when(undecided & F.col("_vague"), F.col(context))
+        step = step.withColumn("_context_asked", asked).withColumn("_term_places", term_hits(F.col("_context_asked"), lexicon))
+        step = step.withColumn("_hits", F.when(F.col("_context_asked").isNotNull(), context_hits(F.col("_term_places"), lexicon)))
         step = step.withColumn("_rank", context_ranking(F.col("_hits"), lexicon.families()))
         voted = context_vote(F.col("_hits"), F.col("_rank"), lexicon)
-    tokens = F.when(undecided & ~F.col("_vague"), token_match(c, lexicon))
+    tokens = F.when(undecided & ~F.col("_vague"), token_match(c, lexicon, found))
     chain = F.coalesce(F.col("_x"), F.when(undecided & F.col("_vague"), voted), tokens,
                        *(fallbacks or []))
     return step.select(*df.columns, chain.alias(out))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchloom import fixed_values as fv
 from matchloom.functions import text as tx
 from matchloom.functions.numeric import clamp, let, round_exact
+from matchloom.functions.phrases import hits
 from matchloom.operators.adjacency import Adjacency, years_towards
 from matchloom.operators.signals import Rules
 from matchloom.operators.skew import beside_blocks, in_blocks, ranked
@@ -32,6 +33,10 @@ def switches(on: list[str] | None = None) -> Column:
 
 
 # --------------------------------------------------------- shipped evidence
+#: Terms that are held in memory at most (a few dozen MB).
+HELD_TERMS = 100_000
+
+
 def shows_ownership(normed: Column) -> Column:
     """An ownership verb or a number: work that was delivered, not just attended."""
     return tx.has_any_phrase(normed, fv.OWNERSHIP_VERBS) | normed.rlike(r"(?U)\d")
@@ -40,10 +45,10 @@ def shows_ownership(normed: Column) -> Column:
 def shipped_evidence(entries: DataFrame, terms: DataFrame, by: str = "id", ix: str = "ix") -> DataFrame:
     """First evidencing snippet per entity, and which ``term``s its history mentions.
 
-    A term is one word and is mentioned where a description's word holds it, so
-    distinct words meet the terms through their own substrings of the lengths
-    that terms have: an equi-join, however many terms and descriptions there
-    are, with rows that grow with a word's length and not its square.
+    A term is one word and is mentioned where a description's word holds it.  Up
+    to ``HELD_TERMS`` terms stand in an automaton beside every task, which reads a
+    description once for all of them; beyond that, distinct words meet the terms
+    through their own substrings of the lengths that terms have, in an equi-join.
     """
     rows = entries.select(by, ix, "description", tx.norm_text(F.col("description")).alias("_d"))
     # Only the shown snippet is cut; the tests read the whole text.
@@ -51,6 +56,23 @@ def shipped_evidence(entries: DataFrame, terms: DataFrame, by: str = "id", ix: s
     first = rows.groupBy(by).agg(F.min_by(
         F.when(shows_ownership(F.col("_d")), snippet),
         F.when(shows_ownership(F.col("_d")), F.col(ix))).alias("snippet"))
+    held = [r.term for r in terms.where("term <> ''").select("term").distinct().limit(HELD_TERMS + 1).collect()]
+    found = _held_terms(rows, sorted(held), by) if len(held) <= HELD_TERMS else _joined_terms(rows, terms, by)
+    return first.join(found, by, "left").withColumn(
+        "term_hits", F.coalesce("term_hits", F.array().cast("array<string>")))
+
+
+def _held_terms(rows: DataFrame, terms: list[str], by: str) -> DataFrame:
+    """Terms per entity, found by one automaton in one pass over each description."""
+    places = rows.where("_d <> ''").select(by, hits(F.col("_d"), terms, whole_words=False).alias("_places"))
+    # Each place once per entity and task before the shuffle.
+    own = places.select(by, F.explode("_places").alias("_place")).groupBy(by).agg(F.collect_set("_place").alias("_own"))
+    names = F.lit(terms).cast("array<string>")
+    return own.select(by, F.transform("_own", lambda i: F.get(names, i)).alias("term_hits"))
+
+
+def _joined_terms(rows: DataFrame, terms: DataFrame, by: str) -> DataFrame:
+    """Terms per entity where there are too many terms to hold: words meet them through their substrings."""
     words = rows.select(by, F.explode(F.array_distinct(F.split("_d", " "))).alias("_word")).where("_word <> ''").distinct()
     # A digest stands for the word beside its parts, as a word may be long.
     words = words.select(by, "_word", F.sha2("_word", 256).alias("_key"))
@@ -60,9 +82,7 @@ def shipped_evidence(entries: DataFrame, terms: DataFrame, by: str = "id", ix: s
     known = words.select("_word", "_key").distinct().join(F.broadcast(lengths), F.length("_word") >= F.col("_n")).select(
         "_key", F.explode(F.transform(starts, lambda i: F.substring(F.col("_word"), i, F.col("_n")))).alias("term"))
     held = known.join(terms, "term").distinct()
-    hits = words.select(by, "_key").join(held, "_key").groupBy(by).agg(F.collect_set("term").alias("term_hits"))
-    return first.join(hits, by, "left").withColumn(
-        "term_hits", F.coalesce("term_hits", F.array().cast("array<string>")))
+    return words.select(by, "_key").join(held, "_key").groupBy(by).agg(F.collect_set("term").alias("term_hits"))
 
 
 def job_terms(jobs: DataFrame) -> DataFrame:

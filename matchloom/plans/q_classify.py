@@ -115,7 +115,8 @@ WORD_VOTES = [("en", "the", 1.0), ("en", "with", 1.5), ("en", "that", 1.5), ("fr
 def context_vote(spark, sf):
     lexicon = cl.Lexicon(context=WORD_VOTES)
     docs = table(spark, sf, "documents").select("doc_id", tx.norm_text(F.col("text")).alias("t"))
-    hits = docs.withColumn("h", cl.context_hits(F.col("t"), lexicon))
+    found = docs.withColumn("f", cl.term_hits(F.col("t"), lexicon))
+    hits = found.withColumn("h", cl.context_hits(F.col("f"), lexicon))
     ranked = hits.withColumn("r", cl.context_ranking(F.col("h"), lexicon.families()))
     vote = ranked.withColumn("v", cl.context_vote(F.col("h"), F.col("r"), lexicon))
     return vote.select("doc_id", "v.family", "v.confidence")
