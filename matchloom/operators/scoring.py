@@ -12,6 +12,7 @@ from matchloom.functions.phrases import hits
 from matchloom.operators.adjacency import Adjacency, years_towards
 from matchloom.operators.signals import Rules
 from matchloom.operators.skew import beside_blocks, in_blocks, ranked
+from matchloom.session import materialised
 
 # ---------------------------------------------------------------- fixed values
 SWITCHES = ["role_prefilter", "must_have_scoring", "evidence_tiering", "seniority_band",
@@ -302,7 +303,8 @@ def candidates(signals: DataFrame, shipped: DataFrame) -> DataFrame:
 
 def rank_matches(scored: DataFrame, group: list[str]) -> DataFrame:
     """Rank per job by total, confidence and id (of any type); no job's candidates meet in one task."""
-    return ranked(scored, group, [F.desc("total"), F.desc("confidence"), F.col("id")])
+    # Scores are costly, and ranges read them twice.
+    return ranked(materialised(scored, "scored"), group, [F.desc("total"), F.desc("confidence"), F.col("id")])
 
 
 def pair_subset(signals: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:

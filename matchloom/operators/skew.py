@@ -37,33 +37,28 @@ def beside_blocks(df: DataFrame, small: DataFrame, blocks: int, salts: int = 64)
     return left.join(right, ["_block", "_salt"]).drop("_block", "_salt")
 
 
-#: Rows of one range of :func:`in_ranges`.
-RANGE_ROWS = 1 << 19
-
-
-def in_ranges(df: DataFrame, keys: list[Column], rows: int = RANGE_ROWS) -> DataFrame:
-    """``df`` sorted by ``keys``, written in ranges of about ``rows`` rows, with its place.
+def in_ranges(df: DataFrame, keys: list[Column], parts: int | None = None) -> DataFrame:
+    """``df`` sorted by ``keys``, written in ranges of about equal size, with its place.
 
     The splitters come from a sample of the full key, so keys of any type and with
-    any common prefix fall apart, and the row's place in the input breaks ties, so
-    equal keys do too.  ``_range`` is the range and ``_at`` the number within it;
-    both grow with the key.
+    any common prefix fall apart, and a number per row breaks ties, so equal keys
+    do too.  ``_range`` is the range and ``_at`` the number within it; both grow
+    with the key.  There are as many ranges as shuffle partitions, or ``parts``.
+    The input is read twice, for the sample and for the rows: write it first where
+    it is costly.
     """
-    rows_in = materialised(df, "unranked")
-    parts = max(1, -(-rows_in.count() // rows))
-    # Small tables are spread over the cores all the same.
-    parts = max(parts, min(df.sparkSession.sparkContext.defaultParallelism, parts * 8))
-    placed = rows_in.withColumn("_tie", F.monotonically_increasing_id())
-    placed = placed.repartitionByRange(parts, *keys, F.col("_tie")).sortWithinPartitions(*keys, "_tie")
+    keys = [*keys, F.col("_tie")]
+    rows = df.withColumn("_tie", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
     # Numbered by partition and row: the order in which the sort hands the rows on.
-    placed = placed.withColumn("_place", F.monotonically_increasing_id()).drop("_tie")
+    placed = rows.sortWithinPartitions(*keys).drop("_tie").withColumn("_place", F.monotonically_increasing_id())
     out = materialised(placed, "ranges")
     return out.select(*df.columns, F.shiftright("_place", 33).cast("int").alias("_range"),
                       F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rank",
-           rows: int = RANGE_ROWS) -> DataFrame:
+           parts: int | None = None) -> DataFrame:
     """Row number within ``group`` by ``order``, without gathering the rows of a group.
 
     Rows are dealt into ranges of (group, order) and sorted there.  A group's rows
@@ -71,7 +66,7 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "ra
     run plus the sizes of the group's earlier runs.  The only window goes over
     those sizes: groups and ranges together bound their number.
     """
-    placed = in_ranges(df, [F.col(g) for g in group] + order, rows)
+    placed = in_ranges(df, [F.col(g) for g in group] + order, parts)
     runs = placed.groupBy(*group, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     ahead = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col("_range").alias("_r"),

@@ -314,6 +314,6 @@ cte("changes_none", CTES["changes"][1].replace("FROM marked", "FROM marked_none"
 @query("stream_feed", "SELECT field_group, change, count(*) AS n FROM changes_none GROUP BY field_group, change", ("changes_none",))
 def stream_feed(spark, sf):
     schema = table(spark, sf, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    out = st.run_available(spark, st.stream_changes(feed_of(source)), "stream_feed")
+    source = st.admitted(spark, sf, schema, pathGlobFilter="events.parquet")
+    out = st.run_batches(spark, feed_of(source), "stream_feed")
     return out.groupBy("field_group", "change").agg(F.count(F.lit(1)).alias("n"))

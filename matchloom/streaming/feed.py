@@ -1,14 +1,23 @@
-"""The change feed on a stream: the batch rules, with state per (entity, field group)."""
+"""The change feed on a stream: the batch rules, with state per (entity, field group).
+
+Two ways with the same results.  ``run_batches`` puts each micro-batch through the
+batch operators against a stored state: they deal a hot field out over its hours,
+so a backlog of any size and skew is worked off in bounded memory.
+``stream_changes`` keeps the state in the stateful operator, for low latency; it
+holds a field's share of one micro-batch, so its source is to be read with
+``admitted``, which bounds a micro-batch.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from matchloom.session import checkpoint_dir
 
@@ -19,6 +28,7 @@ CHANGES_DDL = (
     "old_value string, value string, hash string"
 )
 # ------------------------------------------------------------ end fixed values
+CHANGED = [c.split(" ")[0] for c in CHANGES_DDL.split(", ")]
 
 
 class FieldProcessor(StatefulProcessor):
@@ -109,6 +119,58 @@ def run_available(spark: SparkSession, changes: DataFrame, name: str) -> DataFra
     return spark.read.schema(CHANGES_DDL).parquet(f"{root}/changes")
 
 
+def admitted(spark: SparkSession, path: str, schema: StructType, max_bytes: int = 1 << 29, **options: str) -> DataFrame:
+    """A file stream of which each micro-batch takes files of about ``max_bytes``, oldest first."""
+    return (spark.readStream.schema(schema).options(maxBytesPerTrigger=max_bytes, **options).parquet(path))
+
+
+STATE_DDL = "entity string, field_group string, base_value string, base_hash string, base_at string, batch bigint"
+
+
+def batch_sink(root: str, base: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: writes a micro-batch's changes, then the state after it.
+
+    A micro-batch counts once its state is in the ledger.  One that is given again
+    is left out if it counts; else its changes, which came from the same state,
+    are written over.  Only the state of the batch's own fields is read and written.
+    """
+    from matchloom.operators import feed as fd
+    from matchloom.sources.store import Store
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        store = Store(spark, f"{root}/state")
+        done = {r["run_id"] for r in store._runs("fields")}
+        if f"batch-{batch_id}" in done:
+            return
+        if base is not None and not done:
+            store.upsert(base.select(*fd.KEY, "base_value", "base_hash", "base_at", F.lit(-1).cast("bigint").alias("batch")),
+                         "fields", fd.KEY, ["batch"], "base", "base")
+        state = store.read("fields")
+        if state is None:
+            state = spark.createDataFrame([], STATE_DDL)
+        held = state.join(batch.select(*fd.KEY).distinct(), fd.KEY, "left_semi").drop("batch")
+        path = f"{root}/changes/batch={batch_id}"
+        fd.mark_changes(fd.mark_stale(batch, held)).select(*CHANGED).write.mode("overwrite").parquet(path)
+        changes = spark.read.schema(CHANGES_DDL).parquet(path).withColumnsRenamed({"field_group": "field", "value": "new_value"})
+        after = fd.next_state(changes, held).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        store.upsert(after, "fields", fd.KEY, ["batch"], f"batch-{batch_id}", f"batch-{batch_id}")
+
+    return write
+
+
+def run_batches(spark: SparkSession, feed: DataFrame, name: str, base: DataFrame | None = None,
+                root: str | None = None) -> DataFrame:
+    """Process what is there batch by batch, and read the changes of all batches back."""
+    import uuid
+
+    root = root or f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    query = (feed.writeStream.foreachBatch(batch_sink(root, base))
+             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(CHANGES_DDL).option("recursiveFileLookup", "true").parquet(f"{root}/changes")
+
+
 def keyed_sink(root: str, key: list[str], order: list[str], table: str):
     """foreachBatch function that upserts each micro-batch into a versioned table.
 

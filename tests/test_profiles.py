@@ -1,6 +1,7 @@
 """Profiles end to end: reading, signals, scoring, the feed and the store."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -299,6 +300,48 @@ def test_stream_with_a_base_in_several_batches(spark, tmp_path):
     assert out.count() == 12 and out.select(cols).exceptAll(batch.select(cols)).count() == 0
 
 
+def test_batches_of_a_backlog_with_a_hot_field(spark, tmp_path):
+    """A field with a third of all rows, in several micro-batches with late records: equal to the stateful
+    operator on the same batches, and to one batch application where no record is late."""
+    from matchloom.streaming import feed as st
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        key = ("hot", "headline") if i % 3 else (f"e{rng.randrange(20)}", rng.choice(["about", "location"]))
+        rows.append((*key, f"2026-01-{1 + i // 30:02d}T{rng.randrange(24):02d}", i, "s", rng.choice([None, "a", "A ", "b", "c"])))
+    late = [("hot", "headline", "2026-01-02T00", 700, "s", "late"), ("new", "about", "2026-01-01T00", 701, "s", None)]
+    base = feed_of(spark, [("hot", "headline", "2025", 0, "s", "zero"), ("e1", "about", "2025", 1, "s", "a")]).select(
+        "entity", "field_group", F.col("value").alias("base_value"), F.col("hash").alias("base_hash"),
+        F.lit("2026-01-03T05").alias("base_at"))
+    cols = ["entity", "field_group", "ordinal", "change", "old_value"]
+    for extra in ([], late):
+        path = str(tmp_path / f"feed{len(extra)}")
+        whole = rows + extra
+        for part in (rows[:210], rows[210:390], rows[390:] + extra):
+            feed_of(spark, part).coalesce(1).write.mode("append").parquet(path)
+        schema = feed_of(spark, whole).schema
+        root = str(tmp_path / f"root{len(extra)}")
+        out = st.run_batches(spark, st.admitted(spark, path, schema, 1), "t", base, root)
+        assert len(list((tmp_path / f"root{len(extra)}" / "changes").glob("batch=*"))) == 3
+        stateful = st.run_available(spark, st.stream_changes(st.admitted(spark, path, schema, 1), base), "t")
+        assert out.count() == len(whole) and out.select(cols).exceptAll(stateful.select(cols)).count() == 0
+        if not extra:
+            # The days of the parts do not overlap, so one application of all rows gives the same.
+            batch = fd.mark_changes(fd.mark_stale(feed_of(spark, whole), base))
+            assert out.select(cols).exceptAll(batch.select(cols)).count() == 0
+            assert out.where("entity = 'hot'").count() == 400
+        # A batch that comes again changes nothing; one whose state was lost writes the same changes again.
+        before = sorted(map(tuple, out.collect()), key=str)
+        st.batch_sink(root, base)(feed_of(spark, rows[:210]), 0)
+        assert sorted(map(tuple, out.collect()), key=str) == before
+        runs = tmp_path / f"root{len(extra)}" / "state" / "_runs"
+        last = max(p.name for p in runs.iterdir() if p.name.startswith("fields"))
+        (runs / last).rename(tmp_path / f"lost{len(extra)}")
+        st.batch_sink(root, base)(feed_of(spark, rows[390:] + extra), 2)
+        assert sorted(map(tuple, spark.read.schema(out.schema).option("recursiveFileLookup", "true").parquet(
+            f"{root}/changes").collect()), key=str) == before
+
+
 def test_event_ids_of_typed_values(spark):
     """Ids depend on the JSON form of the value: a flag, a list of words, a list of entries in one line each, text."""
     at = "2026-08-16T04:00:00Z"

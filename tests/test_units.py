@@ -172,20 +172,20 @@ def test_ranked_equals_row_number_for_ids_of_any_kind(spark, kind):
     df = spark.createDataFrame(rows, f"g string, id {sql}, s double")
     order = [F.desc("s"), F.col("id")]
     plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("bigint"))
-    for size in (1 << 19, 100):
-        got = skew.ranked(df, ["g"], order, rows=size)
+    for parts in (None, 30):
+        got = skew.ranked(df, ["g"], order, parts=parts)
         assert got.columns == plain.columns and got.exceptAll(plain).count() == 0 and got.count() == len(rows)
     # No range, which is the most that is sorted in one task, holds much more than its share.
-    placed = skew.in_ranges(df, [F.col("g"), *order], rows=100)
+    placed = skew.in_ranges(df, [F.col("g"), *order], 30)
     sizes = [r["count"] for r in placed.groupBy("_range").count().collect()]
     assert len(sizes) >= 25 and max(sizes) <= 300
 
 
 def test_ranges_of_equal_keys_fall_apart(spark):
     df = spark.range(4000).select(F.lit("a").alias("g"), F.lit(1).alias("k"))
-    sizes = [r["count"] for r in skew.in_ranges(df, [F.col("g"), F.col("k")], rows=200).groupBy("_range").count().collect()]
+    sizes = [r["count"] for r in skew.in_ranges(df, [F.col("g"), F.col("k")], 20).groupBy("_range").count().collect()]
     assert max(sizes) <= 600
-    got = skew.ranked(df, ["g"], [F.col("k")], rows=200)
+    got = skew.ranked(df, ["g"], [F.col("k")], parts=20)
     assert sorted(r["rank"] for r in got.collect()) == list(range(1, 4001))
     assert skew.ranked(df.limit(0), ["g"], [F.col("k")]).count() == 0
 
