@@ -323,4 +323,4 @@ def cosine_rank(vectors: DataFrame, queries: DataFrame, by: str, vector: str, di
         q["query"].alias("query"),
         round_exact(vec.dot(F.col("_u"), q["vector"]), digits).alias("similarity"))))
         .alias("_s")).select(by, "_s.*")
-    return ranked(rows, ["query"], [F.desc("similarity"), F.col(by)])
+    return ranked(materialised(rows, "similarities"), ["query"], [F.desc("similarity"), F.col(by)])
