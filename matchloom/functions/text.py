@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,21 +35,51 @@ WELDED_LEVEL = r"(?U)\b(sde|swe|mts|sse)[-\s]?([1-4]|i{1,3}|iv)\b"
 _NEEDS_UNICODE = r"[^\x00-\x7F\x{C0}-\x{FF}]"
 
 
+#: Code points that are no characters, to stand between texts.
+_DIVIDERS = [chr(c) for c in (0x10FFFF, 0x10FFFE, 0xFFFFF, 0xFFFFE, *range(0xFDD0, 0xFDF0))]
+
+
 @lru_cache(maxsize=1)
-def _fold_unicode():
-    """Arrow UDF for text with compatibility characters; carries all it needs."""
-    marks = re.compile(
-        "[\u200b-\u200f\u2060\ufeff\ufe00-\ufe0f\U0001f3fb-\U0001f3ff\U0001f1e6-\U0001f1ff]")
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Runs of what is taken out (symbols and marks of pictographs), and of white space."""
+    def runs(has) -> str:
+        codes = [c for c in range(sys.maxunicode + 1) if has(chr(c))]
+        firsts = [c for k, c in enumerate(codes) if k == 0 or codes[k - 1] != c - 1]
+        lasts = [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != c + 1]
+        return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(firsts, lasts))
 
-    def fold(text: str) -> str:
-        text = marks.sub("", unicodedata.normalize("NFKC", text))
-        text = "".join(ch for ch in text if unicodedata.category(ch) != "So")
-        return " ".join(text.split()).casefold()
+    marks = "\u200b-\u200f\u2060\ufeff\ufe00-\ufe0f\U0001f3fb-\U0001f3ff\U0001f1e6-\U0001f1ff"
+    return re.compile(f"[{marks}{runs(lambda c: unicodedata.category(c) == 'So')}]+"), re.compile(f"[{runs(str.isspace)}]+")
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(fold, na_action="ignore")
 
-    return F.pandas_udf(run, T.StringType())
+def fold_texts(texts: list[str]) -> list[str]:
+    """Texts compatibility-normalised, without pictographs, single-spaced and case-folded.
+
+    All texts are folded as one, with a code point between them that no text has:
+    it takes part in no composition, so none reaches over it.
+    """
+    gone, blank = _patterns()
+    whole = "".join(texts)
+    divider = next((d for d in _DIVIDERS if d not in whole), None)
+    if divider is None:
+        return [fold_texts([t])[0] for t in texts] if len(texts) > 1 else [_folded(whole, gone, blank).strip(" ")]
+    text = _folded(divider.join(texts), gone, blank)
+    return re.sub(f" ?{divider} ?", divider, text).strip(" ").split(divider) if texts else []
+
+
+def _folded(text: str, gone: re.Pattern, blank: re.Pattern) -> str:
+    return blank.sub(" ", gone.sub("", unicodedata.normalize("NFKC", text))).casefold()
+
+
+@lru_cache(maxsize=1)
+def _fold_unicode():
+    """Arrow UDF for text with compatibility characters."""
+    def run(texts: pa.Array) -> pa.Array:
+        known = texts.drop_null().to_pylist()
+        folded = iter(fold_texts(known))
+        return pa.array([next(folded) if valid else None for valid in texts.is_valid().to_pylist()], pa.string())
+
+    return F.arrow_udf(run, T.StringType())
 
 
 @lru_cache(maxsize=1)

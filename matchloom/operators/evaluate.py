@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -157,31 +159,64 @@ def bootstrap_interval(deltas: DataFrame, resamples: int, digits: int = 4) -> Da
         round_exact(F.col("d")[high], digits).alias("high"))
 
 
+def _flip_sums(sizes: np.ndarray, times: np.ndarray, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums over frequencies of the tail's Fourier terms; see :func:`sign_flip`."""
+    total = int((sizes * times).sum())
+    places = total + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = 0.0
+        for batch in batches:
+            k = batch.column("id").to_numpy()
+            size = np.ones(len(k))
+            for a, n in zip(sizes, times):
+                # Whole turns are taken off as integers, so the angle keeps its precision.
+                size *= np.cos(np.pi * ((k * a) % (2 * places)) / places) ** n
+                live = np.abs(size) > 1e-18
+                if not live.all():
+                    k, size = k[live], size[live]
+            phase = np.pi * ((k * total) % (2 * places)) / places - 2 * np.pi * ((k * at) % places) / places
+            tail += float((size * np.exp(1j * phase) / (1 - np.exp(-2j * np.pi * k / places))).real.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([tail])], ["tail"])
+
+    # exp(-i t at) / (1 - exp(-i t)) sums the terms from the observed place on, less the last one's, which is the same at t M = 2 pi k.
+    return run
+
+
 def sign_flip(deltas: DataFrame, delta: str, scale: int = 10_000) -> DataFrame:
     """Exact one-sided sign-flip test over the per-query deltas, however many there are.
 
-    Deltas are taken as integers of 1/scale so that equality is exact.  Instead of
-    listing sign patterns, the distribution of the flipped sum is carried: a query
-    of size d turns mass at s into halves at s and s + 2d, counted from the lowest
-    sum.  Its length is bounded by the sum of the sizes, not by the patterns.
+    Deltas are taken as integers of 1/scale so that equality is exact, and counted
+    by size; what reaches the driver is a row for each size, at most ``scale`` rows
+    for deltas up to 1.  The flipped sum is a sum of independent steps on a lattice,
+    so its tail is a finite Fourier sum with a product of cosines for each
+    frequency.  Frequencies are dealt out over tasks; each holds the sizes only.
+    With few queries the result is a count over 2^n patterns, and is taken to the
+    nearest one.
     """
-    def test(batches):
-        parts = [b.column("d").to_numpy() for b in batches]
-        d = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        mass = np.ones(1)
-        for size in np.sort(np.abs(d)):
-            wider = np.zeros(len(mass) + int(size))
-            wider[:len(mass)] += mass / 2
-            wider[int(size):] += mass / 2
-            mass = wider
-        # Place i stands for the sum 2 i - total; the observed sum has such a place.
-        at = int((d.sum() + np.abs(d).sum()) // 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([len(d)]), pa.array([float(mass[at:].sum())]), pa.array([0.5 ** len(d)])], ["n", "p", "least"])
-
+    spark = deltas.sparkSession
     units = deltas.select(F.rint(F.col(delta) * scale).cast("bigint").alias("d")).where("d is not null")
-    # One integer per query.
-    out = units.repartition(1).mapInArrow(test, "n long, p double, least double")
+    rows = units.groupBy(F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("sum")).collect()
+    rows = sorted(rows, key=lambda r: -r["size"])
+    queries, observed = sum(r["n"] for r in rows), sum(r["sum"] for r in rows)
+    sizes = np.array([r["size"] for r in rows if r["size"]], np.int64)
+    times = np.array([r["n"] for r in rows if r["size"]], np.int64)
+    total = int((sizes * times).sum())
+    at = (observed + total) // 2
+    p = (total - at + 1) / (total + 1)
+    if total:
+        half = total // 2 + 1
+        sums = spark.range(1, half).mapInArrow(_flip_sums(sizes, times, at), "tail double").agg(F.sum("tail")).first()[0] or 0.0
+        # Frequencies k and M - k are conjugate; the middle one of an even M stands alone.
+        middle = 0.0
+        if total % 2:
+            middle = sum(b.column("tail")[0].as_py() for b in _flip_sums(sizes, times, at)(iter(
+                [pa.RecordBatch.from_arrays([pa.array([half], pa.int64())], ["id"])])))
+        p += (2 * sums + middle) / (total + 1)
+    if queries <= 45:
+        p = np.rint(p * 2.0 ** queries) / 2.0 ** queries
+    out = spark.range(1).select(F.lit(queries).cast("bigint").alias("n"), F.lit(float(min(1.0, max(0.0, p)))).alias("p"),
+                                F.lit(0.5 ** queries).alias("least"))
     return out.select(F.col("n").alias("n_queries"), round_exact(F.col("p"), 4).alias("p_one_sided"),
                       round_exact(F.col("least"), 4).alias("minimum_p"))
 

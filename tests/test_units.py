@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +251,44 @@ def test_sign_flip_of_many_queries(spark):
     assert row["p_one_sided"] == round(sum(s >= sum(units) for s in sums) / len(sums), 4)
     many = spark.createDataFrame([(0.01,)] * 40, "delta double")
     assert tuple(ev.sign_flip(many, "delta").first()) == (40, 0.0, 0.0)
+    assert tuple(ev.sign_flip(many.limit(0), "delta").first()) == (0, 1.0, 1.0)
+    assert tuple(ev.sign_flip(spark.createDataFrame([(0.0,), (None,), (0.0,)], "delta double"), "delta").first()) == (2, 1.0, 0.25)
+    assert tuple(ev.sign_flip(spark.createDataFrame([(0.5,)] * 5, "delta double"), "delta").first()) == (5, 0.0312, 0.0312)
+
+
+@pytest.mark.parametrize("n,scale", [(3, 7), (60, 1000), (3000, 400)])
+def test_sign_flip_equals_the_whole_distribution(spark, n, scale):
+    rng = random.Random(n)
+    deltas = [round(rng.gauss(0.5 / n, 0.3) * scale) for _ in range(n)]
+    mass = np.ones(1)
+    for size in sorted(map(abs, deltas)):
+        wider = np.zeros(len(mass) + size)
+        wider[:len(mass)] += mass / 2
+        wider[size:] += mass / 2
+        mass = wider
+    want = mass[(sum(deltas) + sum(map(abs, deltas))) // 2:].sum()
+    row = ev.sign_flip(spark.createDataFrame([(d / scale,) for d in deltas], "delta double"), "delta", scale).first()
+    assert row["n_queries"] == n and abs(row["p_one_sided"] - want) < 5.1e-5
+    assert 0.01 < want < 0.99
+
+
+def test_folding_texts_at_once_equals_one_by_one():
+    import unicodedata
+
+    from matchloom.functions import text as tx
+
+    def one(text):
+        text = re.sub("[\u200b-\u200f\u2060\ufeff\ufe00-\ufe0f\U0001f3fb-\U0001f3ff\U0001f1e6-\U0001f1ff]", "", unicodedata.normalize("NFKC", text))
+        text = "".join(ch for ch in text if unicodedata.category(ch) != "So")
+        return " ".join(text.split()).casefold()
+
+    rng = random.Random(8)
+    pool = ["a", "Z", " ", "\t", "\n", "\x1c", "\x85", "\u3000", "\u0301", "\u0323", "e", "\ufb01", "\u2460", "\U0001f680", "\u200d",
+            "\u1100", "\u1161", "\u11a8", "\xdf", "\u03c2", "\u0130", "\xa0", "\U0010ffff", "\ufdd0", "\x00", "\u212b", "\uff21", "\u2122"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 12))) for _ in range(3000)] + [""]
+    assert tx.fold_texts(texts) == [one(t) for t in texts]
+    every = "".join(tx._DIVIDERS)
+    assert tx.fold_texts([every + " A", " b "]) == [one(every + " A"), "b"] and tx.fold_texts([]) == []
 
 
 def test_terms_in_a_word_of_any_length(spark):
