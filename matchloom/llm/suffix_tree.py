@@ -12,7 +12,7 @@ of the corpus, so the tree grows with it and is a set of tables: ``levels`` coun
 the runs and decides on the contexts, ``weights`` has what a run adds to the score
 of a text in which it stands, and each document's own runs meet their weights in a
 join.  Only a bounded part is broadcast, to save rows: frequent words (at most
-1 / HEAD), the weights of frequent runs (at most 1 / HOT a level) and sketches of
+1 / HEAD), the weights of the ``HELD_RUNS`` most frequent runs and sketches of
 ``SKETCH`` bits, which let through all runs of a table and some others.
 
 Runs are known by keys of 64 bits.
@@ -21,19 +21,22 @@ Runs are known by keys of 64 bits.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import remainder
 from matchloom.session import materialised
 
-#: Least probability of a word in the broadcast vocabulary, and of a run whose weight is broadcast; no result depends on them.
+#: Least probability of a word in the broadcast vocabulary, and the number of runs whose weights are broadcast at most
+#: (16 bytes each, the most frequent ones); no result depends on them.
 HEAD = 2e-6
-HOT = 2e-6
+HELD_RUNS = 2_000_000
 #: Least count of a word or a run of words in the tree.
 LEAST = 4
 #: Longest context in words.
@@ -391,7 +394,7 @@ def levels(coded: DataFrame, counts: DataFrame, ends: int, known: Vocabulary, sh
 
         arcs = coded.where("train").select("ids", "rare").mapInArrow(count, "context long, suffix long, n long").groupBy(
             "context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-        arcs = materialised(arcs.mapInArrow(name, "context long, suffix long, n long, key long"), "arcs")
+        arcs = arcs.mapInArrow(name, "context long, suffix long, n long, key long")
         arcs = arcs.join(last.select(F.col("key").alias("context"), F.col("n").alias("above")), "context").join(
             last.select(F.col("key").alias("suffix"), F.col("log").alias("parent")), "suffix")
         own = (F.col("n") - DISCOUNT) / F.col("above")
@@ -414,6 +417,33 @@ def levels(coded: DataFrame, counts: DataFrame, ends: int, known: Vocabulary, sh
     return materialised(every.groupBy("key").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")), "weights")
 
 
+#: Spark deletes the shuffle files of an execution when it ends; every table here is written before it is read again.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
+def most_frequent(weights: DataFrame, most: int) -> tuple[Column, bool]:
+    """A condition that at most ``most`` runs meet, the most frequent ones, and whether all do."""
+    level = F.floor(F.log2("n") * 64)
+    sizes = sorted(((r["level"], r["count"]) for r in weights.groupBy(level.alias("level")).count().collect()), reverse=True)
+    cut, held = None, 0
+    for step, count in sizes:
+        if held + count > most:
+            break
+        cut, held = step, held + count
+    every = len(sizes) == 0 or cut == sizes[-1][0]
+    return (F.lit(False) if cut is None else level >= cut), every
+
+
 def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
@@ -421,6 +451,11 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     id are never learned from.  A null text is an empty one: only its end is
     scored.  Without any training document all scores are 0.
     """
+    with _cleaned(docs.sparkSession):
+        return _score(docs, modulus, held)
+
+
+def _score(docs: DataFrame, modulus: int, held: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(remainder("doc_id", modulus) != held, F.lit(False)).alias("train"),
                        F.coalesce("text", F.lit("")).alias("text"))
@@ -431,8 +466,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     coded = materialised(encode(rows, shared), "coded")
     weights = levels(coded, counts, ends, known, shared)
     bits = spark.sparkContext.broadcast(sketch(weights))
-    is_hot = F.col("n") >= max(LEAST, int(np.ceil(HOT * known.total)))
-    # At most 1 / HOT runs of each length reach this count.
+    is_hot, every = most_frequent(weights, HELD_RUNS)
     table = weights.where(is_hot).select("key", "weight").toPandas()
     order = np.argsort(table["key"].to_numpy(np.int64).view(np.uint64))
     hot = spark.sparkContext.broadcast((table["key"].to_numpy(np.int64).view(np.uint64)[order], table["weight"].to_numpy(float)[order]))
@@ -457,9 +491,12 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
                         here = hot_keys[slot] == keys[at]
                         own[at[here]] += hot_weights[slot[here]]
                         at = at[~here]
+                    if every:
+                        continue
                     places.append(np.searchsorted(begin, at, "right") - 1)
                     others.append(keys[at])
-                place, other = np.concatenate(places), np.concatenate(others)
+                place = np.concatenate([np.zeros(0, np.int64), *places])
+                other = np.concatenate([np.zeros(0, np.uint64), *others])
                 sort = np.lexsort((other, place))
                 place, other = place[sort], other[sort]
                 first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (other[1:] != other[:-1])])[:len(place)])

@@ -329,8 +329,8 @@ def test_suffix_tree_keeps_its_contexts_in_a_large_corpus(spark, monkeypatch, he
     assert out[held].base_score < -100
 
 
-@pytest.mark.parametrize("head, hot", [(2e-6, 1e-5), (0.02, 1e-5), (2e-6, 0.01), (0.02, 0.5)])
-def test_suffix_tree_tables_equal_the_tree_in_memory(spark, monkeypatch, head, hot):
+@pytest.mark.parametrize("head, held_runs", [(2e-6, 2_000_000), (0.02, 2_000_000), (2e-6, 60), (0.02, 0)])
+def test_suffix_tree_tables_equal_the_tree_in_memory(spark, monkeypatch, head, held_runs):
     from pyspark.sql import functions as F
     rows = corpus(900)
     learn = docs(spark, rows).select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 7 != 2).alias("train"), "text")
@@ -344,6 +344,6 @@ def test_suffix_tree_tables_equal_the_tree_in_memory(spark, monkeypatch, head, h
         want[i] = tree.score(seq).sum() + sum(float(known.root(count[w])) for w, s in zip(text, seq) if s < 0)
     assert sum(k.sum() for k in tree.kept) > 10
     monkeypatch.setattr(suffix_tree, "HEAD", head)
-    monkeypatch.setattr(suffix_tree, "HOT", hot)
+    monkeypatch.setattr(suffix_tree, "HELD_RUNS", held_runs)
     for r in suffix_tree.score(docs(spark, rows)).collect():
         assert r.score == pytest.approx(want[r.doc_id], rel=1e-9)
