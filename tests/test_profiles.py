@@ -387,19 +387,50 @@ def test_terms_and_classes_have_no_cap(spark):
     assert found == {1: "c0000", 2: "c2500", 3: None}
 
 
-def test_store_rewrites_touched_buckets_only(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "s"), buckets=8)
+def data_rows(store, table, version):
+    """Rows that the files of one version hold."""
+    run = next(r for r in store._runs(table) if r["version"] == version)
+    return store.spark.read.parquet(store._path(run)).count()
+
+
+def test_store_writes_what_is_fresh_and_merges_in_tiers(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), fan=3)
     rows = spark.createDataFrame([(i, f"v{i}", 1) for i in range(40)], "k bigint, v string, t bigint")
     store.upsert(rows, "t", ["k"], ["t"], "r1", "x")
-    later = rows.where("k = 7").withColumns({"v": F.lit("new"), "t": F.lit(2).cast("bigint")})
-    store.upsert(later, "t", ["k"], ["t"], "r2", "x", "d")
-    second = store.ledger().where("version = 2").first()
-    assert second["kind"] == "rewrite" and len(second["buckets"].split(",")) == 1 and second["digests"] == "d"
+    later = rows.where("k in (7, 9)").withColumns({"v": F.lit("new"), "t": F.lit(2).cast("bigint")})
+    version = store.upsert(later, "t", ["k"], ["t"], "r2", "x", "d")
+    second = store.ledger().where(F.col("version") == version).first()
+    assert (second["kind"], second["digests"], data_rows(store, "t", version)) == ("upsert", "d", 2)
+    got = {r["k"]: r["v"] for r in store.read("t").collect()}
+    assert len(got) == 40 and got[7] == got[9] == "new" and got[8] == "v8"
+    # An older row loses, an equally new one wins; the third run makes a merge fall due.
+    store.upsert(spark.createDataFrame([(7, "old", 0), (8, "same", 1)], rows.schema), "t", ["k"], ["t"], "r3", "x")
+    assert [(r["tier"], r["replaces"]) for r in store.live("t")] == [(1, "1,2,3")]
     got = {r["k"]: r["v"] for r in store.read("t").collect()}
-    assert len(got) == 40 and got[7] == "new" and got[8] == "v8"
-    for run in ("r3", "r4"):
+    assert (got[7], got[8], len(got)) == ("new", "same", 40)
+    # Snapshots before the merge stay exact.
+    assert {r["k"]: r["v"] for r in store.read("t", 1).collect()}[7] == "v7"
+    assert {r["k"]: r["v"] for r in store.read("t", 2).collect()}[8] == "v8"
+    for run in ("r5", "r6"):
         store.append(rows.where("k < 10").withColumn("k", F.col("k") + 35), "t", "k", ["t"], run, "x")
-    assert store.read("t").count() == 45 and store.ledger().where("version = 4").first()["buckets"] == ""
-    store.compact("t", ["k"], "r5", "x")
-    assert store.read("t").count() == 45 and len(store.paths("t")) <= 8
+    assert store.read("t").count() == 45 and [data_rows(store, "t", v) for v in (5, 6)] == [5, 0]
+    assert store.read("t").where("k = 7").first()["v"] == "new" and store.read("t").columns == ["k", "v", "t"]
+    store.compact("t", ["k"], "r7", "x")
+    assert store.read("t").count() == 45 and len(store.paths("t")) == 1
+    assert store.vacuum("t") == 6 and store.read("t").count() == 45
     assert store.read("none") is None and store.compact("none", ["k"], "r", "x") is None
+
+
+def test_store_rewrites_a_row_once_a_tier(spark, tmp_path):
+    """Equal to a dictionary after many spread-out upserts, with rows written in proportion to rows given."""
+    rng = random.Random(4)
+    store, want, given = Store(spark, str(tmp_path / "s"), fan=3), {}, 0
+    for n in range(9):
+        rows = [(rng.randrange(60), f"{n}-{i}", n) for i in range(20)]
+        rows = list({k: (k, v, t) for k, v, t in rows}.values())
+        want |= {k: v for k, v, _ in rows}
+        given += len(rows)
+        store.upsert(spark.createDataFrame(rows, "k bigint, v string, t bigint"), "t", ["k"], ["t"], f"r{n}", "x")
+    assert {r["k"]: r["v"] for r in store.read("t").collect()} == want
+    written = sum(data_rows(store, "t", r["version"]) for r in store._runs("t"))
+    assert written <= 3 * given and [r["tier"] for r in store.live("t")] == [2]
