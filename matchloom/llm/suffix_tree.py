@@ -36,7 +36,7 @@ from matchloom.session import materialised
 #: Least probability of a word in the broadcast vocabulary, and the number of runs whose weights are broadcast at most
 #: (16 bytes each, the most frequent ones); no result depends on them.
 HEAD = 2e-6
-HELD_RUNS = 2_000_000
+HELD_RUNS = 500_000
 #: Least count of a word or a run of words in the tree.
 LEAST = 4
 #: Longest context in words.
@@ -467,9 +467,11 @@ def _score(docs: DataFrame, modulus: int, held: int) -> DataFrame:
     weights = levels(coded, counts, ends, known, shared)
     bits = spark.sparkContext.broadcast(sketch(weights))
     is_hot, every = most_frequent(weights, HELD_RUNS)
-    table = weights.where(is_hot).select("key", "weight").toPandas()
-    order = np.argsort(table["key"].to_numpy(np.int64).view(np.uint64))
-    hot = spark.sparkContext.broadcast((table["key"].to_numpy(np.int64).view(np.uint64)[order], table["weight"].to_numpy(float)[order]))
+    table = weights.where(is_hot).select("key", "weight").toArrow()
+    hot_keys = table.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(hot_keys)
+    hot = spark.sparkContext.broadcast((hot_keys[order], table.column("weight").to_numpy()[order]))
+    del table, hot_keys
     kind = coded.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
