@@ -119,29 +119,71 @@ def portable_draw(seed: int, parts: list[Column], n: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("bigint") % n
 
 
+#: Places of an order that a resample is read to, and the items of an order that stand ready for them at first.
+PLACES = 10
+HEADS = 64
+#: Items that are broadcast to the draws up to this number.
+HELD_ITEMS = 200_000
+
+
+def _drawn_heads(items: DataFrame, slots: DataFrame, resamples: int, seed: int, query: str, heads: int) -> DataFrame:
+    """How often each draw takes each of the first ``heads`` items of any order.
+
+    Columns: query, draw, pos_a, pos_b, rel, in_a, in_b, in_i, times.  Draws of other items go no further than
+    the task that makes them.
+    """
+    best = items
+    for name, order in (("in_a", F.col("pos_a")), ("in_b", F.col("pos_b")), ("in_i", F.desc("rel"))):
+        best = best.join(top_k(items.select(query, "_no", "pos_a", "pos_b", "rel"), [query], [order, F.col("_no")], heads, name)
+                         .select(query, "_no", name), [query, "_no"], "left")
+    best = materialised(best.where(F.coalesce("in_a", "in_b", "in_i").isNotNull()), "bootstrap-heads")
+    # The few items are dealt out before they are multiplied by the draws.
+    draws = slots.repartition(query, "slot").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    draws = draws.withColumn("_no", portable_draw(seed, [F.col("draw"), F.col(query), F.col("slot")], F.col("_n")))
+    met = draws.select(query, "draw", "_no").join(
+        best.hint("broadcast" if best.count() <= HELD_ITEMS else "merge"), [query, "_no"])
+    flags = [F.col(c).isNotNull().alias(c) for c in ("in_a", "in_b", "in_i")]
+    return met.select(query, "draw", "_no", "pos_a", "pos_b", "rel", *flags).groupBy(
+        query, "draw", "_no", "pos_a", "pos_b", "rel", "in_a", "in_b", "in_i").agg(F.count(F.lit(1)).alias("times"))
+
+
 def bootstrap_deltas(paired: DataFrame, resamples: int, order: list[Column],
-                     seed: int = fv.BOOTSTRAP_SEED, query: str = "query") -> DataFrame:
+                     seed: int = fv.BOOTSTRAP_SEED, query: str = "query", heads: int = HEADS) -> DataFrame:
     """(draw, delta): mean over queries of NDCG@10(b) - NDCG@10(a) on resampled items.
 
-    Draws stay within a query.  Items are numbered and written once; each draw is
-    an equi-join on that number, and one shuffle by (query, draw) serves all three orders.
+    Draws stay within a query.  Only the first ten places of a resample count, and
+    they are nearly always filled by the first few dozen items of an order, so
+    draws of other items are left out where they are made and what is shuffled
+    follows queries x resamples.  Whether every resample has its ten places is
+    checked; if one has not, more items are taken, up to all of them.
     """
     items = ranked(paired, [query], order, "_no").withColumn("_no", F.col("_no") - 1)
     items = materialised(items.select(query, "_no", "rel", "pos_a", "pos_b"), "bootstrap-items")
     sizes = items.groupBy(query).agg(F.count(F.lit(1)).alias("_n"))
+    facts = sizes.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.max("_n"), F.lit(0)).alias("most")).first()
     slots = items.select(query, F.col("_no").alias("slot")).join(sizes, query)
-    # The few items are dealt out before they are multiplied by the draws.
-    spread = slots.repartition(query, "slot")
-    draws = spread.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.withColumn("_no", portable_draw(
-        seed, [F.col("draw"), F.col(query), F.col("slot")], F.col("_n")))
-    sample = draws.select(query, "draw", "_no").join(items, [query, "_no"])
     key = [query, "draw"]
+    while True:
+        drawn = materialised(_drawn_heads(items, slots, resamples, seed, query, heads), "bootstrap-draws")
+        if heads >= facts["most"]:
+            break
+        filled = drawn.groupBy(*key).agg(*[F.sum(F.when(F.col(c), F.col("times")).otherwise(0)).alias(c)
+                                           for c in ("in_a", "in_b", "in_i")]).join(sizes, query)
+        whole = filled.where(F.least("in_a", "in_b", "in_i") >= F.least(F.lit(PLACES), F.col("_n"))).count()
+        if whole == facts["queries"] * resamples:
+            break
+        heads *= 4
     by = Window.partitionBy(*key)
-    places = {"_a": by.orderBy("pos_a"), "_b": by.orderBy("pos_b"), "_i": by.orderBy(F.desc("rel"))}
-    placed = sample.withColumns({n: F.row_number().over(w) for n, w in places.items()})
-    both = placed.where(F.least(*places) <= 10).groupBy(*key).agg(
-        *[dcg(F.col("rel"), F.col(n), 10).alias(f"dcg{n}") for n in places])
+    parts = []
+    for name, mine, at in (("a", "in_a", F.col("pos_a")), ("b", "in_b", F.col("pos_b")), ("i", "in_i", F.desc("rel"))):
+        rows = drawn.where(mine)
+        # At most 3 x heads items per draw.
+        upto = F.sum("times").over(by.orderBy(at, "_no").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("_upto", upto).where(F.col("_upto") - F.col("times") < PLACES)
+        places = F.explode(F.sequence(F.col("_upto") - F.col("times") + 1, F.least(F.lit(PLACES), F.col("_upto"))))
+        rows = rows.select(*key, "rel", places.alias("_place"))
+        parts.append(rows.groupBy(*key).agg(dcg(F.col("rel"), F.col("_place"), PLACES).alias(f"dcg_{name}")))
+    both = parts[0].join(parts[1], key).join(parts[2], key)
     delta = F.when(F.col("dcg_i") == 0, 0.0).otherwise(
         F.col("dcg_b") / F.col("dcg_i") - F.col("dcg_a") / F.col("dcg_i"))
     # Rounded per query so that the mean does not depend on the order of addition.

@@ -234,6 +234,35 @@ def test_sign_flip_by_hand(spark):
     assert (row["n_queries"], row["p_one_sided"], row["minimum_p"]) == (4, 0.125, 0.0625)
 
 
+@pytest.mark.parametrize("heads", [3, 20, 64])
+def test_resampled_deltas_against_whole_resamples(spark, heads):
+    """Few heads leave places unfilled at first, so more are taken; small queries are read whole."""
+    import hashlib
+    import math
+    rng = random.Random(heads)
+    rows = []
+    for query, n in (("big", 150), ("small", 6), ("one", 1)):
+        a, b = rng.sample(range(1, n + 1), n), rng.sample(range(1, n + 1), n)
+        rows += [(query, i, rng.choice([0, 0, 1, 2, 3]), a[i], b[i]) for i in range(n)]
+    seed, resamples = 11, 12
+
+    def dcg(rels):
+        return sum((2 ** r - 1) / math.log2(p + 2) for p, r in enumerate(rels[:10]))
+
+    want = []
+    for draw in range(resamples):
+        total = 0
+        for query in ("big", "small", "one"):
+            mine = [r for r in rows if r[0] == query]
+            taken = [mine[int(hashlib.md5(f"{seed}|{draw}|{query}|{s}".encode()).hexdigest()[:7], 16) % len(mine)] for s in range(len(mine))]
+            a, b, best = ([r[2] for r in sorted(taken, key=k)] for k in (lambda r: r[3], lambda r: r[4], lambda r: -r[2]))
+            total += round((dcg(b) / dcg(best) - dcg(a) / dcg(best)) * 1e9) if dcg(best) else 0
+        want.append(total / 3 / 1e9)
+    df = spark.createDataFrame(rows, "query string, item int, rel int, pos_a int, pos_b int")
+    got = {r["draw"]: r["delta"] for r in ev.bootstrap_deltas(df, resamples, [F.col("item")], seed, heads=heads).collect()}
+    assert len(got) == resamples and all(abs(got[d] - w) < 2e-9 for d, w in enumerate(want))
+
+
 def test_vocabularies_are_consistent():
     patterns = [p for items in vocab.TITLE_PATTERNS.values() for p in items]
     assert len(patterns) == len(set(patterns))
