@@ -9,7 +9,6 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,12 +73,13 @@ def _folded(text: str, gone: re.Pattern, blank: re.Pattern) -> str:
 @lru_cache(maxsize=1)
 def _fold_unicode():
     """Arrow UDF for text with compatibility characters."""
-    def run(texts: pa.Array) -> pa.Array:
-        known = texts.drop_null().to_pylist()
-        folded = iter(fold_texts(known))
-        return pa.array([next(folded) if valid else None for valid in texts.is_valid().to_pylist()], pa.string())
+    def run(texts: pd.Series) -> pd.Series:
+        known = texts.notna()
+        out = texts.astype(object)
+        out[known] = fold_texts(texts[known].tolist())
+        return out
 
-    return F.arrow_udf(run, T.StringType())
+    return F.pandas_udf(run, T.StringType())
 
 
 @lru_cache(maxsize=1)

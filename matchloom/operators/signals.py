@@ -125,9 +125,12 @@ def classified_entries(entries: DataFrame, as_of: Column, rules: Rules,
 
 def weighted_entries(entries: DataFrame, as_of: Column, rules: Rules,
                      fallbacks: list[Column] | None = None) -> DataFrame:
-    """Classified entries with attributed months and their class contribution."""
+    """Classified entries with attributed months and their class contribution.
+
+    ``months_covered``, the months of the union of an entity's spells, stands at one of its entries.
+    """
     known = classified_entries(entries, as_of, rules, fallbacks)
-    months = sp.attributed_months(known)
+    months = sp.attributed_months(known, covered=True)
     joined = known.join(months, ["id", "ix"], "left")
     score = (F.col("attributed").cast("double") * dt.decay(F.col("age"), rules.half_life)
              * F.col("cls.confidence"))
@@ -152,6 +155,7 @@ def entity_features(weighted: DataFrame, as_of: Column, rules: Rules) -> DataFra
         *[c.alias(n) for n, c in sp.tenure_columns(as_of).items()],
         F.count(F.lit(1)).alias("n_entries"),
         F.coalesce(F.sum(F.when(usable, F.col("months"))), F.lit(0)).alias("n_months"),
+        F.max("months_covered").alias("months_covered"),
         F.coalesce(F.max(F.when(is_open, F.col("months"))), F.lit(0)).alias("current_months"),
         F.min_by(F.struct("role", "company_name", "job_type"), F.when(is_open, F.col("ix")))
         .alias("_current"),
@@ -219,14 +223,13 @@ def extract(
     if weighted is None:
         weighted = weighted_entries(entries, as_of, rules, fallbacks)
     feats = entity_features(weighted, as_of, rules)
-    union = sp.interval_union(weighted).select("id", "months_covered")
     declared = sk.declared_skills(people, aliases=rules.aliases)
     found = sk.evidence(weighted, declared, education, aliases=rules.aliases,
                         half_life=rules.half_life)
     profile = sk.skill_profile(declared, found)
     base = (
         people.select("id", "headline", "about", "is_open", "location")
-        .join(feats, "id", "left").join(union, "id", "left").join(profile, "id", "left")
+        .join(feats, "id", "left").join(profile, "id", "left")
     )
     return signal_columns(base, rules)
 

@@ -110,8 +110,11 @@ def _sums_before(first: np.ndarray, size: np.ndarray, height: np.ndarray, weigh:
 
 
 def _swept(entity: np.ndarray, start: np.ndarray, turn: np.ndarray, months: np.ndarray, count: np.ndarray,
-           end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, months kept) of the longest spell of each start day.
+           end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, months kept, months covered) of the longest spell of each start day.
+
+    The months that the union of an entity's spells covers stand at its first
+    item; other items have -1.
 
     Items are (entity, start day, months) with ``count`` spells, in order of entity
     and start, the one with the latest ``end`` first.  A later spell takes the
@@ -155,16 +158,30 @@ def _swept(entity: np.ndarray, start: np.ndarray, turn: np.ndarray, months: np.n
         between[only] = running[started[only]] - running[later[only]] - closed[only]
         open_.append(between)
     lost = done[0] + until * open_[1] - open_[2] - sum(open_[3:])
-    return asked, np.maximum(0, months[asked] - lost)
+    # An island begins where no earlier spell of the entity reaches; spells of a day end with the longest.
+    reach = np.maximum.accumulate(first[asked] * span + end[asked] - shift)
+    new_island = np.ones(len(asked), bool)
+    new_island[1:] = first[asked][1:] * span + start[asked][1:] - shift > reach[:-1]
+    begins = np.flatnonzero(new_island)
+    ends = reach[np.append(begins[1:], len(asked)) - 1] % span + shift
+    (from_month, from_dom), (to_month, to_dom) = calendar(start[asked[begins]]), calendar(ends)
+    lengths = np.maximum(0, to_month - from_month - (to_dom < from_dom))
+    heads_asked = np.flatnonzero(new[asked])
+    covered = np.full(len(asked), -1, np.int64)
+    covered[heads_asked] = np.add.reduceat(lengths, np.searchsorted(begins, heads_asked))
+    return asked, np.maximum(0, months[asked] - lost), covered
 
 
 #: Items that are swept together; a larger entity is swept alone, bounded by the calendar.
 _SWEEP = 1 << 15
 
 
-def attributed_months(spans: DataFrame, by: str = "id", ix: str = "ix") -> DataFrame:
+def attributed_months(spans: DataFrame, by: str = "id", ix: str = "ix", covered: bool = False) -> DataFrame:
     """(entity, entry, attributed): overlaps belong to the later-starting span.
 
+    With ``covered`` one entry of each entity also has ``months_covered``, the
+    months of :func:`interval_union`, for they fall out of the same sweep.
+
     The sum of pairwise overlaps with later spans is taken off, floored at 0;
     where two later spans overlap each other that part is taken off twice.  Of
     spans that start on one day only the longest (the first of those) keeps months.
@@ -181,14 +198,16 @@ def attributed_months(spans: DataFrame, by: str = "id", ix: str = "ix") -> DataF
         F.unix_date(dt.month_turn(F.col("start_on"), F.col("months"))).cast("bigint").alias("turn"),
         F.col("months").cast("bigint").alias("months"), "n", (-F.col("b.ne")).cast("bigint").alias("end"), F.col("b.ix").alias("ix"))
     rows = rows.repartition("by").sortWithinPartitions("by", "start", F.desc("end"), "ix")
-    schema = rows.select(F.col("by").alias("_by"), F.col("ix").alias("_ix"), F.col("months").alias("attributed")).schema
+    schema = rows.select(F.col("by").alias("_by"), F.col("ix").alias("_ix"), F.col("months").alias("attributed")).schema.add(
+        "_covered", "long", True)
 
     def sweep(table: pa.Table, entity: np.ndarray) -> pa.RecordBatch:
         columns = [table.column(c).to_numpy() for c in ("start", "turn", "months", "n", "end")]
-        at, kept = _swept(entity, *columns)
+        at, kept, union = _swept(entity, *columns)
         at = pa.array(at)
         return pa.RecordBatch.from_arrays([table.column("by").take(at).combine_chunks(),
-                                           table.column("ix").take(at).combine_chunks(), pa.array(kept)], schema.names)
+                                           table.column("ix").take(at).combine_chunks(), pa.array(kept),
+                                           pa.array(union, mask=union < 0)], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -212,7 +231,8 @@ def attributed_months(spans: DataFrame, by: str = "id", ix: str = "ix") -> DataF
     kept = rows.mapInArrow(run, schema)
     return spans.where(F.col("start_on").isNotNull()).select(by, ix).join(
         kept, F.col(by).eqNullSafe(F.col("_by")) & F.col(ix).eqNullSafe(F.col("_ix")), "left").select(
-        by, ix, F.coalesce("attributed", F.lit(0)).cast("bigint").alias("attributed"))
+        by, ix, F.coalesce("attributed", F.lit(0)).cast("bigint").alias("attributed"),
+        *([F.col("_covered").alias("months_covered")] if covered else []))
 
 
 def _runs(column: pa.ChunkedArray) -> np.ndarray:

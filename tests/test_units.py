@@ -147,6 +147,9 @@ def test_attribution_over_batches_with_hot_and_small_entities(spark, monkeypatch
             "months", dates.whole_months(F.col("start_on"), F.col("end_on")))
         got = {(r["id"], r["ix"]): r["attributed"] for r in sp.attributed_months(df).collect()}
         assert got == brute_attribution(rows)
+        both = sp.attributed_months(df, covered=True).groupBy("id").agg(F.count("months_covered").alias("n"), F.max("months_covered").alias("m"))
+        union = {r["id"]: r["months_covered"] for r in sp.interval_union(df).collect()}
+        assert {r["id"]: (r["n"], r["m"]) for r in both.collect()} == {k: (1, m) for k, m in union.items()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sp.attributed_months(df.limit(0)).count() == 0
