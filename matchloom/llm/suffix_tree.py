@@ -352,6 +352,14 @@ def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _discard(tables: list[DataFrame]) -> None:
+    """Deletes the folders of written tables that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def levels(coded: DataFrame, counts: DataFrame, ends: int, known: Vocabulary, shared, order: int = ORDER) -> DataFrame:
     """``key, n, weight``: what each run in a text adds to the text's score, for the runs that add anything.
 
@@ -365,7 +373,7 @@ def levels(coded: DataFrame, counts: DataFrame, ends: int, known: Vocabulary, sh
     last = counts.select(F.xxhash64("word").alias("key"), "n").unionByName(
         spark.createDataFrame([(ends,)], "n long").select(F.xxhash64(F.lit("")).alias("key"), "n"))
     last = materialised(last.where(F.col("n") >= LEAST).withColumn("log", root), "runs")
-    sketches, found = [], []
+    sketches, found, done = [], [], [last]
     price = 0.5 * float(np.log(max(2, known.total)))
     for _ in range(order):
         sketches.append(spark.sparkContext.broadcast(sketch(last)))
@@ -409,12 +417,16 @@ def levels(coded: DataFrame, counts: DataFrame, ends: int, known: Vocabulary, sh
         log = F.when(F.col("left_share").isNotNull(), F.log10("own")).otherwise(F.col("parent"))
         last = materialised(arcs.join(states.drop("above"), "context", "left").select(
             "key", "n", log.alias("log"), (log - F.col("parent") - F.col("left_share")).alias("weight")), "runs")
+        _discard([arcs])
+        done += [states, last]
         found += [states.select(F.col("context").alias("key"), F.col("above").alias("n"), F.col("left_share").alias("weight")),
                   last.where("weight is not null").select("key", "n", "weight")]
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return materialised(every.groupBy("key").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")), "weights")
+    weights = materialised(every.groupBy("key").agg(F.max("n").alias("n"), F.sum("weight").alias("weight")), "weights")
+    _discard(done)
+    return weights
 
 
 #: Spark deletes the shuffle files of an execution when it ends; every table here is written before it is read again.
