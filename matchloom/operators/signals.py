@@ -155,7 +155,7 @@ def entity_features(weighted: DataFrame, as_of: Column, rules: Rules) -> DataFra
         *[c.alias(n) for n, c in sp.tenure_columns(as_of).items()],
         F.count(F.lit(1)).alias("n_entries"),
         F.coalesce(F.sum(F.when(usable, F.col("months"))), F.lit(0)).alias("n_months"),
-        F.max("months_covered").alias("months_covered"),
+        *([F.max("months_covered").alias("months_covered")] if "months_covered" in weighted.columns else []),
         F.coalesce(F.max(F.when(is_open, F.col("months"))), F.lit(0)).alias("current_months"),
         F.min_by(F.struct("role", "company_name", "job_type"), F.when(is_open, F.col("ix")))
         .alias("_current"),
