@@ -39,8 +39,11 @@ _DIVIDERS = [chr(c) for c in (0x10FFFF, 0x10FFFE, 0xFFFFF, 0xFFFFE, *range(0xFDD
 
 
 @lru_cache(maxsize=1)
-def _patterns() -> tuple[re.Pattern, re.Pattern]:
-    """Runs of what is taken out (symbols and marks of pictographs), and of white space."""
+def _patterns() -> tuple[str, str]:
+    """Expressions for runs of what is taken out (symbols and marks of pictographs), and of white space.
+
+    They are made from all code points, so the driver makes them once and functions carry them.
+    """
     def runs(has) -> str:
         codes = [c for c in range(sys.maxunicode + 1) if has(chr(c))]
         firsts = [c for k, c in enumerate(codes) if k == 0 or codes[k - 1] != c - 1]
@@ -48,20 +51,20 @@ def _patterns() -> tuple[re.Pattern, re.Pattern]:
         return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(firsts, lasts))
 
     marks = "\u200b-\u200f\u2060\ufeff\ufe00-\ufe0f\U0001f3fb-\U0001f3ff\U0001f1e6-\U0001f1ff"
-    return re.compile(f"[{marks}{runs(lambda c: unicodedata.category(c) == 'So')}]+"), re.compile(f"[{runs(str.isspace)}]+")
+    return f"[{marks}{runs(lambda c: unicodedata.category(c) == 'So')}]+", f"[{runs(str.isspace)}]+"
 
 
-def fold_texts(texts: list[str]) -> list[str]:
+def fold_texts(texts: list[str], patterns: tuple[str, str] | None = None) -> list[str]:
     """Texts compatibility-normalised, without pictographs, single-spaced and case-folded.
 
     All texts are folded as one, with a code point between them that no text has:
     it takes part in no composition, so none reaches over it.
     """
-    gone, blank = _patterns()
+    gone, blank = map(re.compile, patterns or _patterns())
     whole = "".join(texts)
     divider = next((d for d in _DIVIDERS if d not in whole), None)
     if divider is None:
-        return [fold_texts([t])[0] for t in texts] if len(texts) > 1 else [_folded(whole, gone, blank).strip(" ")]
+        return [fold_texts([t], patterns)[0] for t in texts] if len(texts) > 1 else [_folded(whole, gone, blank).strip(" ")]
     text = _folded(divider.join(texts), gone, blank)
     return re.sub(f" ?{divider} ?", divider, text).strip(" ").split(divider) if texts else []
 
@@ -73,10 +76,12 @@ def _folded(text: str, gone: re.Pattern, blank: re.Pattern) -> str:
 @lru_cache(maxsize=1)
 def _fold_unicode():
     """Arrow UDF for text with compatibility characters."""
+    patterns = _patterns()
+
     def run(texts: pd.Series) -> pd.Series:
         known = texts.notna()
         out = texts.astype(object)
-        out[known] = fold_texts(texts[known].tolist())
+        out[known] = fold_texts(texts[known].tolist(), patterns)
         return out
 
     return F.pandas_udf(run, T.StringType())
