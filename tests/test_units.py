@@ -1,6 +1,7 @@
 """Hand-made cases for functions and operators."""
 
 import datetime as dt
+import math
 import random
 import re
 
@@ -330,3 +331,11 @@ def test_terms_in_a_word_of_any_length(spark):
     terms = spark.createDataFrame([("kafka",), ("spark",), ("",), ("bz",), ("zz",)], "term string")
     got = {r.id: sorted(r.term_hits) for r in scoring.shipped_evidence(entries, terms).collect()}
     assert got == {"p": ["kafka", "zz"], "q": ["spark"]}
+
+
+def test_decay_is_the_power_of_the_c_library(spark):
+    ages = [r.d for r in spark.range(2500).select(dates.decay(F.col("id").cast("int")).alias("d")).orderBy("id").collect()]
+    assert ages[:2400] == [math.pow(0.5, a / 36.0) for a in range(2400)]
+    # 20 months of 53 ago at 0.9, and 9 months of 17 ago: equal on paper, one unit in the last place apart as doubles.
+    assert 20.0 * ages[53] * 0.9 == 20.0 * math.pow(0.5, 53 / 36.0) * 0.9 < 9.0 * ages[17]
+    assert all(ages[k] > ages[k + 1] > 0 for k in range(2399, 2499))
