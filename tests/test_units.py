@@ -339,3 +339,19 @@ def test_decay_is_the_power_of_the_c_library(spark):
     # 20 months of 53 ago at 0.9, and 9 months of 17 ago: equal on paper, one unit in the last place apart as doubles.
     assert 20.0 * ages[53] * 0.9 == 20.0 * math.pow(0.5, 53 / 36.0) * 0.9 < 9.0 * ages[17]
     assert all(ages[k] > ages[k + 1] > 0 for k in range(2399, 2499))
+
+
+def test_pairs_of_a_few_files_are_dealt_out_and_scores_are_narrow(spark):
+    from matchloom.operators import scoring
+    from matchloom.plans import all_queries
+
+    people = spark.range(200).select("id", F.array(F.lit("a")).alias("tags")).coalesce(1)
+    jobs = spark.createDataFrame([(1, "x"), (2, "y")], "job_id int, city string")
+    made = scoring.pairs(people, jobs)
+    assert {(r.id, r.job_id, r.city) for r in made.collect()} == {(i, j, c) for i in range(200) for j, c in ((1, "x"), (2, "y"))}
+    used = made.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used >= min(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert all_queries()
+    from matchloom.plans import q_scoring
+    assert set(q_scoring.scored(spark, "/root/testdata/sf0.001").columns) == {
+        "id", "job_id", "score_breakdown", "missing_must_haves", "total", "fit_score", "confidence", "carried"}
