@@ -126,6 +126,17 @@ HEADS = 64
 HELD_ITEMS = 200_000
 
 
+def _draws(slots: DataFrame, resamples: int, seed: int, query: str) -> DataFrame:
+    """The number of the item that each draw takes at each slot.
+
+    The few items are dealt out before they are multiplied by the draws.  A number
+    of tasks is asked for, as small partitions would else be joined to one.
+    """
+    tasks = int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = slots.repartition(tasks, query, "slot").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    return draws.withColumn("_no", portable_draw(seed, [F.col("draw"), F.col(query), F.col("slot")], F.col("_n")))
+
+
 def _drawn_heads(items: DataFrame, slots: DataFrame, resamples: int, seed: int, query: str, heads: int) -> DataFrame:
     """How often each draw takes each of the first ``heads`` items of any order.
 
@@ -137,9 +148,7 @@ def _drawn_heads(items: DataFrame, slots: DataFrame, resamples: int, seed: int,
         best = best.join(top_k(items.select(query, "_no", "pos_a", "pos_b", "rel"), [query], [order, F.col("_no")], heads, name)
                          .select(query, "_no", name), [query, "_no"], "left")
     best = materialised(best.where(F.coalesce("in_a", "in_b", "in_i").isNotNull()), "bootstrap-heads")
-    # The few items are dealt out before they are multiplied by the draws.
-    draws = slots.repartition(query, "slot").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.withColumn("_no", portable_draw(seed, [F.col("draw"), F.col(query), F.col("slot")], F.col("_n")))
+    draws = _draws(slots, resamples, seed, query)
     met = draws.select(query, "draw", "_no").join(
         best.hint("broadcast" if best.count() <= HELD_ITEMS else "merge"), [query, "_no"])
     flags = [F.col(c).isNotNull().alias(c) for c in ("in_a", "in_b", "in_i")]

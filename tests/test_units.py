@@ -355,3 +355,11 @@ def test_pairs_of_a_few_files_are_dealt_out_and_scores_are_narrow(spark):
     from matchloom.plans import q_scoring
     assert set(q_scoring.scored(spark, "/root/testdata/sf0.001").columns) == {
         "id", "job_id", "score_breakdown", "missing_must_haves", "total", "fit_score", "confidence", "carried"}
+
+
+def test_draws_are_dealt_out_over_tasks(spark):
+    slots = spark.range(400).select(F.lit("q").alias("query"), F.col("id").alias("slot"), F.lit(400).alias("_n")).coalesce(1)
+    draws = ev._draws(slots, 50, 1, "query")
+    used = draws.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used >= min(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert draws.where("_no between 0 and 399").count() == 400 * 50
