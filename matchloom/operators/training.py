@@ -19,6 +19,7 @@ from matchloom import fixed_values as fv
 from matchloom.functions.numeric import round_exact
 from matchloom.operators.classify import RESULT
 from matchloom.operators.skew import ranked
+from matchloom.operators.values import per_value
 from matchloom.session import materialised
 
 # ---------------------------------------------------------------- fixed values
@@ -184,20 +185,23 @@ def coefficients(spark: SparkSession, model: TitleModel) -> DataFrame:
 
 def predict(df: DataFrame, core: str, model: TitleModel,
             minimum: float = fv.FALLBACK_MIN_PROBABILITY) -> DataFrame:
-    """Adds the fallback result: best class, or null below ``minimum``."""
-    ready = model.regression.transform(with_vectors(df, core, model.weights))
-    probs = vector_to_array("probability")
-    names = F.array(*[F.lit(c) for c in model.classes])
-    ready = ready.withColumn("_p", probs).withColumn("_top", F.array_max("_p"))
-    best = F.element_at(names, F.array_position("_p", F.col("_top")).cast("int"))
-    sure = (F.col("_top") >= minimum) & (F.col(core) != "")
-    out = F.when(sure, F.struct(
-        best.alias("family"), round_exact(F.col("_top") * fv.FALLBACK_SCALE, 3).alias("confidence"),
-        F.lit("distilled_lr").alias("source"),
-        F.concat(F.lit("lr:p="), F.format_string("%.2f", "_top")).alias("evidence"))
-    ).otherwise(F.lit(None).cast(RESULT))
-    return ready.select(*df.columns, best.alias("forced"), F.col("_top").alias("probability"),
-                        out.alias("fallback"))
+    """Adds the fallback result: best class, or null below ``minimum``; titles that repeat are read once each."""
+    def read(rows: DataFrame) -> DataFrame:
+        ready = model.regression.transform(with_vectors(rows, core, model.weights))
+        probs = vector_to_array("probability")
+        names = F.array(*[F.lit(c) for c in model.classes])
+        ready = ready.withColumn("_p", probs).withColumn("_top", F.array_max("_p"))
+        best = F.element_at(names, F.array_position("_p", F.col("_top")).cast("int"))
+        sure = (F.col("_top") >= minimum) & (F.col(core) != "")
+        out = F.when(sure, F.struct(
+            best.alias("family"), round_exact(F.col("_top") * fv.FALLBACK_SCALE, 3).alias("confidence"),
+            F.lit("distilled_lr").alias("source"),
+            F.concat(F.lit("lr:p="), F.format_string("%.2f", "_top")).alias("evidence"))
+        ).otherwise(F.lit(None).cast(RESULT))
+        return ready.select(*rows.columns, best.alias("forced"), F.col("_top").alias("probability"),
+                            out.alias("fallback"))
+
+    return per_value(df, [core], read)
 
 
 def folds(corpus: DataFrame, k: int = FOLDS, seed: int = fv.BOOTSTRAP_SEED) -> DataFrame:
