@@ -16,6 +16,7 @@ from matchloom.operators.skew import selected_values
 from matchloom.plans import demo
 from matchloom.plans.q_text import sql_title
 from matchloom.plans.registry import cte, query, shared, table
+from matchloom.session import materialised
 from matchloom.plans.sqltext import any_phrase, boundary, joined, norm, phrase, rx, values
 
 cte("dim_pattern", "SELECT * FROM (VALUES " + values(
@@ -124,7 +125,8 @@ def context_vote(spark, sf):
 
 @shared
 def classified(spark, sf):
-    return sg.classified_entries(demo.entries(spark, sf), demo.as_of(), sg.Rules())
+    # Written once: the counts of values and the classes read them.
+    return sg.classified_entries(materialised(demo.entries(spark, sf), "entries"), demo.as_of(), sg.Rules())
 
 
 @query("classify_chain", """
