@@ -347,3 +347,19 @@ def test_suffix_tree_tables_equal_the_tree_in_memory(spark, monkeypatch, head, h
     monkeypatch.setattr(suffix_tree, "HELD_RUNS", held_runs)
     for r in suffix_tree.score(docs(spark, rows)).collect():
         assert r.score == pytest.approx(want[r.doc_id], rel=1e-9)
+
+
+def test_suffix_tree_pieces_ask_packed_and_small(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 64, 100_000, dtype=np.uint64, endpoint=False))
+    asked = suffix_tree._asked(7, keys, 32, np.ones(len(keys), np.uint32))
+    assert sum(len(k) for k in asked.column("keys").to_pylist()) < 6.5 * len(keys)
+    assert (suffix_tree._keys(asked.column("keys"))[0] == keys).all()
+    # Many small pieces, words of more than LONG bytes and a piece without words give what one piece gives.
+    rows = corpus() + [(2000 + i, "Z" * 70 + f" {'y' * 65} a b", "en") for i in range(9)] + [(3000, " \t", "en")]
+    whole = {r.doc_id: r for r in suffix_tree.score(docs(spark, rows)).collect()}
+    monkeypatch.setattr(suffix_tree, "PIECE", 500)
+    for r in suffix_tree.score(docs(spark, rows)).collect():
+        assert r[:5] == whole[r.doc_id][:5] and r[5:] == pytest.approx(whole[r.doc_id][5:], rel=1e-9)
+    base = brute_base(rows)
+    assert all((r.n_tokens, r.n_known) == base[i][:2] for i, r in whole.items())
