@@ -46,3 +46,16 @@ def test_evidence_is_the_same_with_few_and_with_many_texts(spark, monkeypatch):
     few = sorted(sk.evidence(entries, declared).collect())
     monkeypatch.setattr(sk, "HELD_PAIRS", 0)
     assert len(few) == 4 and few == sorted(sk.evidence(entries, declared).collect())
+
+
+def test_declared_skills_are_not_broadcast_with_their_evidence(spark, tmp_path):
+    # Files of lists of few skills are far smaller than the lists are in memory, where 900,000 of them overran the driver.
+    spark.createDataFrame([(i, ["python", "dbt", "go"]) for i in range(2000)], "id long, declared array<string>").write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame([(i, i, "A", 5, 0, "python", ["dbt"], "B", ["go"]) for i in range(2000)], """id long, ix long, company_name string,
+        attributed long, age int, description string, skills_used array<string>, school_name string, skills array<string>""").write.parquet(f"{tmp_path}/e")
+    declared, rows = spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/e")
+    found = sk.evidence(rows, declared, rows.select("id", "ix", "school_name", "skills"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [id" in plan and "BroadcastHashJoin [id" not in plan
+    assert {(r.skill, r.source): r["count"] for r in found.groupBy("skill", "source").count().collect()} == {
+        ("python", "description@A"): 2000, ("dbt", "skills_used@A"): 2000, ("go", "education@B"): 2000}
