@@ -17,3 +17,13 @@ def test_queries_broadcast_no_entities(spark, name):
     from matchloom.plans import all_queries
     shown = plan(all_queries().QUERIES[name](spark, SF))
     assert "SortMergeJoin [id" in shown and "BroadcastHashJoin [id" not in shown
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_signals_under_pairs_broadcast_no_entities(spark):
+    from matchloom.operators import signals as sg
+    from matchloom.plans import all_queries, demo
+    all_queries()
+    from matchloom.plans.q_signals import RULES, weighted
+    shown = plan(sg.extract(demo.people(spark, SF), None, demo.as_of(), RULES, weighted=weighted(spark, SF)))
+    assert "SortMergeJoin [id" in shown and "BroadcastHashJoin [id" not in shown
